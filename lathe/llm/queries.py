@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import op9_jaccard_join
+from .lm import op4_lm_scoring
+from .substrings import op7_substring_dedup
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
