@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .huffman import op10_token_ids
 from .jaccard import op9_jaccard_join
 from .lm import op4_lm_scoring
+from .packing import op3_packing
 from .substrings import op7_substring_dedup
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
     "op4_lm_scoring": op4_lm_scoring,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_token_ids": op10_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
