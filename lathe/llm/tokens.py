@@ -3,30 +3,54 @@
 The tokenizer in use never looks across ASCII blanks: it turns runs of white space into one
 space and drops it, its word pattern excludes white space, and its other steps work on single
 characters. So a text's ids are those of its blank-separated chunks, one after the other, and
-chunks repeat: each distinct chunk is encoded once a task (a bounded cache).
+chunks repeat: each distinct chunk is encoded once a task (a bounded cache). A new chunk of
+printable Latin-1 is first cut into the tokenizer's own pieces, which repeat even more; any
+other chunk goes to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
+import regex
 
 from .common import BLANKS, text_of
 
 END_ID = 1
 
+#: The word pattern of the tokenizer file, for printable Latin-1 text.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]*+")
+
+
+#: Byte-level alphabet: the character that stands for each byte (printable ones for themselves).
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
+LATIN = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
+
 
 class ChunkEncoder(dict):
-    LIMIT = 250_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff"):
+            ids = self.piece(chunk.lower())
+        elif chunk[-1] in ".," and chunk[:-1].isalpha() and (chunk.isascii() or max(chunk) <= "\xff"):
+            ids = self.piece(chunk[:-1].lower()) + self.piece(chunk[-1])
+        elif "<|" not in chunk and PLAIN.fullmatch(chunk):
+            ids = b"".join([self.piece(x) for x in PIECES.findall(chunk.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 40:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -34,6 +58,16 @@ class ChunkEncoder(dict):
             self[chunk] = ids
         return ids
 
+    def piece(self, x: str) -> bytes:
+        ids = self.pieces.get(x)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(x if x.isascii() else x.translate(LATIN))]).tobytes()
+            if len(x) <= 40:
+                if len(self.pieces) >= self.LIMIT:
+                    self.pieces.clear()
+                self.pieces[x] = ids
+        return ids
+
     def ids(self, text: str | None, end: int = END_ID) -> np.ndarray:
         """The text's ids and then ``end``, as little-endian uint32."""
         text = text_of(text)
