@@ -89,6 +89,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_HASHES = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """The process's cache of word hashes; Spark reuses its Python workers from task to task."""
+    return _HASHES
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two xor-shift-multiply rounds)."""
     x = (x ^ (x >> np.uint64(30))) * K2

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, by_bucket, chain_hash, components, lower_ascii, materialise, mix, n_groups, small_batches, split_words, table, text_of
+from .common import WordHashes, batch_of, by_bucket, chain_hash, components, lower_ascii, materialise, mix, n_groups, small_batches, split_words, table, text_of, word_hashes
 from .packs import ASK_DDL, answers, bits_of, counted, over_packs, packs, put_together, request_rows, with_answers
 
 GROUP, BLOCK = 16, 1024
@@ -106,7 +106,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     bits = bits_of(n_groups(n_docs, 1000, 64))
 
     def keys_of(t: pa.Table):
-        words = WordHashes()
+        words = word_hashes()
         sets = [shingles(x, width, words) for x in t.column("text").to_pylist()]
         keys, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if sets else (np.zeros(0, np.uint64),) * 3
         return sets, keys, inverse, count

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import K1, WordHashes, lower_ascii, materialise, mix, n_groups, small_batches, split_words, table, text_of
+from .common import K1, lower_ascii, materialise, mix, n_groups, small_batches, split_words, table, text_of, word_hashes
 from .packs import ASK_DDL, bits_of, counted, grow, over_packs, packs, request_rows, with_answers
 
 END, BEGIN = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0xD6E8FEB86659FD93)
@@ -71,7 +71,7 @@ class Tokens:
     """The tokens of one pack: words and bigrams as places among the pack's distinct keys."""
 
     def __init__(self, t: pa.Table):
-        hashes = WordHashes()
+        hashes = word_hashes()
         self.ids = t.column("doc_id")
         rows = [hashes.array(split_words(lower_ascii(text_of(x)))) for x in t.column("text").to_pylist()]
         self.n = np.array([len(r) + 1 for r in rows], np.int64)

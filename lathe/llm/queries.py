@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op8_fingerprints
 from .huffman import op10_token_ids
 from .jaccard import op9_jaccard_join
 from .lm import op4_lm_scoring
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_lm_scoring": op4_lm_scoring,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_ids": op10_token_ids,
 }

@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import K2, WordHashes, chain_hash, mix, n_groups, small_batches, split_words, table, text_of
+from .common import K2, chain_hash, mix, n_groups, small_batches, split_words, table, text_of, word_hashes
 from .packs import ASK, ASK_DDL, answers, bits_of, counted, over_packs, packs, put_together, request_rows, with_answers
 
 #: Difference covers by period (each is a perfect one).
@@ -36,7 +36,7 @@ class Windows:
     """The anchors and windows of one pack's documents."""
 
     def __init__(self, t: pa.Table, min_words: int, period: int):
-        hashes = WordHashes()
+        hashes = word_hashes()
         self.ids = np.array(t.column("doc_id").fill_null(LAST), np.int64)
         self.words = [split_words(text_of(x)) for x in t.column("text").to_pylist()]
         self.min_words, self.period, self.width = min_words, period, min_words - period + 1
