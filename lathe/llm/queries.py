@@ -10,6 +10,8 @@ from .fingerprints import op8_fingerprints
 from .huffman import op10_token_ids
 from .jaccard import op9_jaccard_join
 from .lm import op4_lm_scoring
+from .mixing import op5_mixing
+from .neighbours import op6_embedding_dedup
 from .packing import op3_packing
 from .substrings import op7_substring_dedup
 from .toxicity import op2_toxicity
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_mixing": op5_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op9_jaccard_join": op9_jaccard_join,
