@@ -1,12 +1,67 @@
-"""Corpus preparation in five stages, each applying one operator to what the last one kept."""
+"""Corpus preparation in five stages, each applying one operator to what the last one kept.
+
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the
+next stage's documents. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lathe.llm import jaccard, mixing, packing, pii, toxicity
+from lathe.llm.common import materialise, small_batches
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go; all others stay, texts that are null or empty too."""
+    small_batches(spark)
+    index = toxicity.fit(docs, toxicity.training_labels(spark, sf_dir))
+    return toxicity.score(docs, index, *docs.columns).where("score < 0.5").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles with a Jaccard similarity of 0.8
+    or more, the one of the smallest doc_id stays. Documents without words stay."""
+    small_batches(spark)
+    later = jaccard.jaccard_components(docs, width=5, num=8, den=10).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data and disclosing terms in their texts are replaced."""
+    small_batches(spark)
+    return pii.sanitise(docs, **pii.PARAMETERS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    small_batches(spark)
+    mix = mixing.pareto_mix(docs, mixing.n_words()).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    x = docs.join(mix, docs["doc_id"].eqNullSafe(mix["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return x.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents in sequences of 4096 tokens."""
+    small_batches(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Tokenising, nearest neighbours and packing have no SQL; the stages' tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,10 +13,12 @@ from .lm import op4_lm_scoring
 from .mixing import op5_mixing
 from .neighbours import op6_embedding_dedup
 from .packing import op3_packing
+from .pii import op1_pii
 from .substrings import op7_substring_dedup
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_lm_scoring": op4_lm_scoring,
