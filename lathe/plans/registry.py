@@ -1,4 +1,293 @@
-"""Queries over the driver tables with their SQL oracles."""
+"""Queries over the driver tables, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lathe.functions import numbers as N
+from lathe.functions import protocol as P
+from lathe.operators import kernels as K
+from lathe.operators import relational as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(t(spark, d, "labels"), "doc_id")
+
+
+@query("serialize_chat", "select conv_id, string_agg('<'||role||'>'||text||'</'||role||'>'||case when role='assistant' then chr(3) else '' end, chr(10) order by turn) as trace from conversations group by conv_id")
+def serialize_chat(s, d):
+    return P.serialise(t(s, d, "conversations"))
+
+
+@query("serialize_instruct", "select conv_id, string_agg('<'||role||'>'||text||'</'||role||'>', chr(10) order by turn) || chr(3) as trace from conversations group by conv_id")
+def serialize_instruct(s, d):
+    return P.serialise(t(s, d, "conversations"), chat=False)
+
+
+@query("mask_counts", "select conv_id, (sum(length(text)+2+(role='assistant')::int)+count(*)-1)::bigint as n_tok, coalesce(sum(length(text)+3) filter (role='assistant'),0)::bigint as n_sup from conversations group by conv_id")
+def mask_counts(s, d):
+    x = P.serialise(t(s, d, "conversations")).select("conv_id", P.encode(F.col("trace")).alias("e"))
+    return x.select("conv_id", F.size("e.tokens").cast("bigint").alias("n_tok"), F.aggregate("e.mask", F.lit(0).cast("bigint"), lambda a, m: a + m.cast("bigint")).alias("n_sup"))
+
+
+@query("token_roundtrip", "select conv_id, count(*)::bigint as turns, true as same from conversations group by conv_id")
+def token_roundtrip(s, d):
+    x = P.serialise(t(s, d, "conversations")).select("conv_id", (P.detokenise(P.tokenise(F.col("trace"))) == F.col("trace")).alias("same"))
+    return t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")).join(x, "conv_id")
+
+
+@query("shifted_supervision", "select conv_id, (sum(length(text)+2+(role='assistant')::int)+count(*)-2)::bigint as n_x, coalesce(sum(length(text)+3) filter (role='assistant'),0)::bigint - (min(turn) filter (role='assistant') is not null and arg_min(role, turn)='assistant')::int as n_sup from conversations group by conv_id")
+def shifted_supervision(s, d):
+    x = P.serialise(t(s, d, "conversations")).select("conv_id", P.encode(F.col("trace")).alias("e")).select("conv_id", P.shift(F.col("e.tokens"), F.col("e.mask")).alias("z"))
+    return x.select("conv_id", F.size("z.x").cast("bigint").alias("n_x"), F.aggregate("z.mask", F.lit(0).cast("bigint"), lambda a, m: a + m.cast("bigint")).alias("n_sup"))
+
+
+@query("token_histogram", "select least(unicode(ch),255)::int as tok, count(*) as n from (select unnest(string_split(text,'')) as ch from documents) where ch<>'' group by 1")
+def token_histogram(s, d):
+    chars = F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("c")
+    return t(s, d, "documents").select(chars).groupBy(F.least(F.ascii("c"), F.lit(255)).alias("tok")).agg(F.count("*").alias("n"))
+
+
+@query("number_list", r"select doc_id, len(regexp_extract_all(text,'-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'))::int as n_num from documents")
+def number_list(s, d):
+    return t(s, d, "documents").select("doc_id", F.size(N.number_literals(F.col("text"))).alias("n_num"))
+
+
+@query("length_gate_starvation", "select source, count(*) filter (n_chars<=4000) as kept, count(*) filter (n_chars>4000) as dropped from documents group by source having count(*) filter (n_chars>4000) > 0.2*count(*)")
+def length_gate_starvation(s, d):
+    return R.starvation(t(s, d, "documents"), "source", F.col("n_chars") <= 4000)
+
+
+@query("drop_reasons", "select count(*) filter (n_chars<20)::bigint as too_short, count(*) filter (n_chars>4000)::bigint as too_long, count(*) filter (n_chars between 20 and 4000)::bigint as kept from documents")
+def drop_reasons(s, d):
+    n = F.col("n_chars")
+    return t(s, d, "documents").agg(F.count_if(n < 20).alias("too_short"), F.count_if(n > 4000).alias("too_long"), F.count_if(n.between(20, 4000)).alias("kept"))
+
+
+@query("exact_split", "select doc_id, (row_number() over (order by ('0x'||md5('42:'||doc_id)[1:8])::BIGINT, doc_id) <= greatest(1, floor((select count(*) from documents)*0.05)))::int as is_val from documents")
+def exact_split(s, d):
+    return R.exact_split(t(s, d, "documents").select("doc_id"), "doc_id")
+
+
+@query("rank_family", "select event_id, rank() over (partition by event_type order by value desc)::int as rnk from events")
+def rank_family(s, d):
+    return t(s, d, "events").select("event_id", F.rank().over(Window.partitionBy("event_type").orderBy(F.desc("value"))).alias("rnk"))
+
+
+@query("running_best", "select event_id, max(value) over w as best, min(value) over w as low from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)")
+def running_best(s, d):
+    return R.running_extremes(t(s, d, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "best", "low")
+
+
+@query("patience", "with e as (select *, row_number() over (partition by user_id order by ts,event_id) as step from events), b as (select *, max(value) over (partition by user_id order by step rows unbounded preceding) as best from e), s as (select *, step - max(case when value=best and (step=1 or value>prev) then step end) over (partition by user_id order by step rows unbounded preceding) as since from (select *, lag(best) over (partition by user_id order by step) as prev from b)) select user_id, min(step)::bigint as stop_step from s where since>=4 group by user_id")
+def patience(s, d):
+    return R.patience_stop(t(s, d, "events"), "user_id", ["ts", "event_id"], "value", 4)
+
+
+@query("last_n_mean", "select user_id, round(avg(value), 6) as mean from (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r<=50 group by user_id")
+def last_n_mean(s, d):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return t(s, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 50").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("carry_last", "select event_id, last_value(case when value>50 then value end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as carried from events")
+def carry_last(s, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t(s, d, "events").select("event_id", F.last(F.when(F.col("value") > 50, F.col("value")), ignorenulls=True).over(w).alias("carried"))
+
+
+@query("accuracy_by_kind", "select lang, count(*) as total, sum(quality)::bigint as correct, round(avg(quality), 9) as acc from documents join labels using (doc_id) group by grouping sets ((lang),())")
+def accuracy_by_kind(s, d):
+    return R.accuracy(labelled(s, d), "lang", "quality").withColumn("acc", F.round("acc", 9))
+
+
+@query("bucket_accuracy", "select least(n_chars//1000,4)::bigint as bucket, sum(quality)::bigint as ok, count(*) as total from documents join labels using(doc_id) group by 1")
+def bucket_accuracy(s, d):
+    return R.bucket_accuracy(labelled(s, d), F.floor(F.col("n_chars") / 1000), "quality")
+
+
+@query("accuracy_interval", "with a as (select source, sum(quality)::double as k, count(*)::double as n from documents join labels using(doc_id) group by 1) select source, round((k/n+1.96*1.96/(2*n))/(1+1.96*1.96/n) - 1.96*sqrt(k/n*(1-k/n)/n+1.96*1.96/(4*n*n))/(1+1.96*1.96/n), 6) as lo, round((k/n+1.96*1.96/(2*n))/(1+1.96*1.96/n) + 1.96*sqrt(k/n*(1-k/n)/n+1.96*1.96/(4*n*n))/(1+1.96*1.96/n), 6) as hi from a")
+def accuracy_interval(s, d):
+    a = labelled(s, d).groupBy("source").agg(F.sum("quality").cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+    lo, hi = N.wilson_interval(F.col("k"), F.col("n"))
+    return a.select("source", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+@query("gate", "select avg(quality)>=0.75 as quality_ok, 1-avg(toxic)>=0.8 as clean_ok, count(*)::bigint as n from labels")
+def gate(s, d):
+    return t(s, d, "labels").agg((F.avg("quality") >= 0.75).alias("quality_ok"), (1 - F.avg("toxic") >= 0.8).alias("clean_ok"), F.count("*").alias("n"))
+
+
+@query("index_percentile", "select lang, max(n_chars) filter (rn=floor(n*0.5)) as p50, max(n_chars) filter (rn=floor(n*0.95)) as p95 from (select lang, n_chars, row_number() over (partition by lang order by n_chars)-1 as rn, count(*) over (partition by lang) as n from documents) group by lang")
+def index_percentile(s, d):
+    return R.index_percentiles(t(s, d, "documents").select("lang", "n_chars"), "lang", "n_chars", {"p50": 0.5, "p95": 0.95})
+
+
+@query("length_histogram", "select case when n_chars<500 then '0-499' when n_chars<2000 then '500-1999' when n_chars<8000 then '2000-7999' else '8000+' end as band, count(*) as n, round(count(*)*1.0/(select count(*) from documents), 9) as share from documents group by 1")
+def length_histogram(s, d):
+    n = F.col("n_chars")
+    band = F.when(n < 500, "0-499").when(n < 2000, "500-1999").when(n < 8000, "2000-7999").otherwise("8000+")
+    x = t(s, d, "documents").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    return x.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))
+
+
+@query("grep_lines", "select doc_id, line_no::bigint as line_no, left(trim(line, ' '),110) as line from (select doc_id, unnest(string_split(text,chr(10))) as line, generate_subscripts(string_split(text,chr(10)),1) as line_no from documents) where contains(lower(line),'the') order by doc_id,line_no limit 20")
+def grep_lines(s, d):
+    return R.grep(t(s, d, "documents").select("doc_id", "text"), "doc_id", "the")
+
+
+@query("group_lines", "select source, count(*) as files, sum(length(text)-length(replace(text,chr(10),''))+1)::bigint as lines from documents group by source")
+def group_lines(s, d):
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return t(s, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(lines).cast("bigint").alias("lines"))
+
+
+@query("line_slice", "select doc_id, line_no::bigint as line_no, line from (select doc_id, unnest(string_split(text,chr(10))) as line, generate_subscripts(string_split(text,chr(10)),1) as line_no from documents) where line_no between 2 and 3")
+def line_slice(s, d):
+    return R.numbered_lines(t(s, d, "documents"), "doc_id").where("line_no BETWEEN 2 AND 3")
+
+
+@query("anti_unlabelled", "select doc_id from documents anti join labels using (doc_id)")
+def anti_unlabelled(s, d):
+    return t(s, d, "documents").select("doc_id").join(t(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("semi_labelled", "select doc_id from documents semi join labels using (doc_id)")
+def semi_labelled(s, d):
+    return t(s, d, "documents").select("doc_id").join(t(s, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("lookup_default", "select d.doc_id, coalesce(l.quality,-1)::int as quality from documents d left join labels l using (doc_id)")
+def lookup_default(s, d):
+    return R.lookup(t(s, d, "documents").select("doc_id"), t(s, d, "labels").withColumn("quality", F.col("quality").cast("int")), "doc_id", "quality", -1)
+
+
+@query("pool_merge", "select coalesce(a.k,b.k)::bigint as key, coalesce(a.v,b.v) as value from (select c_nationkey as k, min(c_name) as v from customer group by 1) a full join (select s_nationkey as k, max(s_name) as v from supplier group by 1) b on a.k=b.k")
+def pool_merge(s, d):
+    old = t(s, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("key")).agg(F.min("c_name").alias("value"))
+    new = t(s, d, "supplier").groupBy(F.col("s_nationkey").cast("bigint").alias("key")).agg(F.max("s_name").alias("value"))
+    return R.merge_pools(old, new)
+
+
+@query("capped_take", "select source, doc_id from documents qualify row_number() over (partition by source order by doc_id) <= 5")
+def capped_take(s, d):
+    return R.capped_take(t(s, d, "documents").select("source", "doc_id"), "source", "doc_id", 5)
+
+
+@query("hash_sample", "select doc_id from documents order by ('0x'||md5('7:'||doc_id)[1:8])::BIGINT, doc_id limit 100")
+def hash_sample(s, d):
+    return t(s, d, "documents").select("doc_id").orderBy(R.draw(7, "doc_id"), "doc_id").limit(100)
+
+
+@query("weighted_pattern", "select pattern, count(*) as n from (select case when u<35 then 'single' when u<65 then 'chain' when u<85 then 'lookup' else 'chat' end as pattern from (select ('0x'||md5('3:'||doc_id)[1:8])::BIGINT % 100 as u from documents)) group by 1")
+def weighted_pattern(s, d):
+    return R.weighted_choice(t(s, d, "documents").select("doc_id"), {"single": 35, "chain": 30, "lookup": 20, "chat": 15}, "doc_id", 3).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query("distinct_collect", "select lang, count(distinct text) as n_distinct from documents group by lang")
+def distinct_collect(s, d):
+    return t(s, d, "documents").groupBy("lang").agg(F.countDistinct("text").alias("n_distinct"))
+
+
+@query("distinct_union", "select distinct lang as v from documents union select distinct source from documents")
+def distinct_union(s, d):
+    x = t(s, d, "documents")
+    return x.select(F.col("lang").alias("v")).union(x.select("source")).distinct()
+
+
+@query("last_message", "select conv_id, arg_max(text, turn) filter (role='user') as last_user, arg_max(text, turn) filter (role='assistant') as last_answer from conversations group by conv_id")
+def last_message(s, d):
+    pick = lambda role, name: F.max_by("text", F.when(F.col("role") == role, F.col("turn"))).alias(name)
+    return t(s, d, "conversations").groupBy("conv_id").agg(pick("user", "last_user"), pick("assistant", "last_answer"))
+
+
+@query("turn_stats", "select conv_id, count(*)::bigint as turns, max(length(text))::int as longest, round(avg(length(text)),6) as mean from conversations where role<>'system' group by conv_id")
+def turn_stats(s, d):
+    n = F.length("text")
+    return t(s, d, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(n).alias("longest"), F.round(F.avg(n), 6).alias("mean"))
+
+
+@query("role_rollup", "select conv_id, string_agg(role, '->' order by turn) as roles from conversations group by conv_id")
+def role_rollup(s, d):
+    return t(s, d, "conversations").groupBy("conv_id").agg(P.tool_rollup(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])).alias("roles"))
+
+
+@query("pair_shift", "select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as next_role from conversations")
+def pair_shift(s, d):
+    return t(s, d, "conversations").select("conv_id", "turn", "role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_role"))
+
+
+@query("pad_batches", "select conv_id//8 as batch_id, max(n)::bigint as pad_to, (count(*)*max(n)-sum(n))::bigint as waste from (select conv_id, sum(length(text)) as n from conversations group by conv_id) group by 1")
+def pad_batches(s, d):
+    n = t(s, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
+    return n.groupBy(F.floor(F.col("conv_id") / 8).alias("batch_id")).agg(F.max("n").alias("pad_to"), (F.count("*") * F.max("n") - F.sum("n")).alias("waste"))
+
+
+@query("mean_pool", "select label, i::bigint as dim, round(avg(e), 9) as mean from (select label, unnest(embedding)::double as e, generate_subscripts(embedding,1) as i from embeddings) group by 1,2")
+def mean_pool(s, d):
+    return K.mean_pool(t(s, d, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 9))
+
+
+@query("softmax_topk", "with x as (select vec_id, generate_subscripts(embedding,1) as k, unnest(embedding)::double as v from embeddings), p as (select *, exp(v)/sum(exp(v)) over (partition by vec_id) as pr from x) select vec_id,k::bigint as k,round(pr/sum(pr) over (partition by vec_id), 9) as w from (select *, row_number() over (partition by vec_id order by pr desc,k) as rn from p) where rn<=2")
+def softmax_topk(s, d):
+    return K.softmax_topk(t(s, d, "embeddings"), "vec_id", "embedding", 2).withColumn("w", F.round("w", 9))
+
+
+@query("rms_norm", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double*x))/len(embedding)+1e-6), 9) as rms from embeddings")
+def rms_norm(s, d):
+    return t(s, d, "embeddings").select("vec_id", F.round(K.rms(F.col("embedding")), 9).alias("rms"))
+
+
+@query("window_band", "select user_id, event_id, round(avg(value) over (partition by user_id order by ts,event_id rows between 3 preceding and 3 following), 6) as m from events")
+def window_band(s, d):
+    return t(s, d, "events").select("user_id", "event_id", F.round(F.avg("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 3)), 6).alias("m"))
+
+
+@query("nucleus", "with x as (select vec_id, generate_subscripts(embedding,1) as k, unnest(embedding)::double as v from embeddings), p as (select *, exp(v)/sum(exp(v)) over (partition by vec_id) as pr from x), c as (select *, sum(pr) over w as cum, row_number() over w as rn from p window w as (partition by vec_id order by pr desc, k rows unbounded preceding)) select vec_id, count(*) as kept from c where cum<=0.5 or rn=1 group by 1")
+def nucleus(s, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    x = t(s, d, "embeddings").select("vec_id", F.posexplode(K.softmax(v)).alias("k", "pr"))
+    return K.top_p(x, "vec_id", "k", "pr", 0.5).groupBy("vec_id").agg(F.count("*").alias("kept"))
+
+
+@query("contains_join", "select b.item_id, count(d.doc_id) as hits from benchmark b left join documents d on contains(d.text, b.text) group by 1")
+def contains_join(s, d):
+    """The benchmark is a list of some hundred passages that every document is searched for."""
+    b = t(s, d, "benchmark")
+    x = t(s, d, "documents").select("doc_id", "text")
+    hit = x.join(b.select("item_id", F.col("text").alias("passage")), F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("n"))
+    return b.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("hits"))
+
+
+@query("cascading_lookup")
+def cascading_lookup(s, d):
+    facts = t(s, d, "nation").select(F.col("n_nationkey").alias("ord"), F.lower("n_name").alias("key"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("value"))
+    asked = t(s, d, "nation").select(F.concat(F.lit("where is "), F.lower("n_name"), F.lit("?")).alias("query")).union(t(s, d, "nation").select(F.concat(F.lower("n_name"), F.lit("x")).alias("query")))
+    return R.cascading_lookup(asked, facts)
+
+
+@query("calc_chain")
+def calc_chain(s, d):
+    x = t(s, d, "orders").select("o_orderkey", F.format_string("(%d + %d) * 2 // 7", F.col("o_custkey").cast("bigint"), F.col("o_orderkey").cast("bigint")).alias("expr"))
+    return x.withColumn("value", N.calc("expr"))
