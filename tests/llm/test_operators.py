@@ -1,0 +1,354 @@
+"""The ten operators against brute force, on a small table of awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, name string, members string, pack string"
+
+
+def corpus():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [prose(rng.randint(1, 200)) for _ in range(60)]
+    passage = prose(40)
+    texts += [prose(10) + " " + passage + "\n" + prose(10) for _ in range(6)]
+    texts += [texts[0]] * 3 + [texts[5] + " more", texts[5].upper()]
+    long = prose(6000)
+    texts += [long, long[: len(long) // 2], None, "", " \t\n", "one", "one two", "x" * 20_000, "IDIOT!!! Ünï code <|endoftext|> 漢字 é", "no blanks,but@mail.example.com +1 (555) 010-1234, 4111 1111 1111 1111, 10.0.0.300, 10.0.0.3"]
+    rows = [(i * 3, t, "en", "s%d" % (i % 4) if i % 9 else None, None if t is None else len(t), 0.5, 7, "n", "m", "p") for i, t in enumerate(texts)]
+    return rows
+
+
+ROWS = corpus()
+EMPTY = []
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DDL).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame(EMPTY, DDL)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def test_pii(spark, docs, none):
+    from lathe.llm import pii
+
+    got = by_id(pii.find_spans(docs))
+    last = got[ROWS[-1][0]]
+    assert (last.n_email, last.n_ip, last.n_card, last.n_phone) == (1, 1, 1, 1)
+    assert len(got) == len(ROWS) and sum(r.base != "" for r in got.values()) == 1
+    clean = by_id(pii.sanitise(docs))
+    assert clean[ROWS[-1][0]].text == "no blanks,[EMAIL] [PHONE], [CARD], 10.0.0.300, [IP]"
+    assert all(clean[r[0]].text == r[1] for r in ROWS[:-1])
+    assert pii.find_spans(none).count() == 0 and pii.sanitise(none).count() == 0
+
+
+def test_pii_patterns_match_the_plain_ones():
+    from lathe.llm.pii import base_spans, luhn
+
+    email, ip, card, phone = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+
+    def plain(t):
+        out = [("email", *m.span()) for m in email.finditer(t)]
+        out += [("ip", *m.span()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [("card", *m.span()) for m in card.finditer(t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+        return out + [("phone", *m.span()) for m in phone.finditer(t) if 9 <= len(digits(m)) <= 15]
+
+    rng = random.Random(2)
+    for _ in range(20_000):
+        t = "".join(rng.choice("a1.@+- ()9é%\n12.5") for _ in range(rng.randint(0, 60)))
+        assert base_spans(t) == plain(t)
+    base_spans("a" * 300_000 + "1" * 300_000 + "." * 1000 + "@" * 1000)  # linear: ends at once
+
+
+def test_pii_terms_that_disclose(spark):
+    from lathe.llm import pii
+
+    rng = random.Random(1)
+    filler = lambda: " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(30))
+    rows = [(i, f"{filler()} zanzibari a.b@c.example {filler()}" if i < 6 else filler(), "", "", 0, 0.0, 0, "", "", "") for i in range(200)]
+    got = by_id(pii.find_spans(spark.createDataFrame(rows, DDL)))
+    for i, t, *_ in rows:
+        at = t.find("zanzibari")
+        assert (f"term:{at}:{at + 9}" in got[i].spans.split(",")) == (i < 6)
+        assert got[i].spans.count("term:") == (i < 6)
+
+
+def test_toxicity(spark, docs, none):
+    from lathe.llm import toxicity as x
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("klmnop") for _ in range(3)) for _ in range(80)]
+    rows = []
+    for i in range(600):
+        t = [rng.choice(base) for _ in range(40)]
+        if i % 5 == 0:
+            t[rng.randint(0, 39)] = rng.choice(["Badword", "NASTY!!", "awful,"])
+        rows.append((i, " ".join(t), "", "", 0, 0.0, 0, "", "", ""))
+    df = spark.createDataFrame(rows, DDL)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 600) if i % 3] + [(None, 1), (7, None)], "doc_id long, label int")
+    index = x.fit(df, labels)
+    got = by_id(x.score(df, index, "doc_id"))
+    assert all((got[i].score >= 0.5) == (i % 5 == 0) for i in range(600))
+    vecs = [index.vector(index.counts(r[1])) for r in rows]
+    dense = np.zeros((len(index.label), len(index.vocab)))
+    text = {r[0]: r[1] for r in rows}
+    for j, i in enumerate(index.ids.tolist()):
+        t, w = index.vector(index.counts(text[i]))
+        dense[j, t] = w
+    for t, w in vecs[:100]:
+        want = np.sort((dense[:, t] @ w))[::-1][: index.k]
+        near = [c for c, _ in index.nearest(t, w)]
+        assert np.allclose(near, want[want > 0][: len(near)]) and len(near) == (want > 0).sum()
+    assert x.score(none, index, "doc_id").count() == 0
+    blank = x.fit(none, labels.limit(0))
+    assert {r.score for r in x.score(docs, blank, "doc_id").collect()} == {0.0}
+
+
+def encoded(rows):
+    from tokenizers import Tokenizer
+
+    from lathe.llm.tokens import default_path
+
+    t = Tokenizer.from_file(default_path())
+    return {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4") for r in rows}
+
+
+def test_packing(spark, docs, none):
+    from lathe.llm import packing
+
+    ids, bins, pieces = encoded(ROWS), {}, Counter()
+    for r in packing.pack(docs.unionByName(docs.where("doc_id = 0"))).collect():
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces[r.doc_id] += r.length
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    assert all(pieces[i] == len(x) * (2 if i == 0 else 1) for i, x in ids.items())
+    assert packing.pack(none).count() == 0
+
+
+def test_packing_plan_is_full():
+    from lathe.llm.packing import plan
+
+    got = plan({4000: 2, 90: 2, 6: 2, 5: 1, 4096: 1, 1: 3})
+    used = Counter()
+    for times, combo in got:
+        assert sum(n * k for n, k in combo.items()) <= 4096
+        used.update({n: k * times for n, k in combo.items()})
+    assert used == {4000: 2, 90: 2, 6: 2, 5: 1, 4096: 1, 1: 3} and sum(t for t, _ in got) == 4
+
+
+def test_language_model(spark, docs, none):
+    from lathe.llm import lm
+
+    toks = {r[0]: [*words((r[1] or "").translate(LOWER)), None] for r in ROWS}
+    c, c2, ctx = Counter(), Counter(), Counter()
+    for i, t in toks.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update(t)
+            c2.update(zip(["<s>", *t], t, strict=False))
+            ctx.update(["<s>", *t[:-1]])
+    total, v = sum(c.values()), len(c)
+    got = by_id(lm.interpolated_scores(docs))
+    for i, t in toks.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), total)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (total + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
+    assert all(r.score < 0 for r in got.values())
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = lm.interpolated_scores(real).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > held["sum(base_score)"]
+    assert lm.interpolated_scores(none).count() == 0
+
+
+def test_expectation_maximisation_finds_the_mixture():
+    from lathe.llm.lm import BINS, expectation_maximisation
+
+    lam = expectation_maximisation(np.array([(4 * BINS + 7) * BINS + 3, (0 * BINS + 7) * BINS + 3]), np.array([60.0, 40.0]), 1000, 50)
+    assert lam[3, 0] > 0.5 and abs(lam[3].sum() - 1) < 1e-9
+
+
+def test_mixing(spark, docs, none):
+    from lathe.llm import mixing
+
+    got = by_id(mixing.pareto_mix(docs, mixing.n_words()))
+    assert by_id(mixing.pareto_mix(docs.repartition(5), mixing.n_words())) == got
+    size = {r[0]: len(words(r[1])) for r in ROWS}
+    src = {r[0]: r[3] for r in ROWS}
+    taken, target = Counter(), {}
+    for i, r in got.items():
+        assert r.size == size[i] and r.taken <= 2 * r.size and (r.taken % r.size == 0 if r.size else r.taken == 0)
+        taken[src[i]] += r.taken
+        target[src[i]] = r.target
+    assert math.isclose(sum(target.values()), 1.5 * sum(size.values()))
+    for s in target:
+        own = [size[i] for i in size if src[i] == s]
+        assert abs(taken[s] - target[s]) <= max(own) / 2
+    assert mixing.pareto_mix(none, mixing.n_words()).count() == 0
+
+
+def test_embeddings(spark):
+    from lathe.llm import neighbours
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 32))
+    x[200:260] = x[7] + 0.05 * rng.standard_normal((60, 32))
+    for i in range(100, 140):
+        x[i] = x[i - 100] + 0.02 * rng.standard_normal(32)
+    rows = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(300, None, "c"), (301, [0.0] * 32, "c"), (302, [float("nan")] * 32, "c"), (303, [None] * 32, "c"), (304, [], "c"), (305, x[3].tolist(), "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, component string").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.vstack([u, np.zeros((5, 32)), u[3]])
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in neighbours.near_duplicates(df).collect()}
+    assert sum(got[i].n_links for i in got) >= 0.99 * near.sum() and all(got[i].n_links <= near[i].sum() for i in got)
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(300, 305))
+    assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_substrings(spark, docs, none):
+    from lathe.llm import substrings
+
+    got, seen = by_id(substrings.dedup_substrings(docs)), set()
+    for i, t, *_ in ROWS:
+        w = words(t)
+        keep = [True] * len(w)
+        for p in range(len(w) - 19):
+            g = tuple(w[p : p + 20])
+            if g in seen:
+                keep[p : p + 20] = [False] * 20
+            seen.add(g)
+        text = " ".join(x for x, k in zip(w, keep, strict=True) if k)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), keep.count(False), hashlib.sha256(text.encode()).hexdigest())
+    assert substrings.dedup_substrings(none).count() == 0
+
+
+@pytest.mark.parametrize("period", [7, 13, 21, 31])
+def test_covers_cover_every_difference(period):
+    from lathe.llm.substrings import COVERS
+
+    assert {(a - b) % period for a in COVERS[period] for b in COVERS[period]} == set(range(period))
+
+
+def test_fingerprints(spark, docs, none):
+    from lathe.llm import fingerprints
+
+    got, rows = by_id(fingerprints.fingerprint_edits(docs)), sorted(ROWS, reverse=True, key=lambda r: r[0])
+    for j, (i, t, *_) in enumerate(rows):
+        t, after = t or "", rows[(j + 1) % len(rows)]
+        edited = t[: len(t) - len(t) // 3] + (after[1] or "")[: len(t) // 3]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        a, b = (np.frombuffer(bytes.fromhex(x), ">u2") for x in (r.fingerprint, got[after[0]].fingerprint))
+        assert math.isclose(r.near_next, (a == b).mean())
+    assert got[0].fingerprint == got[ROWS[66][0]].fingerprint and ROWS[66][1] == ROWS[0][1]
+    assert fingerprints.fingerprint_edits(none).count() == 0
+
+
+def test_fingerprint_orders_matter():
+    from lathe.llm.fingerprints import OrderMinHash, likeness
+
+    o, rng = OrderMinHash(), random.Random(1)
+    w = ["w%d" % i for i in range(200)]
+    a, near, moved = " ".join(w), " ".join(w[:190] + ["x"] * 10), " ".join(w[100:] + w[:100])
+    rng.shuffle(w)
+    assert likeness(o.of(a), o.of(near)) > likeness(o.of(a), o.of(moved)) > likeness(o.of(a), o.of(" ".join(w))) or likeness(o.of(a), o.of(moved)) < 0.7
+
+
+@pytest.mark.parametrize("width,num,den", [(3, 9, 10), (5, 8, 10)])
+def test_jaccard(spark, docs, none, width, num, den):
+    from lathe.llm import jaccard
+
+    def shingles(t):
+        w = words((t or "").translate(LOWER))
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
+
+    sets = {r[0]: shingles(r[1]) for r in ROWS}
+    up = {i: i for i in sets}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    got = by_id(jaccard.jaccard_components(docs, width, num, den))
+    assert {i: (got[i].n_shingles, got[i].component_id) for i in got} == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert jaccard.jaccard_components(none).count() == 0
+
+
+def test_components_of_a_path(spark):
+    from lathe.llm.common import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    from lathe.llm import huffman
+
+    for k, (df, rows) in enumerate(((docs, ROWS), (none, EMPTY))):
+        folder = f"file://{tmp_path}/ids{k}"
+        huffman.write_ids(df, folder)
+        got, start = by_id(huffman.read_ids(spark, folder)), 0
+        for i, x in sorted(encoded(rows).items()):
+            assert (got[i].start, got[i].n_tokens, got[i].ids_crc32, got[i].ids) == (start, len(x), zlib.crc32(x.tobytes()), x.tolist())
+            start += len(x)
+        assert len(got) == len(rows)
+
+
+def test_code_lengths():
+    from lathe.llm.huffman import Code, code_lengths
+
+    counts = np.array([0, *[2**i for i in range(30)], 0, 7])
+    n = code_lengths(counts, 8)
+    used = n[counts > 0].astype(int)
+    assert n.max() <= 8 and sum(2.0**-used) <= 1 and (n[counts == 0] == 0).all()
+    free = code_lengths(np.array([5, 9, 12, 13, 16, 45]), 18)
+    assert free.tolist() == [4, 4, 3, 3, 3, 1]
+    ids = np.random.default_rng(1).choice(np.flatnonzero(counts), 5000).astype(np.uint32)
+    code = Code(n)
+    assert (code.decode(len(ids), *code.encode(ids)) == ids).all()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "packing"]
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.near_duplicates_stage(spark, docs, folder)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    assert corpus_pipeline.run(spark, folder).count() > 0
