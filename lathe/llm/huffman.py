@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, n_groups, scratch_root, small_batches, table
-from .tokens import ChunkEncoder, default_path
+from .common import batch_of, materialise, n_groups, scratch_root, small_batches, table
+from .tokens import default_path, encoder
 
 MAGIC, BLOCK, SEGMENT, LIMIT = b"LTHT", 1024, 1 << 20, 18
 NULL_ID = np.iinfo(np.int64).min
@@ -125,37 +125,33 @@ def read_body(code: Code, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return parts[0], parts[1].astype(np.int64), code.decode(n, parts[2], parts[3].astype(np.uint64))
 
 
+def planes(ids: np.ndarray) -> bytes:
+    """Ids byte by byte, compressed: how they wait for the global code."""
+    return pa.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, n).T).view("<u4").reshape(-1)
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None) -> None:
     """Write the ids of ``docs`` (doc_id, text) to ``folder``. Counts of at most the tokenizer's
     vocabulary reach the driver."""
     tokenizer = tokenizer or default_path()
-    count_schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
-
-    def count(batches):
-        enc, total = ChunkEncoder(tokenizer), np.zeros(0, np.int64)
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                c = np.bincount(enc.ids(text))
-                if len(c) > len(total):
-                    total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
-                total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield batch_of({"id": used.astype(np.int32), "n": total[used]}, count_schema)
+    spark = docs.sparkSession
+    raw_schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("used", pa.binary()), ("counts", pa.binary())])
 
-    got = docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max((r["id"] for r in got), default=0) + 1, np.int64)
-    for r in got:
-        counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts)
-    docs.sparkSession.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codes")
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("body", pa.binary())])
-
-    def write(batches):
-        enc, code, part = ChunkEncoder(tokenizer), Code(lengths), TaskContext.get().partitionId()
+    def encode(batches):
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         held, names, n, seq = [], [], 0, 0
 
         def out():
-            return batch_of({"part": [part], "seq": [seq], "n_ids": [n], "body": [write_body(code, np.array(names, np.int64), np.array([len(x) for x in held], np.int64), np.concatenate(held))]}, schema)
+            ids = np.concatenate(held)
+            counts = np.bincount(ids)
+            used = np.flatnonzero(counts)
+            sizes = np.array([len(x) for x in held], np.int64)
+            return batch_of({"part": [part], "seq": [seq], "names": [np.array(names, np.int64).tobytes()], "sizes": [sizes.tobytes()], "ids": [planes(ids)], "used": [used.tobytes()], "counts": [counts[used].tobytes()]}, raw_schema)
 
         for b in batches:
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -169,7 +165,38 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None) -> Non
             yield out()
 
     ranges = n_groups(docs.count(), 4000, 8)
-    docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, seq int, n_ids long, body binary").write.parquet(f"{folder}/segments")
+    in_order = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    raw = materialise(in_order.mapInArrow(encode, "part int, seq int, names binary, sizes binary, ids binary, used binary, counts binary"))
+    count_schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for used, n in zip(b.column("used").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                used, n = np.frombuffer(used, np.int64), np.frombuffer(n, np.int64)
+                if len(used) and used[-1] >= len(total):
+                    total = np.concatenate((total, np.zeros(used[-1] + 1 - len(total), np.int64)))
+                total[used] += n
+        used = np.flatnonzero(total)
+        yield batch_of({"id": used, "n": total[used]}, count_schema)
+
+    got = raw.select("used", "counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max((r["id"] for r in got), default=0) + 1, np.int64)
+    for r in got:
+        counts[r["id"]] = r["n"]
+    lengths = code_lengths(counts)
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codes")
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("body", pa.binary())])
+
+    def write(batches):
+        code = Code(lengths)
+        for b in batches:
+            for part, seq, names, sizes, ids in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "names", "sizes", "ids")), strict=True):
+                sizes = np.frombuffer(sizes, np.int64)
+                ids = from_planes(ids, int(sizes.sum()))
+                yield batch_of({"part": [part], "seq": [seq], "n_ids": [len(ids)], "body": [write_body(code, np.frombuffer(names, np.int64), sizes, ids)]}, schema)
+
+    raw.select("part", "seq", "names", "sizes", "ids").mapInArrow(write, "part int, seq int, n_ids long, body binary").write.parquet(f"{folder}/segments")
 
 
 def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, materialise, n_groups, per_batch, small_batches, table
-from .tokens import ChunkEncoder, default_path
+from .tokens import default_path, encoder
 
 CAPACITY = 4096
 
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def make():
-        enc = ChunkEncoder(tokenizer)
+        enc = encoder(tokenizer)
 
         def run(b):
             out = {f.name: [] for f in schema}

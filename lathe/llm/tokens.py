@@ -77,6 +77,16 @@ class ChunkEncoder(dict):
         return np.frombuffer(b"".join([*map(self.__getitem__, text.split(" ")), end.to_bytes(4, "little")]), "<u4")
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The process's encoder for a file; Spark reuses its Python workers from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def default_path() -> str:
     import public_tokenizers
 
