@@ -5,9 +5,9 @@
   whose class association is significant (log-likelihood ratio), takes their document
   frequencies from *all* documents, and lays the examples' TF-IDF vectors out as postings in
   blocks of ``BLOCK`` examples with the largest weight of each term in each block.
-* ``score`` finds for every document the exact ``k`` nearest examples by cosine: blocks are
-  opened in the order of their upper bounds until no bound can beat the k-th best. Votes are
-  weighted by similarity and by the classes' sampling rates, then calibrated by a logistic
+* ``score`` finds for every document the exact ``k`` nearest examples by cosine: a block is
+  opened only for the documents of a batch whose upper bound there reaches their k-th best.
+  Votes are weighted by similarity and by the classes' sampling rates, then calibrated by a logistic
   curve fitted to leave-one-out votes of the examples.
 
 Terms are runs of letters, lower-cased. Null and empty texts, and texts without any of the
@@ -17,7 +17,6 @@ An empty label table gives the score 0.0 everywhere. Only the text enters a scor
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -27,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, per_batch, small_batches, table, text_of
+from .common import batch_of, by_bucket, per_batch, small_batches, table, text_of
 
 TERM = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+UNIT = float(1 << 26)
+#: Documents of up to so many index terms are kept in a task's cache of scores.
+SHORT = 16
 
 
 def terms(text: str | None) -> list[str]:
@@ -56,33 +58,63 @@ class Index:
     empty: float = 0.0
 
     def vector(self, tf: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit-length weights of a document given its counts of index terms."""
+        """Terms and unit-length weights of a document given its counts of index terms.
+
+        Weights are whole multiples of 2**-26, so that a cosine is an exact sum in double
+        precision: the same in any order and any batch, and ties are true ties."""
         t = np.fromiter(sorted(tf), np.int64, len(tf))
         w = np.array([1.0 + np.log(tf[i]) for i in t.tolist()]) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum()) if len(t) else w
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, leave: int = -1) -> list[tuple[float, int]]:
-        """The exact k nearest examples (cosine, example), ties by the lower position."""
-        bound = w @ self.top[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == self.k and bound[b] * (1 + 1e-12) <= best[0][0]:
-                break
-            s0, s1 = self.start[b, t], self.start[b, t + 1]
-            n = s1 - s0
-            if not n.sum():
+        return t, np.rint(w / np.sqrt((w * w).sum()) * UNIT) / UNIT if len(t) else w
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of a block, opened: its terms and their weights (terms, BLOCK)."""
+        begin = self.start[b]
+        n = np.diff(begin)
+        t = np.flatnonzero(n)
+        out = np.zeros((len(t), BLOCK))
+        out[np.repeat(np.arange(len(t)), n[t]), self.local[begin[0] : begin[-1]]] = self.weight[begin[0] : begin[-1]]
+        return t, out
+
+    def nearest_many(self, vecs: list[tuple[np.ndarray, np.ndarray]], leave: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """The exact k nearest examples (cosine, example) of each document, ties by the lower
+        position; example ``leave[i]`` is none for document i.
+
+        The block of a document's highest bound gives a first k-th cosine. Then every block is
+        opened once, for the documents whose bound there reaches the k-th cosine so far."""
+        n, blocks = len(vecs), len(self.start)
+        x = np.zeros((n, len(self.vocab)))
+        for i, (t, w) in enumerate(vecs):
+            x[i, t] = w
+        bound = x @ self.top * (1 + 1e-12)
+        best, who = np.zeros((n, self.k)), np.full((n, self.k), -1)
+
+        def cosines(rows: np.ndarray, b: int) -> np.ndarray:
+            t, weights = self.block(b)
+            cos = x[np.ix_(rows, t)] @ weights
+            if leave is not None:
+                own = np.flatnonzero(leave[rows] // BLOCK == b)
+                cos[own, leave[rows[own]] % BLOCK] = 0.0
+            return cos
+
+        floor = np.zeros(n)
+        if blocks and self.k <= BLOCK:
+            for b, rows in by_bucket(bound.argmax(1)):
+                floor[rows] = np.partition(cosines(rows, b), BLOCK - self.k, 1)[:, BLOCK - self.k]
+        for b in range(blocks):
+            rows = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= np.maximum(floor, best[:, -1])))
+            if not len(rows):
                 continue
-            at = np.repeat(s0 - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            cos = np.bincount(self.local[at], self.weight[at] * np.repeat(w, n), BLOCK)
-            for i in np.flatnonzero(cos > 0).tolist():
-                x = (float(cos[i]), -(b * BLOCK + i))
-                if -x[1] == leave:
-                    continue
-                if len(best) < self.k:
-                    heapq.heappush(best, x)
-                elif x > best[0]:
-                    heapq.heapreplace(best, x)
-        return [(c, -i) for c, i in sorted(best, reverse=True)]
+            cos = cosines(rows, b)
+            better = (cos > best[rows, -1:]).any(1)
+            rows, cos = rows[better], cos[better]
+            merged = np.concatenate([best[rows], cos], 1)
+            order = np.argsort(-merged, axis=1, kind="stable")[:, : self.k]
+            at = np.concatenate([who[rows], np.broadcast_to(b * BLOCK + np.arange(BLOCK), cos.shape)], 1)
+            best[rows], who[rows] = np.take_along_axis(merged, order, 1), np.take_along_axis(at, order, 1)
+        return [[(c, i) for c, i in zip(cs, js, strict=True) if c > 0] for cs, js in zip(best.tolist(), who.tolist(), strict=True)]
+
+    def nearest(self, t: np.ndarray, w: np.ndarray) -> list[tuple[float, int]]:
+        return self.nearest_many([(t, w)])[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Weighted log-odds of the neighbours' labels; weights fall with the distance 1 - cos."""
@@ -198,7 +230,8 @@ def build(vocab: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, Cou
         used += len(t)
     if rows:
         ix.local, ix.weight = np.concatenate(local), np.concatenate(weight)
-        votes = np.array([ix.vote(ix.nearest(*x, leave=i)) for i, x in enumerate(vecs)])
+        near = [x for i in range(0, len(vecs), 1024) for x in ix.nearest_many(vecs[i : i + 1024], np.arange(i, min(i + 1024, len(vecs))))]
+        votes = np.array([ix.vote(x) for x in near])
         ix.a, ix.b = _logistic(votes, ix.label.astype(float), stands[ix.label])
     pos, neg = (sum(stands[y] for r in bare if r[1] == y) for y in (1, 0))
     ix.empty = float((pos + 0.01) / (pos + neg + 1.0)) if rows or bare else 0.0
@@ -218,17 +251,17 @@ def score(docs: DataFrame, index: Index, *keep: str) -> DataFrame:
         ix, cache = shared.value, {}
 
         def run(b):
-            scores, why = [], []
-            for text in b.column("text").to_pylist():
-                tf = ix.counts(text)
-                key = tuple(sorted(tf.items()))
-                if key not in cache:
-                    near = ix.nearest(*ix.vector(tf)) if tf else []
-                    if len(cache) > 50_000:
-                        cache.clear()
-                    cache[key] = ix.score(near), ",".join(f"{ix.ids[i]}:{ix.label[i]}:{c:.4f}" for c, i in near[:3])
-                scores.append(cache[key][0])
-                why.append(cache[key][1])
+            counts = [ix.counts(text) for text in b.column("text").to_pylist()]
+            keys = [tuple(sorted(tf.items())) for tf in counts]
+            got = {key: cache.get(key) for key in keys}
+            new = [key for key, known in got.items() if known is None]
+            if len(cache) > 50_000:
+                cache.clear()
+            for key, near in zip(new, ix.nearest_many([ix.vector(dict(key)) for key in new]), strict=True):
+                got[key] = ix.score(near), ",".join(f"{ix.ids[i]}:{ix.label[i]}:{c:.4f}" for c, i in near[:3])
+                if len(key) <= SHORT:
+                    cache[key] = got[key]
+            scores, why = [got[key][0] for key in keys], [got[key][1] for key in keys]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(why, pa.string())], names=[*keep, "score", "evidence"])
 
         return run
