@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+from difflib import get_close_matches
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,10 +70,13 @@ def replay_problems(found: DataFrame, recorded: DataFrame, key: str) -> DataFram
     return got.select(key, (F.size("p") == 0).alias("ok"), F.transform("p", lambda z: z["what"]).alias("problems"))
 
 
-def schema_block(tools: DataFrame) -> DataFrame:
-    """One row: compact JSON of all tools (name, description, params) by name, ``finish`` left out."""
-    one = F.struct("name", "description", "params")
-    return tools.where("name <> 'finish'").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("schema"))
+def schema_block(tools: DataFrame, order: str = "pos") -> DataFrame:
+    """One row, the system block of all tools (name, description, parameters as JSON text) in
+    order; ``finish`` is left out."""
+    head = F.to_json(F.struct("name", "description"))
+    one = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"parameters":'), F.col("parameters"), F.lit("}"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), one.alias("j")))), lambda z: z["j"]), ",")
+    return tools.where("name <> 'finish'").agg(F.concat(F.lit('<system>{"tools":['), all_, F.lit("]}</system>")).alias("schema"))
 
 
 def tool_listing(tools: DataFrame) -> DataFrame:
@@ -86,26 +90,38 @@ def unused_tools(used: Column, names: list[str]) -> Column:
     return F.array_except(F.array(*[F.lit(n) for n in names]), used)
 
 
+def closest_name(name: Column, names: list[str], cutoff: float = 0.82) -> Column:
+    """The trimmed name if it is known, else the closest known one of at least ``cutoff``, else itself."""
+
+    @F.pandas_udf(T.StringType())
+    def nearest(asked: pd.Series) -> pd.Series:
+        return asked.map(lambda a: None if a is None else (get_close_matches(a, names, 1, cutoff) or [a])[0])
+
+    plain = F.trim(name)
+    return F.when(plain.isin(names), plain).otherwise(nearest(plain))
+
+
 def check_call(name: Column, arguments: Column, required: dict[str, list[str]]) -> Column:
-    """Null for a call that can run, else what is wrong with it. Names are compared trimmed,
-    lower-cased and with blanks and dashes as underscores; arguments are a map."""
-    plain = F.regexp_replace(F.lower(F.trim(name)), r"[\s-]+", "_")
-    out = F.concat(F.lit("ERROR: unknown tool "), plain)
-    for tool, args in sorted(required.items()):
+    """Null for a call that can run, else its error text. Arguments are a map."""
+    out = F.concat(F.lit("ERROR: unknown tool '"), name, F.lit("'"))
+    for tool, args in required.items():
         missing = F.array_except(F.array(*[F.lit(a) for a in args]).cast("array<string>"), F.map_keys(arguments))
-        out = F.when(plain == tool, F.when(F.size(missing) > 0, F.concat(F.lit("ERROR: missing "), F.array_join(missing, ", ")))).otherwise(out)
+        says = F.concat(F.lit("ERROR: missing required parameters ['"), F.array_join(missing, "', '"), F.lit("']"))
+        out = F.when(name == tool, F.when(F.size(missing) > 0, says)).otherwise(out)
     return out
 
 
 def cut(text: Column, limit: int) -> Column:
-    return F.substring(text, 1, limit)
+    """Trimmed, with plain line ends, and with a note of the whole length where it is cut."""
+    plain = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+\z", "")
+    note = F.format_string("\n... (truncated, %d bytes total)", F.length(plain))
+    return F.when(F.length(plain) <= limit, plain).otherwise(F.concat(F.substring(plain, 1, limit), note))
 
 
 def cut_at_line(text: Column, limit: int = LINE_LIMIT) -> Column:
-    """At most ``limit`` characters, back to the last line end within them if there is one."""
-    head = F.substring(text, 1, limit)
-    whole = F.regexp_extract(head, r"(?s)^(.*)\n", 1)
-    return F.when(F.length(text) <= limit, text).when(whole != "", whole).otherwise(head)
+    """At most ``limit`` characters, back to the last line end within them, and dots."""
+    head = F.regexp_replace(F.substring(text, 1, limit), r"\n[^\n]*\z", "")
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(head, F.lit("\n...")))
 
 
 def run_output(stdout: Column, stderr: Column, code: Column) -> Column:
@@ -114,19 +130,29 @@ def run_output(stdout: Column, stderr: Column, code: Column) -> Column:
     return F.concat_ws("\n", F.when(code != 0, F.format_string("exit code %d", code)), F.when(F.length(stdout) > 0, cut(stdout, OUT_LIMIT)), err)
 
 
-def hit_summary(hits: Column) -> Column:
-    """How many hits there are and where the first one is."""
+def filled_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
+
+
+def hit_summary(text: Column) -> Column:
+    """How many lines of path:line:text there are and where the first one is."""
+    hits = F.filter(F.split(text, "\n"), lambda s: s.contains(":"))
     n = F.size(hits)
-    return F.when(n == 0, F.lit("no hits")).otherwise(F.concat(n.cast("string"), F.when(n == 1, " hit, at ").otherwise(" hits, first at "), F.element_at(F.split(F.try_element_at(hits, F.lit(1)), ": "), 1)))
+    says = F.concat(F.lit("Found "), n.cast("string"), F.when(n == 1, " match").otherwise(" matches"), F.lit(", the first at "), F.substring_index(F.try_element_at(hits, F.lit(1)), ":", 2), F.lit("."))
+    return F.when(n == 0, F.substring(text, 1, 120)).otherwise(says)
 
 
-def file_summary(files: Column, shown: int = 3) -> Column:
-    more = F.size(files) - shown
-    return F.concat(F.array_join(F.slice(files, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+def file_summary(text: Column, shown: int = 3) -> Column:
+    files = filled_lines(text)
+    n = F.size(files)
+    more = F.when(n > shown, F.concat(F.lit(" and "), (n - shown).cast("string"), F.lit(" more"))).otherwise("")
+    return F.when(n == 0, "No matching files.").otherwise(F.concat(n.cast("string"), F.lit(" file(s): "), F.array_join(F.slice(files, 1, shown), ", "), more, F.lit(".")))
 
 
-def filled_lines(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""))
+def read_summary(text: Column) -> Column:
+    lines = filled_lines(text)
+    first = F.coalesce(F.substring(F.trim(F.try_element_at(lines, F.lit(1))), 1, 90), F.lit(""))
+    return F.concat(F.lit("That section has "), F.size(lines).cast("string"), F.lit(" non-empty line(s), starting with: "), first)
 
 
 def name_filter(path: Column, pattern: Column) -> Column:
@@ -135,17 +161,17 @@ def name_filter(path: Column, pattern: Column) -> Column:
 
 
 def describe(source: str, symbol: str) -> str | None:
-    """Signature and first doc line of a function or class in a source text, else null."""
+    """Line, signature and documentation of a function or class in a source text, else null."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return None
-    for node in ast.walk(tree):
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) and node.name == symbol:
-            head = f"class {symbol}" if isinstance(node, ast.ClassDef) else f"def {symbol}({ast.unparse(node.args)})"
-            doc = (ast.get_docstring(node) or "").split("\n")[0]
-            return f"{head}: {doc}" if doc else head
-    return None
+    kinds = {ast.ClassDef: "class", ast.FunctionDef: "def", ast.AsyncFunctionDef: "def"}
+    found = next((n for n in ast.walk(tree) if type(n) in kinds and n.name == symbol), None)
+    if found is None:
+        return None
+    args = "" if isinstance(found, ast.ClassDef) else "(" + ", ".join(a.arg for a in found.args.args) + ")"
+    return f"{found.lineno}\n{kinds[type(found)]} {symbol}{args}\n\n{(ast.get_docstring(found) or '(no docstring)')[:600]}"
 
 
 @F.pandas_udf(T.StringType())
@@ -158,13 +184,11 @@ def tail_lines(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
     return lines.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
-def topic(text: Column, topics: dict[str, list[str]], default: str) -> Column:
-    """The topic with most occurrences of its words, the first listed on ties, else the default."""
-    low = F.lower(text)
-    count = lambda w: (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)
+def topic(text: Column, topics: dict[str, list[str]]) -> Column:
+    """The topic with most occurrences of its words, the first listed on ties (and where none occurs)."""
+    count = lambda w: (F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)
     scores = [F.struct(sum((count(w) for w in ws), F.lit(0.0)).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, ws) in enumerate(topics.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["t"]).otherwise(default)
+    return F.array_max(F.array(*scores))["t"]
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -32,8 +32,8 @@ def test_calls_and_replay(spark):
 
 
 def test_schemas(spark):
-    tools = spark.createDataFrame([("search", "find", ["q"]), ("finish", "end", []), ("calc", "count", ["expr"])], "name string, description string, params array<string>")
-    assert [t["name"] for t in json.loads(X.schema_block(tools).first().schema)] == ["calc", "search"]
+    tools = spark.createDataFrame([(1, "search", "find", ["q"], '{"type":"object"}'), (2, "finish", "end", [], "{}"), (3, "calc", "count", ["expr"], "{}")], "pos int, name string, description string, params array<string>, parameters string")
+    assert X.schema_block(tools).first().schema == '<system>{"tools":[{"name":"search","description":"find","parameters":{"type":"object"}},{"name":"calc","description":"count","parameters":{}}]}</system>'
     row = json.loads(X.tool_listing(tools).where("name = 'calc'").first().row)
     assert row == {"type": "function", "function": {"name": "calc", "description": "count", "parameters": {"type": "object", "properties": {"expr": {"type": "string"}}, "required": ["expr"]}}}
     assert value(spark, X.unused_tools(F.array(F.lit("calc")), ["calc", "search"])) == ["search"]
@@ -41,31 +41,34 @@ def test_schemas(spark):
 
 def test_check_call(spark):
     args = F.create_map(F.lit("q"), F.lit("x"))
-    need = {"search_files": ["q"], "calc": ["expr"], "time": []}
-    assert value(spark, X.check_call(F.lit(" Search-Files"), args, need)) is None
-    assert value(spark, X.check_call(F.lit("calc"), args, need)) == "ERROR: missing expr"
+    need = {"web_search": ["q"], "calc": ["expr", "unit"], "time": []}
+    assert value(spark, X.closest_name(F.lit(" web_serch"), list(need))) == "web_search"
+    assert value(spark, X.closest_name(F.lit("fly"), list(need))) == "fly"
+    assert value(spark, X.check_call(F.lit("web_search"), args, need)) is None
+    assert value(spark, X.check_call(F.lit("calc"), args, need)) == "ERROR: missing required parameters ['expr', 'unit']"
     assert value(spark, X.check_call(F.lit("time"), args, need)) is None
-    assert value(spark, X.check_call(F.lit("fly"), args, need)) == "ERROR: unknown tool fly"
+    assert value(spark, X.check_call(F.lit("fly"), args, need)) == "ERROR: unknown tool 'fly'"
 
 
 def test_summaries(spark):
-    assert value(spark, X.cut_at_line(F.lit("ab\ncd\nef"), 6)) == "ab\ncd"
-    assert value(spark, X.cut_at_line(F.lit("abcdef"), 3)) == "abc"
+    assert value(spark, X.cut_at_line(F.lit("ab\ncd\nef"), 6)) == "ab\ncd\n..."
+    assert value(spark, X.cut_at_line(F.lit("abcdef"), 3)) == "abc\n..."
+    assert value(spark, X.cut(F.lit(" abc\r\nde "), 3)) == "abc\n... (truncated, 6 bytes total)"
     assert value(spark, X.run_output(F.lit("out"), F.lit("bad"), F.lit(2))) == "exit code 2\nout\nstderr:\nbad"
-    assert value(spark, X.hit_summary(F.array(F.lit("a.py:3: x"), F.lit("b.py:1: y")))) == "2 hits, first at a.py:3"
-    assert value(spark, X.hit_summary(F.array().cast("array<string>"))) == "no hits"
-    assert value(spark, X.file_summary(F.array(*[F.lit(c) for c in "abcde"]))) == "a, b, c and 2 more"
-    assert value(spark, X.filled_lines(F.lit("a\n \nb\n"))) == 2
+    assert value(spark, X.hit_summary(F.lit("a.py:3: x\nb.py:1: y"))) == "Found 2 matches, the first at a.py:3."
+    assert value(spark, X.hit_summary(F.lit("nothing"))) == "nothing"
+    assert value(spark, X.file_summary(F.lit("a\nb\n\nc\nd\ne"))) == "5 file(s): a, b, c and 2 more."
+    assert value(spark, X.file_summary(F.lit(""))) == "No matching files."
+    assert value(spark, X.read_summary(F.lit("\n a\nb\n"))) == "That section has 2 non-empty line(s), starting with: a"
     assert value(spark, X.name_filter(F.lit("Src/Main.PY"), F.lit("main.p"))) is True
 
 
 def test_symbols_topics_tail(spark):
     df = spark.createDataFrame([('def f(a, b=1):\n    """Adds.\n\n    More."""\n', "f"), ("def (", "f"), ("x = 1", "f"), (None, "f")], "source string, symbol string")
-    assert [r.v for r in df.select(X.describe_symbol("source", "symbol").alias("v")).collect()] == ["def f(a, b=1): Adds.", None, None, None]
+    assert [r.v for r in df.select(X.describe_symbol("source", "symbol").alias("v")).collect()] == ["1\ndef f(a, b)\n\nAdds.\n\nMore.", None, None, None]
     topics = {"animals": ["cat", "dog"], "sky": ["moon"]}
-    assert value(spark, X.topic(F.lit("The moon, a Moon and a cat"), topics, "other")) == "sky"
-    assert value(spark, X.topic(F.lit("moon cat"), topics, "other")) == "animals"
-    assert value(spark, X.topic(F.lit("x"), topics, "other")) == "other"
+    assert value(spark, X.topic(F.lit("The moon, a moon and a cat"), topics)) == "sky"
+    assert value(spark, X.topic(F.lit("moon cat"), topics)) == value(spark, X.topic(F.lit("x"), topics)) == "animals"
     assert [r.id for r in X.tail_lines(spark.range(10), 3, "id").collect()] == [7, 8, 9]
     assert [r.id for r in X.pending(spark.range(4), spark.range(3), "id").collect()] == [3]
 
