@@ -1,14 +1,17 @@
-"""Embedding near-dedup by collision counting over sorted projections.
+"""Embedding near-dedup by collisions in windows of sorted projections.
 
 Every list sorts the vectors by a one-dimensional random projection, within cells of ``depth``
 further coarse projections that keep the lists' windows short as the data grow. Around each
-vector a window of two standard deviations of a threshold pair's difference is a collision
-with what stands in it. Collisions are counted per pair over all lists; pairs that reach a
-count are verified with the exact cosine. The count is calibrated: the largest one that a
-pair at the threshold itself reaches with probability ``recall`` (binomial in the number of
-lists). In a crowded window a vector collides with the window's few smallest by a hash, which
-are the same ones in every list, instead of with all, so groups of copies yield a linear number of
-pairs; the links within a connected family are then completed exactly, in blocks.
+vector a window of two standard deviations of a threshold pair's difference holds its partners.
+A pair that shares a window in any list, and whose sketches (signs of ``BITS`` projections) differ
+in no more bits than a pair at the threshold's do, is verified with the exact cosine. How many
+others stand in a window changes the work, never what is found: the depth and the bits are
+calibrated so that a pair at the threshold is found with probability ``recall``.
+
+Groups of copies yield a linear number of pairs: a vector with more than ``CROWD`` partners in a
+window first goes with the ``LEADERS`` smallest of these by a hash alone. The pairs of two such
+vectors that verified links have not connected by then are all compared in a second round. The
+links within a connected family are then completed exactly, in blocks.
 
 Vectors that are null, zero, of a length other than the first one's, or hold null or
 non-finite components link with nothing. Rows of the same vec_id are one vector (the
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, by_bucket, components, materialise, mix, n_groups, small_batches, table
 
-BLOCK, CROWD, LEADERS = 1024, 16, 8
+BLOCK, CROWD, LEADERS, BITS = 1024, 16, 8, 128
+#: Pairs of a window that are compared at once.
+AT_ONCE = 1 << 19
 #: Vectors whose entries of all lists a task gathers before it deals them out.
 HELD = 16384
 
@@ -36,7 +41,10 @@ def _phi(x: float) -> float:
 
 
 def calibrate(n: int, threshold: float, lists: int, recall: float) -> tuple[int, float, float, int]:
-    """(depth, cell width, window, count) for n vectors."""
+    """(depth, cell width, window, bits that may differ) for n vectors.
+
+    A pair at the threshold is missed by the sketch with a tenth of 1 - ``recall`` at most, and
+    by all lists with half of it; a depth that would lose more is not taken."""
     r = math.sqrt(2 - 2 * threshold)
     width, window = 5.7 * r, 2 * r
 
@@ -46,13 +54,13 @@ def calibrate(n: int, threshold: float, lists: int, recall: float) -> tuple[int,
 
     far = 2 * _phi(window / math.sqrt(2)) - 1
     depth = max(1, math.ceil(math.log(max(n, 2) * far / 2.0) / -math.log(same_cell(math.sqrt(2)))))
-    while depth > 1 and same_cell(r) ** depth * lists < 5:
+    while depth > 1 and (1 - same_cell(r) ** depth * (2 * _phi(2) - 1)) ** lists > (1 - recall) / 2:
         depth -= 1
-    q, best = same_cell(r) ** depth * (2 * _phi(2) - 1), 1
-    for c in range(1, lists + 1):
-        if 1 - sum(math.comb(lists, i) * q**i * (1 - q) ** (lists - i) for i in range(c)) >= recall:
-            best = c
-    return depth, width, window, best
+    p, bits, held = math.acos(threshold) / math.pi, -1, 0.0
+    while held < 1 - (1 - recall) / 10 and bits < BITS:
+        bits += 1
+        held += math.comb(BITS, bits) * p**bits * (1 - p) ** (BITS - bits)
+    return depth, width, window, bits
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -82,23 +90,39 @@ def _stack(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
 
 
-def _window_pairs(ids: np.ndarray, at: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
-    """Collisions within one cell: all of a window, or its leaders where it is crowded."""
-    order = np.lexsort((ids, at))
-    ids, at = ids[order], at[order]
-    lo, hi = np.searchsorted(at, at - window), np.searchsorted(at, at + window, "right")
+def _window_pairs(ids: np.ndarray, cell: np.ndarray, at: np.ndarray, sketch: np.ndarray, window: float, bits: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the cells' windows whose sketches are alike. Of a crowd of partners the
+    leaders alone, and the vector itself as a mark; with ``label`` all that bear another one."""
+    order = np.lexsort((ids, at, cell))
+    ids, cell, at, sketch = ids[order], cell[order], at[order], sketch[:, order]
+    label = label if label is None else label[order]
+    key = at - at.min()
+    key += np.cumsum(np.concatenate([[False], cell[1:] != cell[:-1]])) * (key.max() + 2 * window)
+    lo, hi = np.searchsorted(key, key - window), np.searchsorted(key, key + window, "right")
     rank = mix(ids.astype(np.uint64))
-    a, b = [], []
-    few = hi - lo <= CROWD
-    n = np.where(few, hi - np.arange(len(ids)) - 1, 0)
-    a.append(np.repeat(ids, n))
-    b.append(ids[np.repeat(np.arange(len(ids)) + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-    for i in np.flatnonzero(~few).tolist():
-        span = rank[lo[i] : hi[i]]
-        lead = ids[lo[i] + np.argpartition(span, LEADERS)[:LEADERS]]
-        lead = lead[lead != ids[i]]
-        a.append(np.full(len(lead), ids[i]))
-        b.append(lead)
+    a, b, done = [], [], np.concatenate([[0], np.cumsum(hi - lo)])
+    i = 0
+    while i < len(ids):
+        end = max(i + 1, int(np.searchsorted(done, done[i] + AT_ONCE, "right")) - 1)
+        n = (hi - lo)[i:end]
+        x = np.repeat(np.arange(i, end), n)
+        y = np.arange(len(x)) - np.repeat(done[i:end] - done[i], n) + np.repeat(lo[i:end], n)
+        keep = x != y if label is None else (x < y) & (label[x] != label[y])
+        x, y = x[keep], y[keep]
+        alike = np.bitwise_count(sketch[:, x] ^ sketch[:, y]).sum(0, dtype=np.int64) <= bits
+        x, y = x[alike], y[alike]
+        if label is None:
+            crowded = np.flatnonzero(np.bincount(x - i, minlength=end - i) > CROWD) + i
+            if len(crowded):
+                inside = np.isin(x, crowded)
+                u, v = x[inside], y[inside]
+                by = np.lexsort((rank[v], u))
+                u, v = u[by], v[by]
+                lead = np.arange(len(u)) - np.searchsorted(u, u) < LEADERS
+                x, y = np.concatenate([x[~inside], u[lead], crowded]), np.concatenate([y[~inside], v[lead], crowded])
+        a.append(ids[x])
+        b.append(ids[y])
+        i = end
     a, b = np.concatenate(a), np.concatenate(b)
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -113,20 +137,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     head = units.select(F.length("unit").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
     dim = head["n"] // 8 if head else 1
     units = units.where(F.length("unit") == 8 * dim)
-    depth, width, window, least = calibrate(n, threshold, lists, recall)
+    depth, width, window, bits = calibrate(n, threshold, lists, recall)
     rng = np.random.default_rng(seed)
     lines = rng.standard_normal((lists, depth + 1, dim))
     shift = rng.random((lists, depth)) * width
-    cell_schema = pa.schema([("cell", pa.int64()), ("ids", pa.binary()), ("at", pa.binary())])
+    signs = rng.standard_normal((dim, BITS))
+    cell_schema = pa.schema([("cell", pa.int64()), ("whole", pa.binary()), ("at", pa.binary())])
     deals = n_groups(n, 2048, 64)
 
     def dealt(parts):
         """One row a deal that occurs, holding all lists' entries of many vectors."""
-        ids, cell, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        out = {"cell": [], "ids": [], "at": []}
-        for d, rows in by_bucket((cell % np.uint64(deals)).astype(np.int64)):
+        whole, at = (np.concatenate(x, -1) for x in zip(*parts, strict=True))
+        out = {"cell": [], "whole": [], "at": []}
+        for d, rows in by_bucket((whole[1].view(np.uint64) % np.uint64(deals)).astype(np.int64)):
             out["cell"].append(d)
-            out["ids"].append(ids[rows].tobytes() + cell[rows].tobytes())
+            out["whole"].append(whole[:, rows].tobytes())
             out["at"].append(at[rows].tobytes())
         return batch_of(out, cell_schema)
 
@@ -136,12 +161,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             if not b.num_rows:
                 continue
             ids, x = np.array(b.column("id")), _stack(b.column("unit"))
+            more = [*np.packbits(x @ signs > 0, axis=1).view(np.int64).T, *([np.array(b.column("label"))] if "label" in b.schema.names else [])]
             for j in range(lists):
                 p = x @ lines[j].T
                 cell = np.full(len(ids), j, np.uint64)
                 for k in range(depth):
                     cell = mix(cell * np.uint64(0x9E3779B97F4A7C15) + np.floor((p[:, k] + shift[j, k]) / width).astype(np.int64).astype(np.uint64))
-                parts.append((ids, cell, p[:, depth].copy()))
+                parts.append((np.stack([ids, cell.view(np.int64), *more]), p[:, depth].copy()))
             held += len(ids)
             if held >= HELD:
                 yield dealt(parts)
@@ -149,22 +175,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         if parts:
             yield dealt(parts)
 
-    def collide(t: pa.Table) -> pa.Table:
-        both = [np.frombuffer(x, np.int64).reshape(2, -1) for x in t.column("ids").to_pylist()]
-        ids, cell = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-        at = np.frombuffer(b"".join(t.column("at").to_pylist()), np.float64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, rows in by_bucket(cell):
-            if len(rows) > 1:
-                x, y = _window_pairs(ids[rows], at[rows], window)
-                a.append(x)
-                b.append(y)
-        pairs, count = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0, return_counts=True)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": np.minimum(count, 1 << 30).astype(np.int64)})
-
-    hits = units.mapInArrow(project, "cell long, ids binary, at binary").groupBy("cell").applyInArrow(collide, "a long, b long, n long")
-    likely = hits.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b")
-    pairs = likely.join(units.select(F.col("id").alias("a"), F.col("unit").alias("u")), "a").join(units.select(F.col("id").alias("b"), F.col("unit").alias("v")), "b")
+    def hits(vectors: DataFrame) -> DataFrame:
+        rows = 5 if "label" in vectors.columns else 4
+
+        def collide(t: pa.Table) -> pa.Table:
+            whole = np.concatenate([np.frombuffer(x, np.int64).reshape(rows, -1) for x in t.column("whole").to_pylist()], 1)
+            at = np.frombuffer(b"".join(t.column("at").to_pylist()), np.float64)
+            a, b = _window_pairs(whole[0], whole[1], at, whole[2:4].view(np.uint64), window, bits, *whole[4:])
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        return vectors.mapInArrow(project, "cell long, whole binary, at binary").groupBy("cell").applyInArrow(collide, "a long, b long").distinct()
 
     def verify(batches):
         for b in batches:
@@ -172,7 +193,20 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 ok = (_stack(b.column("u")) * _stack(b.column("v"))).sum(1) >= threshold
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
 
-    family = components(pairs.select("a", "b", "u", "v").mapInArrow(verify, "a long, b long"))
+    def verified(likely: DataFrame) -> DataFrame:
+        pairs = likely.join(units.select(F.col("id").alias("a"), F.col("unit").alias("u")), "a").join(units.select(F.col("id").alias("b"), F.col("unit").alias("v")), "b")
+        return materialise(pairs.select("a", "b", "u", "v").mapInArrow(verify, "a long, b long"))
+
+    first = materialise(hits(units))
+    links = verified(first.where("a <> b"))
+    family = components(links)
+    crowd = first.where("a = b").select(F.col("a").alias("id"))
+    if not crowd.isEmpty():
+        label = family.select(F.col("node").alias("id"), F.col("component").alias("label"))
+        rest = units.join(crowd, "id").join(label, "id", "left").select("id", "unit", F.coalesce("label", "id").alias("label"))
+        rest = verified(hits(rest))
+        if not rest.isEmpty():
+            family = components(links.unionByName(rest))
     sizes = family.groupBy("component").agg(F.count("*").alias("n"))
     x = units.join(family.join(sizes, "component").select(F.col("node").alias("id"), "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "id")
     x = x.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

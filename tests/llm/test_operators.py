@@ -235,6 +235,32 @@ def test_embeddings(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_hot_third(spark):
+    from lathe.llm import neighbours
+
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 64)))
+    x[:2000] = unit(0.6**0.5 * unit(rng.standard_normal(64)) + 0.4**0.5 * x[:2000])
+    pairs = 200
+    for i in range(pairs):  # isolated pairs at cosine 0.955, half of them in the hot third
+        j = i if i < pairs // 2 else 3000 + i
+        d = rng.standard_normal(64)
+        d = unit(d - (d @ x[j]) * x[j])
+        x[j + pairs] = 0.955 * x[j] + (1 - 0.955**2) ** 0.5 * d
+    x[5000:5400] = unit(x[400] + 0.02 * rng.standard_normal((400, 64)))  # a family of copies among the hot
+    d = rng.standard_normal((20, 64))
+    x[5400:5420] = unit(0.955 * x[5000] + (1 - 0.955**2) ** 0.5 * unit(d - np.outer(d @ x[5000], x[5000])))
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+    assert all(got[i] <= near[i].sum() for i in got)
+    single = np.flatnonzero(near.sum(1) == 1).tolist()
+    assert len(single) > 300 and sum(got[i] for i in single) >= 0.99 * len(single)
+    assert sum(got.values()) >= 0.99 * near.sum()
+
+
 def test_substrings(spark, docs, none):
     from lathe.llm import substrings
 
