@@ -1,24 +1,23 @@
-"""Toxicity by the nearest labelled examples, found with a block-max inverted index.
+"""Toxicity by the nearest labelled examples, found with an inverted index.
 
 * ``fit`` takes at most ``max_positive`` + ``max_negative`` labelled rows (the documented
-  bound; which ones is decided by a hash of the id alone), keeps the ``max_terms`` terms
-  whose class association is significant (log-likelihood ratio), takes their document
-  frequencies from *all* documents, and lays the examples' TF-IDF vectors out as postings in
-  blocks of ``BLOCK`` examples with the largest weight of each term in each block.
-* ``score`` finds for every document the exact ``k`` nearest examples by cosine: a block is
-  opened only for the documents of a batch whose upper bound there reaches their k-th best.
-  Votes are weighted by similarity and by the classes' sampling rates, then calibrated by a logistic
-  curve fitted to leave-one-out votes of the examples.
-
-Terms are runs of letters, lower-cased. Null and empty texts, and texts without any of the
-terms, get the calibrated rate of labelled rows without them. Repeated rows get equal scores.
+  bound; which ones is decided by a hash of the id alone) and lays the TF-IDF vectors of all
+  their terms out as postings. Document frequencies are those of *all* documents, for all terms.
+  A weight is TF-IDF times 1 + sqrt(g), g being the log-likelihood ratio of the term's classes
+  among the examples (0 for terms that none has): no term is left out, telling ones weigh more.
+* ``score`` finds for every document the exact ``k`` nearest examples by the cosine of the full
+  vectors; terms that no example has count in the document's norm. Votes are weighted by
+  similarity and by the classes' sampling rates, then calibrated by a logistic curve fitted to
+  leave-one-out votes of the examples.
+
+Terms are runs of letters, lower-cased, known by 64-bit digests. Null and empty texts, and texts that
+share no term with an example, get the rate of labelled rows without terms. Repeated rows get equal scores.
 An empty label table gives the score 0.0 everywhere. Only the text enters a score.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,92 +25,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, by_bucket, per_batch, small_batches, table, text_of
+from .common import batch_of, per_batch, small_batches, table, text_of, word_hashes
 
 TERM = re.compile(r"[^\W\d_]+")
-BLOCK = 64
 UNIT = float(1 << 26)
-#: Documents of up to so many index terms are kept in a task's cache of scores.
-SHORT = 16
+#: Documents compared at once; terms of more than one in ``COMMON`` examples are held as dense rows.
+BATCH, COMMON = 256, 16
 
 
 def terms(text: str | None) -> list[str]:
     return TERM.findall(text_of(text).lower())
 
 
+def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of a text as sorted digests, and how often each occurs."""
+    return np.unique(word_hashes().array(terms(text)), return_counts=True)
+
+
+def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Positions of ``x`` in a sorted table, -1 where it is not."""
+    if not len(table):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
 @dataclass
 class Index:
-    """The examples' postings by (block, term), and what turns votes into scores."""
-
-    vocab: dict[str, int]
-    idf: np.ndarray
-    start: np.ndarray  # (blocks, terms + 1): where a block's postings of a term begin
-    local: np.ndarray  # example within its block
-    weight: np.ndarray  # unit-length TF-IDF weight
-    top: np.ndarray  # (terms, blocks): the largest weight
+    """The examples' postings by term, and what turns votes into scores."""
+
+    vocab: np.ndarray  # digests of the examples' terms, sorted
+    idf: np.ndarray  # inverse document frequency times 1 + sqrt of the class association
+    others: np.ndarray  # digests of all other terms of two documents or more, sorted
+    others_df: np.ndarray
+    n_docs: int
     label: np.ndarray
     ids: np.ndarray
     class_weight: np.ndarray  # labelled rows that an example of each class stands for
     k: int
+    start: np.ndarray | None = None  # where a term's postings begin
+    example: np.ndarray | None = None
+    weight: np.ndarray | None = None  # unit-length TF-IDF weight
+    dense: np.ndarray | None = None  # (common terms, examples)
+    row: np.ndarray | None = None  # a term's row in ``dense`` or -1
     a: float = 0.0
     b: float = 0.0
     empty: float = 0.0
 
-    def vector(self, tf: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit-length weights of a document given its counts of index terms.
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return term_counts(text)
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Index terms and their weights in the document's unit-length vector over all terms.
 
         Weights are whole multiples of 2**-26, so that a cosine is an exact sum in double
         precision: the same in any order and any batch, and ties are true ties."""
-        t = np.fromiter(sorted(tf), np.int64, len(tf))
-        w = np.array([1.0 + np.log(tf[i]) for i in t.tolist()]) * self.idf[t]
-        return t, np.rint(w / np.sqrt((w * w).sum()) * UNIT) / UNIT if len(t) else w
-
-    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The postings of a block, opened: its terms and their weights (terms, BLOCK)."""
-        begin = self.start[b]
-        n = np.diff(begin)
-        t = np.flatnonzero(n)
-        out = np.zeros((len(t), BLOCK))
-        out[np.repeat(np.arange(len(t)), n[t]), self.local[begin[0] : begin[-1]]] = self.weight[begin[0] : begin[-1]]
-        return t, out
+        words, n = counts
+        t = find(self.vocab, words)
+        inside = t >= 0
+        w = (1.0 + np.log(n[inside])) * self.idf[t[inside]]
+        at = find(self.others, words[~inside])
+        df = np.where(at >= 0, self.others_df[at], 1) if len(self.others) else np.ones(len(at))
+        rest = (1.0 + np.log(n[~inside])) * inverse_frequency(df, self.n_docs)
+        return t[inside], np.rint(w / np.sqrt((w * w).sum() + (rest * rest).sum()) * UNIT) / UNIT if len(w) else w
+
+    def lay_out(self, vecs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        t = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in vecs)])
+        who = np.repeat(np.arange(len(vecs), dtype=np.int32), [len(x[0]) for x in vecs])
+        w = np.concatenate([np.zeros(0), *(x[1] for x in vecs)])
+        n = np.bincount(t, minlength=len(self.vocab))
+        common = np.flatnonzero(n * COMMON > len(vecs))
+        self.row = np.full(len(self.vocab), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(vecs)))
+        often = self.row[t] >= 0
+        self.dense[self.row[t[often]], who[often]] = w[often]
+        order = np.argsort(t[~often], kind="stable")
+        n[common] = 0
+        self.start = np.concatenate([[0], np.cumsum(n)])
+        self.example, self.weight = who[~often][order], w[~often][order]
 
     def nearest_many(self, vecs: list[tuple[np.ndarray, np.ndarray]], leave: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """The exact k nearest examples (cosine, example) of each document, ties by the lower
-        position; example ``leave[i]`` is none for document i.
-
-        The block of a document's highest bound gives a first k-th cosine. Then every block is
-        opened once, for the documents whose bound there reaches the k-th cosine so far."""
-        n, blocks = len(vecs), len(self.start)
-        x = np.zeros((n, len(self.vocab)))
-        for i, (t, w) in enumerate(vecs):
-            x[i, t] = w
-        bound = x @ self.top * (1 + 1e-12)
-        best, who = np.zeros((n, self.k)), np.full((n, self.k), -1)
-
-        def cosines(rows: np.ndarray, b: int) -> np.ndarray:
-            t, weights = self.block(b)
-            cos = x[np.ix_(rows, t)] @ weights
+        position; example ``leave[i]`` is none for document i."""
+        out, k = [], min(self.k, len(self.ids))
+        for i in range(0, len(vecs), BATCH):
+            part = vecs[i : i + BATCH]
+            x, cos = np.zeros((len(part), len(self.dense))), np.zeros((len(part), len(self.ids)))
+            for j, (t, w) in enumerate(part):
+                row = self.row[t]
+                x[j, row[row >= 0]] = w[row >= 0]
+                t, w = t[row < 0], w[row < 0]
+                begin, n = self.start[t], self.start[t + 1] - self.start[t]
+                at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+                cos[j] = np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), len(self.ids))
+            cos += x @ self.dense
             if leave is not None:
-                own = np.flatnonzero(leave[rows] // BLOCK == b)
-                cos[own, leave[rows[own]] % BLOCK] = 0.0
-            return cos
-
-        floor = np.zeros(n)
-        if blocks and self.k <= BLOCK:
-            for b, rows in by_bucket(bound.argmax(1)):
-                floor[rows] = np.partition(cosines(rows, b), BLOCK - self.k, 1)[:, BLOCK - self.k]
-        for b in range(blocks):
-            rows = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= np.maximum(floor, best[:, -1])))
-            if not len(rows):
-                continue
-            cos = cosines(rows, b)
-            better = (cos > best[rows, -1:]).any(1)
-            rows, cos = rows[better], cos[better]
-            merged = np.concatenate([best[rows], cos], 1)
-            order = np.argsort(-merged, axis=1, kind="stable")[:, : self.k]
-            at = np.concatenate([who[rows], np.broadcast_to(b * BLOCK + np.arange(BLOCK), cos.shape)], 1)
-            best[rows], who[rows] = np.take_along_axis(merged, order, 1), np.take_along_axis(at, order, 1)
-        return [[(c, i) for c, i in zip(cs, js, strict=True) if c > 0] for cs, js in zip(best.tolist(), who.tolist(), strict=True)]
+                cos[np.arange(len(part)), leave[i : i + BATCH]] = 0.0
+            least = np.partition(cos, -k, 1)[:, -k] if k else []
+            for j in range(len(part)):
+                who = np.flatnonzero((cos[j] >= least[j]) & (cos[j] > 0)) if k else np.zeros(0, np.int64)
+                who = who[np.argsort(-cos[j, who], kind="stable")[: self.k]]
+                out.append(list(zip(cos[j, who].tolist(), who.tolist(), strict=True)))
+        return out
 
     def nearest(self, t: np.ndarray, w: np.ndarray) -> list[tuple[float, int]]:
         return self.nearest_many([(t, w)])[0]
@@ -127,9 +143,20 @@ class Index:
     def score(self, near: list[tuple[float, int]]) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.a * self.vote(near) + self.b, -30, 30)))) if near else self.empty
 
-    def counts(self, text: str | None) -> Counter:
-        v = self.vocab
-        return Counter(v[x] for x in terms(text) if x in v)
+
+def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log((1 + n_docs) / (1 + df)) + 1.0
+
+
+def association(rows: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], vocab: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each term's presence in the two classes of examples."""
+    n = [1.0 + sum(r[1] == y for r in rows) for y in (0, 1)]
+    with_term = np.zeros((2, len(vocab)))
+    for _, y, (words, _) in rows:
+        with_term[y, find(vocab, words)] += 1
+    rate = with_term.sum(0) / sum(n)
+    xlog = lambda o, e: np.where(o > 0, o * np.log(np.where(o > 0, o, 1.0) / np.where(o > 0, e, 1.0)), 0.0)
+    return np.maximum(2 * sum(xlog(with_term[y], n[y] * rate) + xlog(n[y] - with_term[y], n[y] * (1 - rate)) for y in (0, 1)), 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -147,12 +174,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(max(a, 0.0)), float(b)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = 4096, max_negative: int = 4096, max_terms: int = 1024, k: int = 15) -> Index:
+def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = 4096, max_negative: int = 4096, k: int = 15) -> Index:
     """An index from ``labelled`` (doc_id, label 0/1; rows with a null in either are left out).
 
-    Reads the documents three times: class counts of the examples' terms, document
-    frequencies of the chosen terms over all documents, and the examples' vectors. At most
-    ``max_positive + max_negative`` examples and ``max_terms`` counts reach the driver.
+    Reads the documents twice: the examples' terms, and document frequencies of all terms. At
+    most ``max_positive + max_negative`` examples and 16 bytes a term that two documents or
+    more have reach the driver.
     """
     known = labelled.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     totals = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -161,76 +188,58 @@ def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = 4096, max_nega
     some = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in sample.select("doc_id", "label").collect()], "doc_id long, label int")
     examples = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most max_positive + max_negative rows of 12 bytes
 
-    class_schema = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
+    vec_schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("words", pa.binary()), ("tf", pa.binary())])
 
-    def class_counts(batches):
-        got = (Counter(), Counter())
+    def vectors(batches):
         for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                got[y].update({x[:64] for x in terms(text)})
-        words = list(got[0] | got[1])
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            yield batch_of({"term": part, "pos": [got[1][x] for x in part], "neg": [got[0][x] for x in part]}, class_schema)
-
-    by_term = examples.mapInArrow(class_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n1, n0 = (F.lit(float(min(totals.get(i, 0), m) + 1)) for i, m in ((1, max_positive), (0, max_negative)))
-    xlog = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    both = F.col("pos") + F.col("neg")
-    rate = both / (n1 + n0)
-    g = 2 * (xlog(F.col("pos"), n1 * rate) + xlog(F.col("neg"), n0 * rate) + xlog(n1 - F.col("pos"), n1 * (1 - rate)) + xlog(n0 - F.col("neg"), n0 * (1 - rate)))
-    chosen = [r["term"] for r in by_term.where((both >= 5) & (F.col("pos") < n1) & (F.col("neg") < n0)).select("term", g.alias("g")).where("g > 15").orderBy(F.desc("g"), "term").limit(max_terms).collect()]
-    vocab = {t: i for i, t in enumerate(chosen)}
-
-    df_schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+            c = [term_counts(t) for t in b.column("text").to_pylist()]
+            yield batch_of({"doc_id": b.column("doc_id"), "label": b.column("label"), "words": [x.tobytes() for x, _ in c], "tf": [n.astype(np.int64).tobytes() for _, n in c]}, vec_schema)
 
-    def doc_counts(batches):
-        c = Counter()
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                c.update({vocab[x] for x in terms(text) if x in vocab})
-                c[-1] += 1
-        yield batch_of({"term": list(c), "n": list(c.values())}, df_schema)
+    rows = [(r["doc_id"], r["label"], (np.frombuffer(r["words"], np.uint64), np.frombuffer(r["tf"], np.int64))) for r in examples.mapInArrow(vectors, "doc_id long, label int, words binary, tf binary").collect()]
 
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(doc_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_docs = df.pop(-1, 0)
-    idf = np.array([np.log((1 + n_docs) / (1 + df.get(i, 0))) + 1.0 for i in range(len(vocab))])
+    df_schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
-    vec_schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("term", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
+    def doc_counts(batches):
+        def out(held, n):
+            words, n_of = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            for i in range(0, len(words), 100_000):
+                yield batch_of({"word": words[i : i + 100_000].view(np.int64), "n": n_of[i : i + 100_000].astype(np.int64)}, df_schema)
+            yield batch_of({"word": [None], "n": [n]}, df_schema)
 
-    def vectors(batches):
+        held, size, n = [], 0, 0
         for b in batches:
-            c = [Counter(vocab[x] for x in terms(t) if x in vocab) for t in b.column("text").to_pylist()]
-            yield batch_of({"doc_id": b.column("doc_id"), "label": b.column("label"), "term": [list(x) for x in c], "tf": [list(x.values()) for x in c]}, vec_schema)
-
-    rows = examples.mapInArrow(vectors, "doc_id long, label int, term array<int>, tf array<int>").collect()
-    return build(vocab, idf, [(r["doc_id"], r["label"], Counter(dict(zip(r["term"], r["tf"], strict=True)))) for r in rows], totals, k)
-
-
-def build(vocab: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, Counter]], totals: dict[int, int], k: int) -> Index:
-    """Lay the examples out in blocks of alike ones, so that bounds are tight, and calibrate."""
+            for text in b.column("text").to_pylist():
+                held.append(term_counts(text)[0])
+                size, n = size + len(held[-1]), n + 1
+                if size > 4_000_000:
+                    yield from out(held, n)
+                    held, size, n = [], 0, 0
+        yield from out(held, n)
+
+    by_word = docs.select("text").mapInArrow(doc_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word IS NULL OR n > 1").toArrow()
+    word, n = by_word.column("word"), by_word.column("n").to_numpy()
+    none = word.is_null().to_numpy()
+    n_docs, n = int(n[none].sum()), n[~none]
+    word = word.drop_null().to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    word, n = word[order], n[order].astype(np.uint32)
+    return build(word, n, n_docs, rows, totals, k)
+
+
+def build(word: np.ndarray, df: np.ndarray, n_docs: int, rows: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], totals: dict[int, int], k: int) -> Index:
+    """Lay the examples out and calibrate; ``word`` are sorted digests of the terms of ``df`` > 1 documents."""
     n = [max(1, sum(r[1] == y for r in rows)) for y in (0, 1)]
     stands = np.array([max(totals.get(y, 0), 1) / n[y] for y in (0, 1)])
-    bare = [r for r in rows if not r[2]]
-    rows = sorted((r for r in rows if r[2]), key=lambda r: (min(r[2]), r[1], len(r[2]), sorted(r[2].items()), r[0]))
-    blocks, v = -(-len(rows) // BLOCK), len(vocab)
-    ix = Index(vocab, idf, np.zeros((blocks, v + 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((v, blocks)), np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64), stands, k)
+    bare = [r for r in rows if not len(r[2][0])]
+    rows = sorted((r for r in rows if len(r[2][0])), key=lambda r: (r[0], r[1], r[2][0].tobytes(), r[2][1].tobytes()))
+    vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2][0] for r in rows)]))
+    at, inside = find(word, vocab), find(vocab, word) >= 0
+    vocab_df = np.where(at >= 0, df[at], 1) if len(word) else np.ones(len(vocab))
+    ix = Index(vocab, inverse_frequency(vocab_df, n_docs) * (1.0 + np.sqrt(association(rows, vocab))), word[~inside], df[~inside], n_docs, np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64), stands, k)
     vecs = [ix.vector(r[2]) for r in rows]
-    local, weight, used = [], [], 0
-    for b in range(blocks):
-        part = vecs[b * BLOCK : (b + 1) * BLOCK]
-        t = np.concatenate([x[0] for x in part])
-        w = np.concatenate([x[1] for x in part])
-        who = np.repeat(np.arange(len(part)), [len(x[0]) for x in part])
-        order = np.argsort(t, kind="stable")
-        ix.start[b] = used + np.searchsorted(t[order], np.arange(v + 1))
-        local.append(who[order])
-        weight.append(w[order])
-        np.maximum.at(ix.top, (t, b), w)
-        used += len(t)
+    ix.lay_out(vecs)
     if rows:
-        ix.local, ix.weight = np.concatenate(local), np.concatenate(weight)
-        near = [x for i in range(0, len(vecs), 1024) for x in ix.nearest_many(vecs[i : i + 1024], np.arange(i, min(i + 1024, len(vecs))))]
+        near = ix.nearest_many(vecs, np.arange(len(vecs)))
         votes = np.array([ix.vote(x) for x in near])
         ix.a, ix.b = _logistic(votes, ix.label.astype(float), stands[ix.label])
     pos, neg = (sum(stands[y] for r in bare if r[1] == y) for y in (1, 0))
@@ -240,7 +249,8 @@ def build(vocab: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, Cou
 
 def score(docs: DataFrame, index: Index, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` with score (double) and evidence: the three nearest
-    examples as ``id:label:cosine``. The broadcast index is bounded by ``fit``'s limits."""
+    examples as ``id:label:cosine``. The broadcast index holds the examples and
+    the terms' document frequencies."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     cols = list(dict.fromkeys([*keep, "text"]))
     src = docs.select(*cols)
@@ -248,20 +258,13 @@ def score(docs: DataFrame, index: Index, *keep: str) -> DataFrame:
     out = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double", "evidence string"])
 
     def make():
-        ix, cache = shared.value, {}
+        ix = shared.value
 
         def run(b):
-            counts = [ix.counts(text) for text in b.column("text").to_pylist()]
-            keys = [tuple(sorted(tf.items())) for tf in counts]
-            got = {key: cache.get(key) for key in keys}
-            new = [key for key, known in got.items() if known is None]
-            if len(cache) > 50_000:
-                cache.clear()
-            for key, near in zip(new, ix.nearest_many([ix.vector(dict(key)) for key in new]), strict=True):
-                got[key] = ix.score(near), ",".join(f"{ix.ids[i]}:{ix.label[i]}:{c:.4f}" for c, i in near[:3])
-                if len(key) <= SHORT:
-                    cache[key] = got[key]
-            scores, why = [got[key][0] for key in keys], [got[key][1] for key in keys]
+            texts = b.column("text").to_pylist()
+            new = list(dict.fromkeys(texts))
+            got = {text: (ix.score(near), ",".join(f"{ix.ids[i]}:{ix.label[i]}:{c:.4f}" for c, i in near[:3])) for text, near in zip(new, ix.nearest_many([ix.vector(ix.counts(text)) for text in new]), strict=True)}
+            scores, why = [got[text][0] for text in texts], [got[text][1] for text in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(why, pa.string())], names=[*keep, "score", "evidence"])
 
         return run

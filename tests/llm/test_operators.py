@@ -127,6 +127,35 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in x.score(docs, blank, "doc_id").collect()} == {0.0}
 
 
+def test_toxicity_compares_all_terms(spark):
+    from lathe.llm import toxicity as x
+
+    rng = random.Random(9)
+    base = ["".join(rng.choice("klmnop") for _ in range(3)) for _ in range(200)]
+    texts = [" ".join([*(rng.choice(base) for _ in range(rng.randint(1, 30))), *(["badword"] * (i % 7 == 0)), *(["only%s" % chr(97 + i % 26)] * (i % 3 == 0))]) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "", "", 0, 0.0, 0, "", "", "") for i, t in enumerate(texts)], DDL)
+    shown = [i for i in range(300) if i % 3]
+    index = x.fit(df, spark.createDataFrame([(i, int(i % 7 == 0)) for i in shown], "doc_id long, label int"))
+    tf = [Counter(x.terms(t)) for t in texts]
+    n_docs = Counter(w for c in tf for w in c)
+    n = [1 + sum((i % 7 == 0) == y for i in shown) for y in (0, 1)]
+
+    def weight(w):
+        k = [sum(w in tf[i] for i in shown if (i % 7 == 0) == y) for y in (0, 1)]
+        rate = sum(k) / sum(n)
+        g = sum(2 * o * math.log(o / e) for y in (0, 1) for o, e in ((k[y], n[y] * rate), (n[y] - k[y], n[y] * (1 - rate))) if o)
+        return (math.log(301 / (1 + n_docs[w])) + 1) * (1 + max(g, 0) ** 0.5)
+
+    weights = {w: weight(w) for w in n_docs}
+    vecs = [{w: (1 + math.log(m)) * weights[w] for w, m in c.items()} for c in tf]
+    size = [math.sqrt(sum(v * v for v in a.values())) for a in vecs]
+    got = by_id(x.score(df, index, "doc_id"))
+    for i, a in enumerate(vecs):
+        cos = sorted((sum(v * vecs[j].get(w, 0) for w, v in a.items()) / size[i] / size[j] for j in shown), reverse=True)
+        told = [float(e.split(":")[2]) for e in got[i].evidence.split(",") if e]
+        assert np.allclose(told, [c for c in cos[:3] if c > 0], atol=1e-4)
+
+
 def encoded(rows):
     from tokenizers import Tokenizer
 
