@@ -1,15 +1,17 @@
 """Personal data, and terms that disclose it.
 
 Base findings are patterns: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
-numbers. Each distinct value is a protected entity. Terms that stand near an entity (within
-``window`` words) are tested by information theory: with document counts over the whole
-corpus, ``PMI(c; t) / IC(c)`` is the part of the entity's information that the term reveals, 1
+numbers. Each distinct value is a protected entity. All terms of the documents that hold an entity
+are tested by information theory: with document counts over the whole corpus,
+``PMI(c; t) / IC(c)`` is the part of the entity's information that the term reveals, 1
 meaning that whoever reads the term knows the entity. A term is generalised from
-``generalise`` on and removed from ``remove`` on, if it was seen with the entity in at least
-``support`` different contexts (copies of one context count once). Base findings always stay.
+``generalise`` on and removed from ``remove`` on, wherever it stands in a document that holds the
+entity. Chance is ruled out by a test at ``level`` over all pairs of an entity and a term: the
+binomial bound on so many different texts with both (copies of one text count once). Base findings
+always stay.
 
-Only occurrences of an entity carry rows, some terms each; the corpus contributes one count a
-distinct term and task. Null and empty texts have no findings. Rows of equal doc_id and text
+Only documents that hold an entity carry their terms, in one row each; the corpus contributes one
+count a distinct term and task. Null and empty texts have no findings. Rows of equal doc_id and text
 get the same findings. All scans are linear in the text, also for very long runs.
 """
 
@@ -76,20 +78,21 @@ def entity_value(kind: str, found: str) -> str:
     return f"{kind}:{found.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]', '', found)}"
 
 
-def context(text: str, start: int, end: int, taken: list[tuple[str, int, int]], window: int) -> list[tuple[str, int, int]]:
-    """Terms within ``window`` words of a span, outside all findings."""
-    reach = 24 * window
-    left = list(TERM.finditer(text, max(0, start - reach), start))[-window:]
-    right = []
-    for m in TERM.finditer(text, end, min(len(text), end + reach)):
-        right.append(m)
-        if len(right) == window:
-            break
-    return [(m.group().lower(), m.start(), m.end()) for m in left + right if not any(s < m.end() and m.start() < e for _, s, e in taken)]
+def outside(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """All terms of a text outside its findings."""
+    out, ends, k = [], sorted((s, e) for _, s, e in taken), 0
+    reach = 0
+    for m in TERM.finditer(text):
+        while k < len(ends) and ends[k][0] < m.end():
+            reach, k = max(reach, ends[k][1]), k + 1
+        if reach <= m.start():
+            out.append((m.group().lower(), m.start(), m.end()))
+    return out
 
 
-ROW = pa.schema([("tag", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n", pa.int64())])
-ROW_DDL = "tag int, doc_id long, fp long, n_email long, n_ip long, n_card long, n_phone long, base string, entity long, term long, context long, start int, end int, n long"
+LISTS = {"entities": pa.list_(pa.int64()), "terms": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
+ROW = pa.schema([("tag", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), *LISTS.items(), ("term", pa.int64()), ("n", pa.int64())])
+ROW_DDL = "tag int, doc_id long, fp long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<long>, starts array<int>, ends array<int>, term long, n long"
 
 
 def signed(h: int) -> int:
@@ -102,9 +105,9 @@ def fingerprint(text: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
-def gather(docs: DataFrame, window: int) -> DataFrame:
-    """One pass: a row a document (tag 0), a row a term near an entity (1), document counts of
-    terms (2). Counts are flushed before they outgrow a task."""
+def gather(docs: DataFrame) -> DataFrame:
+    """One pass: a row a document (tag 0), the entities and terms of a document that holds an
+    entity (1), document counts of terms outside findings (2). Counts are flushed before they outgrow a task."""
 
     def rows(tag, **cols):
         n = len(next(iter(cols.values())))
@@ -119,22 +122,21 @@ def gather(docs: DataFrame, window: int) -> DataFrame:
         h, seen = word_hashes(), Counter()
         for b in batches:
             d = {k: [] for k in ("doc_id", "fp", "n_email", "n_ip", "n_card", "n_phone", "base")}
-            c = {k: [] for k in ("doc_id", "fp", "entity", "term", "context", "start", "end")}
+            c = {k: [] for k in ("doc_id", "fp", *LISTS)}
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 text = text_of(text)
-                seen.update(map(h.__getitem__, set(TERM.findall(text.lower()))))
                 spans, fp = base_spans(text), fingerprint(text)
+                found = outside(text, spans) if spans else []
+                seen.update(map(h.__getitem__, {t for t, _, _ in found} if spans else {t.lower() for t in set(TERM.findall(text))}))
                 n = Counter(k for k, _, _ in spans)
                 for k, v in zip(d, (i, fp, *(n[x] for x in KINDS), ",".join(f"{k}:{s}:{e}" for k, s, e in spans)), strict=True):
                     d[k].append(v)
-                for kind, s, e in spans:
-                    near = context(text, s, e, spans, window)
-                    entity, where = signed(h[entity_value(kind, text[s:e])]), fingerprint(" ".join(sorted({t for t, _, _ in near})))
-                    for t, x, y in near:
-                        for k, v in zip(c, (i, fp, entity, signed(h[t]), where, x, y), strict=True):
-                            c[k].append(v)
+                if found:
+                    entities = sorted({signed(h[entity_value(kind, text[s:e])]) for kind, s, e in spans})
+                    for k, v in zip(c, (i, fp, entities, [signed(h[t]) for t, _, _ in found], [x for _, x, _ in found], [y for _, _, y in found]), strict=True):
+                        c[k].append(v)
             yield rows(0, **d)
-            if c["term"]:
+            if c["terms"]:
                 yield rows(1, **c)
             if len(seen) > 400_000:
                 yield from counts(seen)
@@ -144,27 +146,37 @@ def gather(docs: DataFrame, window: int) -> DataFrame:
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_DDL))
 
 
-def disclosing(found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(doc_id, fp, start, end, removed) of the terms that disclose an entity near by."""
-    near = found.where("tag = 1").select("doc_id", "fp", "entity", "term", "context", "start", "end")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id", "fp").alias("both")).where(F.col("contexts") >= support)
-    entities = near.select("entity", "doc_id", "fp").groupBy("entity").agg(F.countDistinct("doc_id", "fp").alias("n_entity"))
+def disclosing(found: DataFrame, level: float, generalise: float, remove: float) -> DataFrame:
+    """(doc_id, fp, start, end, removed) of the terms that disclose an entity of their document."""
+    held = found.where("tag = 1")
+    entities = held.select("fp", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("fp").alias("texts"))
     terms = found.where("tag = 2").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = found.where("tag = 0").agg(F.count("*").alias("total"))
-    x = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-    information = F.log2(F.col("total") / F.col("n_entity"))
-    revealed = F.log2(F.col("total") * F.col("both") / (F.col("n_entity") * F.col("n_term"))) / information
-    x = x.where(F.col("total") > F.col("n_entity")).select("entity", "term", revealed.alias("part")).where(F.col("part") >= generalise)
-    return near.join(x, ["entity", "term"]).groupBy("doc_id", "fp", "start", "end").agg((F.max("part") >= remove).alias("removed"))
-
-
-PARAMETERS = {"window": 8, "support": 3, "generalise": 0.8, "remove": 0.95}
-
-
-def find_spans(docs: DataFrame, window: int = 8, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+    size = total.crossJoin(entities.agg(F.count("*").alias("all_entities"), F.max("n_entity").alias("most"))).crossJoin(terms.agg(F.count("*").alias("all_terms")))
+    # a term in more documents than this reveals less than ``generalise`` even if it stands in all documents of the most frequent entity
+    rare = terms.crossJoin(F.broadcast(size)).where(F.col("n_term") <= 1.000001 * F.col("total") * F.pow(F.col("most") / F.col("total"), F.lit(generalise)))
+    x = held.select("fp", "entities", F.explode(F.array_distinct("terms")).alias("term")).join(rare, "term")
+    same = ["term", "n_term", "total", "all_entities", "all_terms"]
+    pairs = x.select("fp", F.explode("entities").alias("entity"), *same).groupBy("entity", *same, "fp").agg(F.count("*").alias("n")).groupBy("entity", *same).agg(F.sum("n").alias("both"), F.count("*").alias("k"))
+    x = pairs.join(entities, "entity").where(F.col("total") > F.col("n_entity"))
+    information = F.log(F.col("total") / F.col("n_entity"))
+    x = x.withColumn("part", F.log(F.col("total") * F.col("both") / (F.col("n_entity") * F.col("n_term"))) / information).where(F.col("part") >= generalise)
+    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), F.lit(0.0), lambda acc, i: acc + F.log((F.col("texts") - F.col("k") + i) / i))
+    chance = ways + F.col("k") * F.log(F.col("n_term") / F.col("total"))
+    x = x.where(chance + F.log(F.col("all_entities").cast("double") * F.col("all_terms")) <= F.log(F.lit(level)))
+    told = x.groupBy("term").agg(F.collect_list(F.struct("entity", "part")).alias("told"))
+    marks = held.select("doc_id", "fp", "entities", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("o")).select("doc_id", "fp", "entities", F.col("o.terms").alias("term"), F.col("o.starts").alias("start"), F.col("o.ends").alias("end")).join(told, "term")
+    part = F.array_max(F.transform(F.filter("told", lambda t: F.array_contains(F.col("entities"), t["entity"])), lambda t: t["part"]))
+    return marks.withColumn("part", part).where("part IS NOT NULL").groupBy("doc_id", "fp", "start", "end").agg((F.max("part") >= remove).alias("removed"))
+
+
+PARAMETERS = {"level": 0.05, "generalise": 0.8, "remove": 0.95}
+
+
+def find_spans(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) of each row of ``docs``."""
-    found = gather(docs, window)
-    more = disclosing(found, support, generalise, remove).groupBy(F.col("doc_id").alias("d2"), F.col("fp").alias("f2")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
+    found = gather(docs)
+    more = disclosing(found, level, generalise, remove).groupBy(F.col("doc_id").alias("d2"), F.col("fp").alias("f2")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
     x = found.where("tag = 0").select("doc_id", "fp", *[f"n_{k}" for k in KINDS], "base")
     x = x.join(more, x["doc_id"].eqNullSafe(more["d2"]) & (x["fp"] == more["f2"]), "left")
     words = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string")))
@@ -172,11 +184,11 @@ def find_spans(docs: DataFrame, window: int = 8, support: int = 3, generalise: f
     return x.select("doc_id", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"))
 
 
-def sanitise(docs: DataFrame, window: int = 8, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """``docs`` with findings replaced by ``[EMAIL]`` and the like, disclosing terms by
     ``[TERM]`` or removed, and n_chars (if there) set to the new length. All rows stay."""
-    found = gather(docs, window)
-    more = disclosing(found, support, generalise, remove).groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("__terms"))
+    found = gather(docs)
+    more = disclosing(found, level, generalise, remove).groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("__terms"))
     hashed = found.where("tag = 0").join(more, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("fp") == F.col("__f"))).select("__d", "__f", "__terms").distinct()
     by_doc = hashed.groupBy("__d").agg(F.collect_list(F.struct("__f", "__terms")).alias("__all"))
     x = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["__d"]), "left").drop("__d")

@@ -96,6 +96,23 @@ def test_pii_terms_that_disclose(spark):
         assert got[i].spans.count("term:") == (i < 6)
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    from lathe.llm import pii
+
+    rng = random.Random(6)
+    filler = lambda n: " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(n))
+    far = [f"zanzibari {filler(60)} {'q' * (300 + i)} zanzibari {filler(20 + i)} a.b@c.example" for i in range(6)]
+    copies = [f"{filler(20)} copied d.e@f.example"] * 6
+    texts = [*far, *copies, "g.h@i.example stands once with uniqueword", *(filler(60) for _ in range(187))]
+    df = spark.createDataFrame([(i, t, "", "", 0, 0.0, 0, "", "", "") for i, t in enumerate(texts)], DDL)
+    got, clean = by_id(pii.find_spans(df)), by_id(pii.sanitise(df))
+    for i, t in enumerate(texts):
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zanzibari", t)]
+        assert [x for x in got[i].spans.split(",") if x.startswith("term:")] == want and len(want) == 2 * (i < 6)
+        assert "zanzibari" not in clean[i].text
+    assert "copied" in clean[6].text and "uniqueword" in clean[12].text
+
+
 def test_toxicity(spark, docs, none):
     from lathe.llm import toxicity as x
 
