@@ -33,10 +33,20 @@ def pool(spark: SparkSession, path: str) -> DataFrame:
     return x.select(*[F.coalesce(c, F.create_map().cast(x.schema[c].dataType)).alias(c) for c in x.columns])
 
 
+SKIP_DIRS = (".git", ".venv", "__pycache__", "node_modules", "results", "data", "checkpoints")
+
+
 def source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """(path, text) of a tree's files; hidden folders are skipped."""
+    """(path, text) of a tree's files; below ``root``, hidden folders and ``SKIP_DIRS`` are skipped."""
+    from urllib.parse import quote, urlsplit
+
     x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
-    return x.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike(r"/\.[^/]+/"))
+    path = F.col("_metadata.file_path")
+    top = quote(urlsplit(root).path if "://" in root else root).rstrip("/") + "/"
+    folders = F.slice(F.split(F.concat(F.lit("x/"), F.expr("substring(_metadata.file_path, locate('{0}', _metadata.file_path) + length('{0}'))".format(top.replace("'", "\\'")))), "/"), 2, 1 << 30)
+    inside = F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
+    skipped = F.exists(inside, lambda d: d.startswith(".") | d.isin(*SKIP_DIRS))
+    return x.select(path.alias("path"), F.col("value").alias("text"), skipped.alias("skipped")).where("NOT skipped").drop("skipped")
 
 
 def cached(df: DataFrame, folder: str, key: str) -> DataFrame:

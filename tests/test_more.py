@@ -61,3 +61,12 @@ def test_result_log(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "board")).collect()][0].startswith("| e | 1 | 0.9000 |")
     key = logs.cache_key("x")
     assert logs.cached(got.select("experiment"), str(tmp_path / "c"), key).count() == logs.cached(got.select("experiment"), str(tmp_path / "c"), key).count() == 2
+
+
+def test_source_files_skip_what_the_reference_skips(spark, tmp_path):
+    root = tmp_path / ".hidden" / "data"
+    for name in ("a.py", "lib/b.py", "lib/c.txt", "lib/results.py", "data/d.py", "lib/results/e.py", "node_modules/x/f.py", "__pycache__/g.py", "checkpoints/h.py", ".venv/i.py", "database/j.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1\n")
+    got = sorted(r.path.split("/.hidden/data/")[1] for r in logs.source_files(spark, str(root)).collect())
+    assert got == ["a.py", "database/j.py", "lib/b.py", "lib/results.py"]
