@@ -6,13 +6,26 @@ next stage's documents. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.llm import jaccard, mixing, packing, pii, toxicity
 from lathe.llm.common import materialise, small_batches
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a row's place in the order of doc_id (null last) and text, from 0.
+
+    Rows equal in both take places one after the other. Ranges are counted first, so a place
+    needs no sort of all rows in one task."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
+    x = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    x = materialise(x.withColumn("__part", F.shiftright("__at", 33)))
+    sizes = x.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    before = sizes.select("__part", (F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("__shift"))  # one row a range
+    return x.join(F.broadcast(before), "__part").select(*docs.columns, (F.col("__at") + F.col("__shift")).alias("__row"))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; all others stay, texts that are null or empty too."""
     small_batches(spark)
@@ -22,10 +35,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles with a Jaccard similarity of 0.8
-    or more, the one of the smallest doc_id stays. Documents without words stay."""
+    or more, the one of the smallest doc_id (then text) stays, one row of it. Documents without words stay."""
     small_batches(spark)
-    later = jaccard.jaccard_components(docs, width=5, num=8, den=10).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    later = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, num=8, den=10).where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
+    return rows.join(later, "__row", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +51,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     small_batches(spark)
-    mix = mixing.pareto_mix(docs, mixing.n_words()).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    x = docs.join(mix, docs["doc_id"].eqNullSafe(mix["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    rows = numbered(docs)
+    mix = mixing.pareto_mix(rows, mixing.n_words(), keep=("__row",)).where("taken > 0").select("__row", (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    x = rows.join(mix, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return x.select(*docs.columns)
 
 

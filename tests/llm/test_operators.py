@@ -424,3 +424,20 @@ def test_pipeline(spark):
     kept = corpus_pipeline.near_duplicates_stage(spark, docs, folder)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_pipeline_stages_keep_rows_apart(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (None, d), (None, d)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), 0.0, 0, "", "", "") for i, t in rows], DDL).repartition(3)
+    kept = corpus_pipeline.near_duplicates_stage(spark, df, "")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (5, b), (6, c), (0, d)])
+    many = spark.createDataFrame([(i // 3, prose(), "en", "s%d" % (i % 3), 1, 0.0, 0, "", "", "") for i in range(60)] + [(99, a, "en", "s0", 1, 0.0, 0, "", "", "")] * 3, DDL).repartition(3)
+    times, copies = Counter(r.text for r in corpus_pipeline.mixing_stage(spark, many, "").collect()), Counter(r.text for r in many.collect())
+    assert times and all(n <= 2 * copies[t] for t, n in times.items())
+    places = sorted(r["__row"] for r in corpus_pipeline.numbered(many).collect())
+    assert places == list(range(63))
