@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from .common import batch_of, per_batch, small_batches, table, text_of, word_has
 TERM = re.compile(r"[^\W\d_]+")
 UNIT = float(1 << 26)
 #: Documents compared at once; terms of more than one in ``COMMON`` examples are held as dense rows.
-BATCH, COMMON = 256, 16
+BATCH, COMMON = 64, 16
 
 
 def terms(text: str | None) -> list[str]:
@@ -65,8 +66,8 @@ class Index:
     k: int
     start: np.ndarray | None = None  # where a term's postings begin
     example: np.ndarray | None = None
-    weight: np.ndarray | None = None  # unit-length TF-IDF weight
-    dense: np.ndarray | None = None  # (common terms, examples)
+    weight: np.ndarray | None = None  # unit-length TF-IDF weight in multiples of 1 / UNIT
+    dense: np.ndarray | None = None  # (common terms, examples), built where it is used
     row: np.ndarray | None = None  # a term's row in ``dense`` or -1
     a: float = 0.0
     b: float = 0.0
@@ -97,29 +98,34 @@ class Index:
         common = np.flatnonzero(n * COMMON > len(vecs))
         self.row = np.full(len(self.vocab), -1)
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), len(vecs)))
-        often = self.row[t] >= 0
-        self.dense[self.row[t[often]], who[often]] = w[often]
-        order = np.argsort(t[~often], kind="stable")
-        n[common] = 0
+        order = np.argsort(t, kind="stable")
         self.start = np.concatenate([[0], np.cumsum(n)])
-        self.example, self.weight = who[~often][order], w[~often][order]
+        self.example, self.weight = who[order], (w[order] * UNIT).astype(np.int32)
+
+    def common(self) -> np.ndarray:
+        if self.dense is None:
+            terms_of = np.flatnonzero(self.row >= 0)
+            self.dense = np.zeros((len(terms_of), len(self.ids)))
+            for i, t in enumerate(terms_of.tolist()):
+                own = slice(self.start[t], self.start[t + 1])
+                self.dense[i, self.example[own]] = self.weight[own] / UNIT
+        return self.dense
 
     def nearest_many(self, vecs: list[tuple[np.ndarray, np.ndarray]], leave: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """The exact k nearest examples (cosine, example) of each document, ties by the lower
         position; example ``leave[i]`` is none for document i."""
-        out, k = [], min(self.k, len(self.ids))
+        out, k, dense = [], min(self.k, len(self.ids)), self.common()
         for i in range(0, len(vecs), BATCH):
             part = vecs[i : i + BATCH]
-            x, cos = np.zeros((len(part), len(self.dense))), np.zeros((len(part), len(self.ids)))
+            x, cos = np.zeros((len(part), len(dense))), np.zeros((len(part), len(self.ids)))
             for j, (t, w) in enumerate(part):
                 row = self.row[t]
                 x[j, row[row >= 0]] = w[row >= 0]
                 t, w = t[row < 0], w[row < 0]
                 begin, n = self.start[t], self.start[t + 1] - self.start[t]
                 at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
-                cos[j] = np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), len(self.ids))
-            cos += x @ self.dense
+                cos[j] = np.bincount(self.example[at], self.weight[at] / UNIT * np.repeat(w, n), len(self.ids))
+            cos += x @ dense
             if leave is not None:
                 cos[np.arange(len(part)), leave[i : i + BATCH]] = 0.0
             least = np.partition(cos, -k, 1)[:, -k] if k else []
@@ -193,9 +199,9 @@ def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = 4096, max_nega
     def vectors(batches):
         for b in batches:
             c = [term_counts(t) for t in b.column("text").to_pylist()]
-            yield batch_of({"doc_id": b.column("doc_id"), "label": b.column("label"), "words": [x.tobytes() for x, _ in c], "tf": [n.astype(np.int64).tobytes() for _, n in c]}, vec_schema)
+            yield batch_of({"doc_id": b.column("doc_id"), "label": b.column("label"), "words": [x.tobytes() for x, _ in c], "tf": [n.astype(np.int32).tobytes() for _, n in c]}, vec_schema)
 
-    rows = [(r["doc_id"], r["label"], (np.frombuffer(r["words"], np.uint64), np.frombuffer(r["tf"], np.int64))) for r in examples.mapInArrow(vectors, "doc_id long, label int, words binary, tf binary").collect()]
+    rows = [(r["doc_id"], r["label"], (np.frombuffer(r["words"], np.uint64), np.frombuffer(r["tf"], np.int32))) for r in examples.mapInArrow(vectors, "doc_id long, label int, words binary, tf binary").collect()]
 
     df_schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
@@ -216,7 +222,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = 4096, max_nega
                     held, size, n = [], 0, 0
         yield from out(held, n)
 
-    by_word = docs.select("text").mapInArrow(doc_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word IS NULL OR n > 1").toArrow()
+    by_word = docs.select("text").mapInArrow(doc_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word IS NULL OR n > 1").select("word", F.col("n").cast("long").alias("n")).toArrow()
     word, n = by_word.column("word"), by_word.column("n").to_numpy()
     none = word.is_null().to_numpy()
     n_docs, n = int(n[none].sum()), n[~none]
@@ -231,7 +237,7 @@ def build(word: np.ndarray, df: np.ndarray, n_docs: int, rows: list[tuple[int, i
     n = [max(1, sum(r[1] == y for r in rows)) for y in (0, 1)]
     stands = np.array([max(totals.get(y, 0), 1) / n[y] for y in (0, 1)])
     bare = [r for r in rows if not len(r[2][0])]
-    rows = sorted((r for r in rows if len(r[2][0])), key=lambda r: (r[0], r[1], r[2][0].tobytes(), r[2][1].tobytes()))
+    rows = sorted((r for r in rows if len(r[2][0])), key=lambda r: (r[0], r[1], len(r[2][0]), xxhash.xxh3_64_intdigest(r[2][0]), xxhash.xxh3_64_intdigest(r[2][1])))
     vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2][0] for r in rows)]))
     at, inside = find(word, vocab), find(vocab, word) >= 0
     vocab_df = np.where(at >= 0, df[at], 1) if len(word) else np.ones(len(vocab))
@@ -240,6 +246,7 @@ def build(word: np.ndarray, df: np.ndarray, n_docs: int, rows: list[tuple[int, i
     ix.lay_out(vecs)
     if rows:
         near = ix.nearest_many(vecs, np.arange(len(vecs)))
+        ix.dense = None  # not broadcast
         votes = np.array([ix.vote(x) for x in near])
         ix.a, ix.b = _logistic(votes, ix.label.astype(float), stands[ix.label])
     pos, neg = (sum(stands[y] for r in bare if r[1] == y) for y in (1, 0))
