@@ -7,19 +7,17 @@ Spark's readers, intermediate tables go to the shared folder that the session na
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the separator class of a word, ``[^\x20\x09-\x0D]+`` being a word.
-BLANKS = "\t\n\x0b\x0c\r"
-
 K1 = np.uint64(0x9E3779B97F4A7C15)
 K2 = np.uint64(0xBF58476D1CE4E5B9)
 K3 = np.uint64(0x94D049BB133111EB)
@@ -29,18 +27,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch of whole texts can hold on an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def release() -> None:
+    """Give memory that is free back to the system: a worker's next task may need it in another process."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def settle(spark: SparkSession) -> None:
+    """Have every executor collect its garbage now, so that heap that is free goes back to the system.
+
+    An executor's limit counts its Python workers beside the JVM, which keeps what heap an
+    earlier stage needed. One short task a core, which takes no data."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``rows`` rows or ``size`` bytes, for work that pays per batch."""
+    held, n, total = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n, total = n + b.num_rows, total + b.nbytes
+        if n >= rows or total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, total = [], 0, 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lathe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """The shared folder for intermediate tables; below the session's warehouse where none is set.
+
+    The warehouse is shared between driver and executors as managed tables need it to be."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lathe-scratch"
     return root.rstrip("/")
 
 
@@ -56,26 +89,81 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def split_words(text: str) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` (ASCII blanks only; other Unicode blanks stay in words)."""
-    for c in BLANKS:
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w] if "  " in text or text[:1] == " " or text[-1:] == " " else (text.split(" ") if text else [])
-
-
-_UPPER = {c: c + 32 for c in range(65, 91)}
-
-
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+#: Fixed value: the separator class of a word, ``[^\x20\x09-\x0D]+`` being a word.
+_IS_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LOWERED = np.array([c + 32 * (65 <= c <= 90) for c in range(256)], np.uint8)
+#: The low 0 to 8 bytes of a number.
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
+
+
+def bytes_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts (null: empty) and eight zero bytes; where each text begins, and the end."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if not len(texts):
+        return np.zeros(8, np.uint8), np.zeros(1, np.int64)
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, body = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.zeros(at[-1] - at[0] + 8, np.uint8)
+    if at[-1] > at[0]:
+        data[:-8] = np.frombuffer(body, np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; eight bytes must follow the last one. Ranges of eight bytes at
+    most that differ in content and not in length never collide."""
+    n = end - start
+    word = np.ndarray((max(len(data) - 7, 0),), "<u8", data.data, 0, (1,))
+    h = mix(n.astype(np.uint64) * K1 ^ (word[start] & _LOW_BYTES[np.minimum(n, 8)]))
+    at, k = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+    while len(at):
+        h[at] = mix(h[at] * K2 ^ (word[start[at] + k] & _LOW_BYTES[np.minimum(n[at] - k, 8)]))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return h
+
+
+class WordTable:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of many texts as byte ranges, without an object a word.
+
+    ``cut`` are the texts' places among all words: text i has words cut[i] to cut[i + 1]."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False):
+        self.data, self.at = bytes_of(texts)
+        if lower:
+            self.data = _LOWERED[self.data]
+        inside = self.inside(self.data[:-8])
+        edge = np.zeros(len(inside) + 1, bool)
+        edge[self.at] = True
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= edge[1:-1] | ~inside[:-1]
+        last[:-1] &= edge[1:-1] | ~inside[1:]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.cut = np.searchsorted(self.start, self.at)
+
+    def inside(self, data: np.ndarray) -> np.ndarray:
+        """Which bytes belong to words."""
+        return ~_IS_BLANK[data]
+
+    def hashes(self) -> np.ndarray:
+        return hash_ranges(self.data, self.start, self.end)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its text, and how many words of the text there are from it on."""
+        text = np.repeat(np.arange(len(self.cut) - 1), np.diff(self.cut))
+        return text, self.cut[1:][text] - np.arange(len(text))
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, with a bounded cache; long words are hashed each time."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
@@ -127,6 +215,7 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         f = make()
         for b in batches:
             yield from f(b)
+        release()
 
     return run
 

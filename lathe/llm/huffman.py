@@ -5,8 +5,9 @@ Format. A folder has two Parquet tables, so any store that Spark writes to will
 * ``codes``: one row, the code length of every id from 0 up (one byte each, 0: unused);
 * ``segments``: rows (part, seq, n_ids, body) in ascending doc_id order by (part, seq). A body
   is, little-endian: magic ``LTHT``, block length u32, documents u32, ids u64, words u64; then
-  doc_ids i64 and ids per document u64; the bit offset of each block's start u64 (the
-  checkpoints); and the bit stream as u64 words, most significant bit first.
+  doc_ids i64, whether they are known (one byte each; 0: null) and ids per document u64; the
+  bit offset of each block's start u64 (the checkpoints); and the bit stream as u64 words, most
+  significant bit first.
 
 Code lengths come from global counts by package-merge (optimal for the limit), codes are
 canonical: by length, then id. Decoding looks the next bits up in one table and advances all
@@ -28,11 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, n_groups, scratch_root, small_batches, table
+from .common import batch_of, gathered, materialise, n_groups, release, scratch_root, small_batches, table
 from .tokens import default_path, encoder
 
-MAGIC, BLOCK, SEGMENT, LIMIT = b"LTHT", 1024, 1 << 20, 18
-NULL_ID = np.iinfo(np.int64).min
+MAGIC, BLOCK, SEGMENT, LIMIT = b"LTHT", 1024, 1 << 21, 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -74,65 +74,74 @@ class Code:
         self.bits = int(n.max()) if len(n) else 1
         width = np.int64(1) << (self.bits - n)
         first = np.concatenate(([0], np.cumsum(width)))[:-1] if len(n) else np.zeros(0, np.int64)
-        self.codes = np.zeros(len(self.lengths), np.uint64)
-        self.codes[order] = first >> (self.bits - n)
+        self.left = np.zeros(len(self.lengths), np.uint64)  # codes at the top of 64 bits
+        self.left[order] = first.astype(np.uint64) << np.uint64(64 - self.bits)
         self.table = np.zeros(1 << self.bits, np.uint32)
         full = np.repeat((order | (n << 24)).astype(np.uint32), width)
         self.table[: len(full)] = full
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bit offsets of the blocks, 64-bit words)."""
-        n = self.lengths[ids].astype(np.int64)
-        at = np.cumsum(n) - n
-        total = int(at[-1] + n[-1]) if len(ids) else 0
-        words = np.zeros(total // 64 + 2, np.uint64)
+        n = self.lengths[ids]
+        end = np.cumsum(n, dtype=np.int64)
+        at = end - n
+        words = np.zeros((int(end[-1]) if len(ids) else 0) // 64 + 2, np.uint64)
         if len(ids):
-            w, room = at >> 6, 64 - (at & 63) - n
-            code = self.codes[ids]
-            head = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
+            w, off = at >> 6, (at & 63).astype(np.uint64)
+            code = self.left[ids]
             starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-            words[w[starts]] = np.bitwise_or.reduceat(head, starts)
-            over = np.flatnonzero(room < 0)
-            words[w[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+            words[w[starts]] = np.bitwise_or.reduceat(code >> off, starts)
+            over = np.flatnonzero((end - 1) >> 6 != w)
+            words[w[over] + 1] |= code[over] << (np.uint64(64) - off[over])
         return at[::BLOCK].astype(np.uint64), words
 
     def decode(self, n: int, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """``n`` ids; all blocks advance together. A step needs the next ``bits`` (at most 32) bits."""
+        half = np.concatenate((words, np.zeros(BLOCK * self.bits // 64 + 2, np.uint64))).astype(">u8").view(">u4").astype(np.uint64)
+        wide = half[:-1] << np.uint64(32) | half[1:]  # 64 bits from every 32nd on
         out = np.empty((BLOCK, len(offsets)), np.uint32)
-        words = np.concatenate((words, np.zeros(BLOCK * self.bits // 64 + 2, np.uint64)))
-        at, one, shift = offsets.astype(np.uint64), np.uint64(1), np.uint64(64 - self.bits)
+        at, shift = offsets.astype(np.int64), np.uint64(64 - self.bits)
         for i in range(min(BLOCK, n)):
-            w, o = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            x = (words[w] << o) | ((words[w + 1] >> one) >> (np.uint64(63) - o))
-            hit = self.table[(x >> shift).astype(np.int64)]
-            out[i] = hit & 0xFFFFFF
-            at = at + (hit >> 24)
+            hit = self.table[wide[at >> 5] << (at & 31).view(np.uint64) >> shift]
+            out[i] = hit
+            at += hit >> 24
+        out &= 0xFFFFFF
         return out.T.reshape(-1)[:n]
 
 
-def write_body(code: Code, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+HEAD = "<4sIIQQ"
+
+
+def write_body(code: Code, names: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     offsets, words = code.encode(ids)
-    return b"".join((struct.pack("<4sIIQQ", MAGIC, BLOCK, len(doc_ids), len(ids), len(words)), doc_ids.astype("<i8").tobytes(), sizes.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
+    doc_ids, known = np.array([d or 0 for d in names], "<i8"), np.array([d is not None for d in names], np.uint8)
+    return b"".join((struct.pack(HEAD, MAGIC, BLOCK, len(names), len(ids), len(words)), doc_ids.tobytes(), known.tobytes(), sizes.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
 
 
-def read_body(code: Code, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_body(code: Code, body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(doc_ids, ids per document, ids)."""
-    magic, block, docs, n, words = struct.unpack_from("<4sIIQQ", body)
+    magic, block, docs, n, words = struct.unpack_from(HEAD, body)
     assert magic == MAGIC and block == BLOCK, "not a segment of this format"
-    at, parts = struct.calcsize("<4sIIQQ"), []
-    for kind, size in (("<i8", docs), ("<u8", docs), ("<u8", -(-n // BLOCK)), ("<u8", words)):
+    at, parts = struct.calcsize(HEAD), []
+    for kind, size in (("<i8", docs), ("u1", docs), ("<u8", docs), ("<u8", -(-n // BLOCK)), ("<u8", words)):
         parts.append(np.frombuffer(body, kind, size, at))
-        at += 8 * size
-    return parts[0], parts[1].astype(np.int64), code.decode(n, parts[2], parts[3].astype(np.uint64))
+        at += parts[-1].nbytes
+    return pa.array(parts[0], mask=parts[1] == 0), parts[2].astype(np.int64), code.decode(n, parts[3], parts[4].astype(np.uint64))
 
 
 def planes(ids: np.ndarray) -> bytes:
-    """Ids byte by byte, compressed: how they wait for the global code."""
-    return pa.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+    """Ids byte by byte, as many bytes as the largest takes, compressed: how they wait for the global code."""
+    width = max(1, (int(ids.max(initial=0)).bit_length() + 7) // 8)
+    flat = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T)
+    return bytes([width]) + pa.compress(flat.tobytes(), codec="zstd", asbytes=True)
 
 
 def from_planes(data: bytes, n: int) -> np.ndarray:
-    flat = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, n).T).view("<u4").reshape(-1)
+    width = data[0]
+    flat = np.frombuffer(pa.decompress(memoryview(data)[1:], width * n, codec="zstd", asbytes=True), np.uint8)
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :width] = flat.reshape(width, n).T
+    return out.reshape(-1).view("<u4")
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None) -> None:
@@ -140,33 +149,35 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None) -> Non
     vocabulary reach the driver."""
     tokenizer = tokenizer or default_path()
     spark = docs.sparkSession
-    raw_schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("used", pa.binary()), ("counts", pa.binary())])
+    raw_schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("names", pa.list_(pa.int64())), ("sizes", pa.binary()), ("ids", pa.binary()), ("used", pa.binary()), ("counts", pa.binary())])
 
     def encode(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        held, names, n, seq = [], [], 0, 0
+        held, sizes, names, n, seq = [], [], [], 0, 0
 
         def out():
             ids = np.concatenate(held)
             counts = np.bincount(ids)
             used = np.flatnonzero(counts)
-            sizes = np.array([len(x) for x in held], np.int64)
-            return batch_of({"part": [part], "seq": [seq], "names": [np.array(names, np.int64).tobytes()], "sizes": [sizes.tobytes()], "ids": [planes(ids)], "used": [used.tobytes()], "counts": [counts[used].tobytes()]}, raw_schema)
-
-        for b in batches:
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.append(enc.ids(text))
-                names.append(NULL_ID if d is None else d)
-                n += len(held[-1])
-                if n >= SEGMENT:
-                    yield out()
-                    held, names, n, seq = [], [], 0, seq + 1
-        if held:
+            row = {"part": part, "seq": seq, "names": pa.concat_arrays(names).cast(pa.int64()), "sizes": np.concatenate(sizes).tobytes(), "ids": planes(ids), "used": used.tobytes(), "counts": counts[used].tobytes()}
+            return batch_of({k: [v.to_pylist() if k == "names" else v] for k, v in row.items()}, raw_schema)
+
+        for b in gathered(batches):
+            got, size = enc.batch(b.column("text"))
+            held.append(got)
+            sizes.append(size)
+            names.append(b.column("doc_id"))
+            n += len(got)
+            if n >= SEGMENT:
+                yield out()
+                held, sizes, names, n, seq = [], [], [], 0, seq + 1
+        if n:
             yield out()
+        release()
 
     ranges = n_groups(docs.count(), 4000, 8)
     in_order = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    raw = materialise(in_order.mapInArrow(encode, "part int, seq int, names binary, sizes binary, ids binary, used binary, counts binary"))
+    raw = materialise(in_order.mapInArrow(encode, "part int, seq int, names array<long>, sizes binary, ids binary, used binary, counts binary"))
     count_schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -194,7 +205,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None) -> Non
             for part, seq, names, sizes, ids in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "names", "sizes", "ids")), strict=True):
                 sizes = np.frombuffer(sizes, np.int64)
                 ids = from_planes(ids, int(sizes.sum()))
-                yield batch_of({"part": [part], "seq": [seq], "n_ids": [len(ids)], "body": [write_body(code, np.frombuffer(names, np.int64), sizes, ids)]}, schema)
+                yield batch_of({"part": [part], "seq": [seq], "n_ids": [len(ids)], "body": [write_body(code, names, sizes, ids)]}, schema)
 
     raw.select("part", "seq", "names", "sizes", "ids").mapInArrow(write, "part int, seq int, n_ids long, body binary").write.parquet(f"{folder}/segments")
 
@@ -210,10 +221,11 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
         for b in batches:
             for part, seq, body in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "body")), strict=True):
                 names, sizes, ids = read_body(code, body)
-                at = np.cumsum(sizes) - sizes
-                docs = [ids[x : x + n] for x, n in zip(at.tolist(), sizes.tolist(), strict=True)]
-                cols = {"doc_id": [None if d == NULL_ID else d for d in names.tolist()], "part": [part] * len(docs), "seq": [seq] * len(docs), "at": at, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in docs]}
-                yield batch_of(cols | ({"ids": [x.astype(np.int32) for x in docs]} if with_ids else {}), schema)
+                cut = np.concatenate(([0], np.cumsum(sizes)))
+                flat = memoryview(np.ascontiguousarray(ids, "<u4").view(np.uint8))
+                crc = [zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                cols = {"doc_id": names, "part": np.full(len(sizes), part, np.int32), "seq": np.full(len(sizes), seq, np.int32), "at": cut[:-1], "n_tokens": sizes, "ids_crc32": crc}
+                yield batch_of(cols | ({"ids": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.view(np.int32)))} if with_ids else {}), schema)
 
     ddl = "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     segments = spark.read.parquet(f"{folder}/segments")

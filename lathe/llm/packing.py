@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, n_groups, per_batch, small_batches, table
+from .common import batch_of, gathered, materialise, n_groups, per_batch, release, small_batches, table
 from .tokens import default_path, encoder
 
 CAPACITY = 4096
@@ -31,22 +31,22 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     tokenizer = tokenizer or default_path()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def make():
+    def run(batches):
         enc = encoder(tokenizer)
-
-        def run(b):
-            out = {f.name: [] for f in schema}
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = enc.ids(text)
-                for i, s in enumerate(range(0, len(ids), capacity)):
-                    part = ids[s : s + capacity]
-                    for k, v in zip(out, (d, i, s, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        out[k].append(v)
-            yield batch_of(out, schema)
-
-        return run
-
-    return docs.select("doc_id", "text").mapInArrow(per_batch(make), "doc_id long, piece int, start long, length long, ids_crc32 long")
+        for b in gathered(batches):
+            ids, n = enc.batch(b.column("text"))
+            many = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(n[doc] - start, capacity)
+            at = (np.cumsum(n) - n)[doc] + start
+            body = memoryview(ids.view(np.uint8))
+            crc = [zlib.crc32(body[4 * x : 4 * (x + y)]) for x, y in zip(at.tolist(), length.tolist(), strict=True)]
+            yield batch_of({"doc_id": b.column("doc_id").take(pa.array(doc)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc}, schema)
+        release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(room: int, lengths: list[int], left: dict[int, int]) -> dict[int, int]:
