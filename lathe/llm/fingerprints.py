@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import K1, K2, batch_of, chain_hash, mix, n_groups, small_batches, split_words, table, text_of, word_hashes
+from .common import K1, K2, WordTable, batch_of, chain_hash, mix, n_groups, small_batches, table, text_of
 
 STRETCH = 16_384
 
@@ -29,11 +29,10 @@ class OrderMinHash:
         self.slots, self.k, self.take = slots, k, take
         seed = mix(np.arange(1, 2 * slots + 1, dtype=np.uint64) * K1)
         self.flip, self.times = seed[:slots], seed[slots:] | np.uint64(1)
-        self.words = word_hashes()
 
     def of(self, text: str) -> np.ndarray:
         """``slots`` 16-bit values."""
-        h = self.words.array(split_words(text))
+        h = WordTable(pa.array([text])).hashes()
         mers = chain_hash(h, min(self.k, len(h))) if len(h) else h
         n = len(mers)
         if not n:

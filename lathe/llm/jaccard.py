@@ -28,24 +28,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, by_bucket, chain_hash, components, lower_ascii, materialise, mix, n_groups, small_batches, split_words, table, text_of, word_hashes
+from .common import WordTable, batch_of, by_bucket, chain_hash, components, materialise, mix, n_groups, small_batches, table
 from .packs import ASK_DDL, answers, bits_of, counted, over_packs, packs, put_together, request_rows, with_answers
 
 GROUP, BLOCK = 16, 1024
 
 
-def shingles(text: str | None, width: int, words: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text, A-Z lower-cased."""
-    h = words.array(split_words(lower_ascii(text_of(text))))
-    if 0 < len(h) < width:
-        return chain_hash(h, len(h)) ^ np.uint64(len(h))
-    return np.unique(chain_hash(h, width))
-
-
-def digest(s: np.ndarray) -> int:
-    """The set's 64-bit name, as a signed long."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s).sum() ^ (s ^ (s >> np.uint64(7))).sum()], np.uint64)).view(np.int64)[0])
+def shingle_sets(texts: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct word shingles as hashes (A-Z lower-cased), sorted within a text, and
+    where each text's begin. A text of fewer words has all of them as one."""
+    words = WordTable(texts, lower=True)
+    h, (text, room), n = words.hashes(), words.places(), np.diff(words.cut)
+    at = np.flatnonzero(room >= width)
+    value, owner = [chain_hash(h, width, at)], [text[at]]
+    for k in range(1, width):
+        short = np.flatnonzero(n == k)
+        if len(short):
+            value.append(chain_hash(h, k, words.cut[short]) ^ np.uint64(k))
+            owner.append(short)
+    size = np.maximum(n - width + 1, n > 0)
+    end = np.cumsum(size)
+    flat = np.empty(int(end[-1]) if len(end) else 0, np.uint64)
+    if len(value) > 1:
+        by = np.argsort(np.concatenate(owner), kind="stable")
+        flat[:] = np.concatenate(value)[by]
+    else:
+        flat[:] = value[0]
+    for x, y in zip((end - size).tolist(), end.tolist(), strict=True):
+        flat[x:y].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[(end - size)[size > 0]] = True
+    return flat[new], np.concatenate(([0], np.cumsum(new)))[np.concatenate(([0], end))]
+
+
+def digests(flat: np.ndarray, cut: np.ndarray) -> list[int | None]:
+    """The sets' 64-bit names, as signed longs; None for an empty set."""
+    a, b = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (mix(flat), flat ^ (flat >> np.uint64(7))))
+    name = mix((a[cut[1:]] - a[cut[:-1]]) ^ (b[cut[1:]] - b[cut[:-1]])).view(np.int64)
+    return [x if n else None for x, n in zip(name.tolist(), np.diff(cut).tolist(), strict=True)]
 
 
 class Forest:
@@ -105,28 +126,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     n_docs = docs.count()
     bits = bits_of(n_groups(n_docs, 1000, 64))
 
-    def keys_of(t: pa.Table):
-        words = word_hashes()
-        sets = [shingles(x, width, words) for x in t.column("text").to_pylist()]
-        keys, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if sets else (np.zeros(0, np.uint64),) * 3
-        return sets, keys, inverse, count
-
     def ask(p, t):
-        _, keys, _, count = keys_of(t)
+        keys, count = np.unique(shingle_sets(t.column("text"), width)[0], return_counts=True)
         yield from request_rows(p, keys, count.astype(np.uint32), bits, 4)
 
     told = answers(over_packs(held, ask, ASK_DDL), 4, lambda k, x, n: np.minimum(counted(k, x, n), 65535).astype(np.uint16))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.int64()), ("members", pa.binary()), ("first", pa.binary())])
 
     def tell(p, t, rows):
-        sets, keys, inverse, _ = keys_of(t)
+        flat, cut = shingle_sets(t.column("text"), width)
+        keys, inverse = np.unique(flat, return_inverse=True)
         often = put_together(rows, np.uint16)[inverse] if len(keys) else np.zeros(0, np.uint16)
-        cut = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        common = np.concatenate(([0], np.cumsum(often >= 2)))
+        names, cut = digests(flat, cut), cut.tolist()
         seen, out = set(), {f.name: [] for f in schema}
-        for i, (d, s) in enumerate(zip(t.column("doc_id").to_pylist(), sets, strict=True)):
-            f, name, need = often[cut[i] : cut[i + 1]], digest(s) if len(s) else None, -(-len(s) * num // den)
+        for i, (d, name) in enumerate(zip(t.column("doc_id").to_pylist(), names, strict=True)):
+            f, s = often[cut[i] : cut[i + 1]], flat[cut[i] : cut[i + 1]]
+            need = -(-len(s) * num // den)
             first = None
-            if len(s) and name not in seen and (f >= 2).sum() >= need:
+            if len(s) and name not in seen and common[cut[i + 1]] - common[cut[i]] >= need:
                 seen.add(name)
                 head = np.lexsort((s, f))[: len(s) - need + 1]
                 first = s[head[f[head] >= 2]].tobytes()
@@ -161,8 +179,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     cells = _cells(found.where("members IS NOT NULL").select("name", "members"), family, n_docs)
     links = cells.groupBy("deal").applyInArrow(lambda t: _links(t, num, den), "a long, b long")
     part = components(links).select(F.col("node").alias("name"), F.col("component").alias("part"))
-    named = found.select("doc_id", "n_shingles", "name").join(part, "name", "left").withColumn("part", F.coalesce("part", "name"))
-    least = named.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("least"))
+    # Both are written, so that the joins have no aggregate beside them and Spark can split a hot name or part.
+    named = found.select("doc_id", "n_shingles", "name").join(materialise(part), "name", "left").withColumn("part", F.coalesce("part", "name"))
+    named = materialise(named)
+    least = materialise(named.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("least")))
     return named.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 

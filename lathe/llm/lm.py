@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import K1, lower_ascii, materialise, mix, n_groups, small_batches, split_words, table, text_of, word_hashes
+from .common import K1, WordTable, materialise, mix, n_groups, small_batches, table
 from .packs import ASK_DDL, bits_of, counted, grow, over_packs, packs, request_rows, with_answers
 
 END, BEGIN = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0xD6E8FEB86659FD93)
@@ -71,13 +71,15 @@ class Tokens:
     """The tokens of one pack: words and bigrams as places among the pack's distinct keys."""
 
     def __init__(self, t: pa.Table):
-        hashes = word_hashes()
+        table = WordTable(t.column("text"), lower=True)
         self.ids = t.column("doc_id")
-        rows = [hashes.array(split_words(lower_ascii(text_of(x)))) for x in t.column("text").to_pylist()]
-        self.n = np.array([len(r) + 1 for r in rows], np.int64)
+        self.n = np.diff(table.cut) + 1
         self.train = np.array([is_training(i) for i in self.ids.to_pylist()], bool)
-        words = np.concatenate([y for r in rows for y in (r, np.array([END], np.uint64))]) if rows else np.zeros(0, np.uint64)
         self.begin = np.cumsum(self.n) - self.n
+        words = np.full(int(self.n.sum()), END, np.uint64)
+        is_word = np.ones(len(words), bool)
+        is_word[self.begin + self.n - 1] = False
+        words[is_word] = table.hashes()
         before = np.concatenate(([BEGIN], words[:-1])) if len(words) else words
         before[self.begin] = BEGIN
         pairs = mix(before * K1 ^ (words >> np.uint64(31)) + words)

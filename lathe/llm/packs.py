@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise
+from .common import batch_of, materialise, release
 
 PACK = pa.schema([("pack", pa.int64()), ("body", pa.binary())])
 ASK = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
@@ -124,6 +124,7 @@ def with_answers(pack_table: DataFrame, told: DataFrame, f: Callable[[int, pa.Ta
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [x for p, body in zip(left.column("pack").to_pylist(), left.column("body").to_pylist(), strict=True) for x in f(p, read_pack(body), right)]
+        release()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return pack_table.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(run, from_arrow_schema(schema))
@@ -134,6 +135,7 @@ def over_packs(pack_table: DataFrame, f: Callable[[int, pa.Table], Iterator[pa.R
         for b in batches:
             for p, body in zip(b.column("pack").to_pylist(), b.column("body").to_pylist(), strict=True):
                 yield from f(p, read_pack(body))
+        release()
 
     return pack_table.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, small_batches, table, text_of, word_hashes
+from .common import batch_of, materialise, release, small_batches, table, text_of, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Possessive repeats and a look-behind keep them linear; they match what the plain ones match.
@@ -138,10 +138,12 @@ def gather(docs: DataFrame) -> DataFrame:
             yield rows(0, **d)
             if c["terms"]:
                 yield rows(1, **c)
-            if len(seen) > 400_000:
+            if len(seen) > 200_000:
                 yield from counts(seen)
                 seen.clear()
         yield from counts(seen)
+        seen.clear()
+        release()
 
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_DDL))
 
@@ -190,14 +192,17 @@ def sanitise(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remo
     found = gather(docs)
     more = disclosing(found, level, generalise, remove).groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("__terms"))
     hashed = found.where("tag = 0").join(more, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("fp") == F.col("__f"))).select("__d", "__f", "__terms").distinct()
-    by_doc = hashed.groupBy("__d").agg(F.collect_list(F.struct("__f", "__terms")).alias("__all"))
-    x = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["__d"]), "left").drop("__d")
+    by_doc = hashed.groupBy(F.col("__d").alias("of_id")).agg(F.collect_list(F.struct("__f", "__terms")).alias("marks"))
+    x = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    x = x.join(by_doc, F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_id")), "left")
     names = docs.columns
 
     def run(batches):
         for b in batches:
+            rows = b.column("row")
+            cols = dict(zip(names, rows.flatten(), strict=True))
             texts = []
-            for text, rest in zip(b.column("text").to_pylist(), b.column("__all").to_pylist(), strict=True):
+            for text, rest in zip(cols["text"].to_pylist(), b.column("marks").to_pylist(), strict=True):
                 if text is not None:
                     spans = [(s, e, f"[{k.upper()}]") for k, s, e in base_spans(text)]
                     if rest:
@@ -205,12 +210,13 @@ def sanitise(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remo
                         spans += [(t["start"], t["end"], "" if t["removed"] else "[TERM]") for r in rest if r["__f"] == fp for t in r["__terms"]]
                     text = replaced(text, spans)
                 texts.append(text)
-            cols = {c: b.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
+            cols["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+        release()
 
-    return x.select(*names, "__all").mapInArrow(run, docs.schema)
+    return x.select("row", "marks").mapInArrow(run, docs.schema)
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

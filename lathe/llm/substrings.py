@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import K2, chain_hash, mix, n_groups, small_batches, split_words, table, text_of, word_hashes
+from .common import K2, WordTable, chain_hash, mix, n_groups, small_batches, table
 from .packs import ASK, ASK_DDL, answers, bits_of, counted, over_packs, packs, put_together, request_rows, with_answers
 
 #: Difference covers by period (each is a perfect one).
@@ -33,55 +33,60 @@ LAST = np.iinfo(np.int64).max
 
 
 class Windows:
-    """The anchors and windows of one pack's documents."""
+    """The anchors and windows of one pack's documents; a place is one among the pack's words."""
 
     def __init__(self, t: pa.Table, min_words: int, period: int):
-        hashes = word_hashes()
         self.ids = np.array(t.column("doc_id").fill_null(LAST), np.int64)
-        self.words = [split_words(text_of(x)) for x in t.column("text").to_pylist()]
-        self.min_words, self.period, self.width = min_words, period, min_words - period + 1
-        self.cover = np.isin(np.arange(period), COVERS[period])
-        self.h = [hashes.array(w) for w in self.words]
-        self.at = [np.flatnonzero(np.resize(self.cover, max(0, len(h) - self.width + 1))) if len(h) >= min_words else np.zeros(0, np.int64) for h in self.h]
-        anchors = [chain_hash(h, self.width, a) for h, a in zip(self.h, self.at, strict=True)]
-        self.anchors, self.anchor_of, self.count = np.unique(np.concatenate([*anchors, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        self.table = WordTable(t.column("text"))
+        self.min_words, self.period, width = min_words, period, min_words - period + 1
+        self.cut, self.h = self.table.cut, self.table.hashes()
+        self.n = np.diff(self.cut)
+        self.text, self.room = self.table.places()
+        cover = np.isin(np.arange(period), COVERS[period])
+        within = np.arange(len(self.h)) - self.cut[self.text]
+        self.at = np.flatnonzero(cover[within % period] & (self.room >= width) & (self.n[self.text] >= min_words))
+        self.anchors, self.anchor_of, self.count = np.unique(chain_hash(self.h, width, self.at), return_inverse=True, return_counts=True)
+
+    def covered(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which places lie in one of the ranges."""
+        n = len(self.h) + 1
+        return np.cumsum(np.bincount(begin, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
 
     def extend(self, repeated: np.ndarray) -> None:
         """Hash every window that holds a repeated anchor at a shift below the period."""
-        hit, used = repeated[self.anchor_of].astype(bool), 0
-        self.starts, hashes = [], []
-        for h, at in zip(self.h, self.at, strict=True):
-            p, used = at[hit[used : used + len(at)]], used + len(at)
-            edge = np.zeros(len(h) + 2, np.int64)
-            np.add.at(edge, np.maximum(p - self.period + 1, 0), 1)
-            np.add.at(edge, p + 1, -1)
-            self.starts.append(np.flatnonzero(np.cumsum(edge[: max(0, len(h) - self.min_words + 1)]) > 0))
-            hashes.append(chain_hash(h, self.min_words, self.starts[-1]))
-        n = [len(s) for s in self.starts]
-        owner = np.repeat(np.arange(len(n)), n)
-        value = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        self.route = mix(value * K2 + np.uint64(77))
-        place = np.concatenate([*self.starts, np.zeros(0, np.int64)])
-        order = np.lexsort((place, owner, self.ids[owner] if len(owner) else owner, value, self.route))
+        p = self.at[repeated[self.anchor_of].astype(bool)]
+        near = self.covered(np.maximum(p - self.period + 1, self.cut[self.text[p]]), p + 1)
+        self.starts = np.flatnonzero(near & (self.room >= self.min_words))
+        value = chain_hash(self.h, self.min_words, self.starts)
+        route = mix(value * K2 + np.uint64(77))
+        ids = self.ids[self.text[self.starts]]
+        order = np.lexsort((self.starts, ids, value, route))
         new = np.ones(len(order), bool)
-        new[1:] = (value[order][1:] != value[order][:-1]) | (self.route[order][1:] != self.route[order][:-1])
-        self.keys, self.routes, self.firsts = value[order][new], self.route[order][new], self.ids[owner[order][new]] if len(owner) else np.zeros(0, np.int64)
+        new[1:] = (value[order][1:] != value[order][:-1]) | (route[order][1:] != route[order][:-1])
+        self.keys, self.routes, self.firsts = value[order][new], route[order][new], ids[order][new]
         self.key_of = np.empty(len(order), np.int64)
         self.key_of[order] = np.cumsum(new) - 1
         self.is_first = np.zeros(len(order), bool)
         self.is_first[order[new]] = True
-        self.owner = owner
 
-    def kept(self, first_pack: np.ndarray) -> list[np.ndarray]:
-        """By document, which words stay."""
-        gone, used, out = ~(self.is_first & first_pack[self.key_of].astype(bool)), 0, []
-        for h, s in zip(self.h, self.starts, strict=True):
-            g, used = s[gone[used : used + len(s)]], used + len(s)
-            edge = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edge, g, 1)
-            np.add.at(edge, g + self.min_words, -1)
-            out.append(np.cumsum(edge[: len(h)]) == 0)
-        return out
+    def kept(self, first_pack: np.ndarray) -> np.ndarray:
+        """Which words stay."""
+        gone = self.starts[~(self.is_first & first_pack[self.key_of].astype(bool))]
+        return ~self.covered(gone, gone + self.min_words)
+
+    def texts(self, keep: np.ndarray) -> list[memoryview]:
+        """The kept words of each text, joined by one space, in UTF-8."""
+        data, at = self.table.data[:-8].copy(), self.table.at
+        start, end, text = self.table.start[keep], self.table.end[keep], self.text[keep]
+        stays = np.zeros(len(data) + 1, np.int8)
+        stays[start] += 1
+        stays[end] -= 1
+        stays = np.cumsum(stays[:-1], dtype=np.int8).astype(bool)
+        blank = end[:-1][text[1:] == text[:-1]]
+        data[blank], stays[blank] = 32, True
+        size = np.bincount(text, end - start, len(at) - 1).astype(np.int64) + np.maximum(np.bincount(text, minlength=len(at) - 1) - 1, 0)
+        body, cut = memoryview(data[stays]), np.concatenate(([0], np.cumsum(size))).tolist()
+        return [body[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def first_of(keys: np.ndarray, extra: bytes, n: np.ndarray) -> np.ndarray:
@@ -126,14 +131,14 @@ def dedup_substrings(docs: DataFrame, min_words: int = 20, period: int = 13, wit
     def remove(p, t, rows):
         late = pa.compute.greater_equal(rows.column("bucket"), 1 << bits)
         w = extended(t, rows.filter(pa.compute.invert(late)))
-        kept = w.kept(put_together(rows.filter(late), np.uint8))
-        texts = [" ".join([x for x, k in zip(words, keep.tolist(), strict=True) if k]) if not keep.all() else " ".join(words) for words, keep in zip(w.words, kept, strict=True)]
+        keep = w.kept(put_together(rows.filter(late), np.uint8))
+        texts = w.texts(keep)
         out = {
             "doc_id": t.column("doc_id"),
-            "n_words": [len(x) for x in w.words],
-            "n_removed": [int((~k).sum()) for k in kept],
-            "kept_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts],
-            "kept": texts,
+            "n_words": w.n,
+            "n_removed": w.n - np.bincount(w.text[keep], minlength=len(w.n)),
+            "kept_sha256": [hashlib.sha256(x).hexdigest() for x in texts],
+            "kept": [str(x, "utf-8") for x in texts] if with_text else None,
         }
         yield pa.table({f.name: out[f.name] for f in schema}, schema=schema)
 
