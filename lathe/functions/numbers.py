@@ -34,7 +34,8 @@ def first_number(value: Column) -> Column:
 
 
 def leads_with_quantity(value: Column) -> Column:
-    return value.rlike(r"^\s*-?[\d,]+(\.\d+)?(\s|$)")
+    """The value begins with one number literal, and a blank or nothing follows it."""
+    return strip(value).rlike(rf"^(?:{NUMBER})(?:\s|$)")
 
 
 def close_to(a: Column, b: Column, tolerance: float = 1e-6, floor: float = 1e-12) -> Column:
@@ -50,8 +51,8 @@ def answers_match(got: Column, want: Column, kind: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    """All white space off both ends (Spark's trim takes spaces only)."""
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    """All Unicode white space off both ends (Spark's trim takes spaces only)."""
+    return F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def wilson_interval(hits: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -108,3 +109,53 @@ def calculate(expression: str | None) -> str | None:
 def calc(expressions: pd.Series) -> pd.Series:
     known = {x: calculate(x) for x in expressions.unique()}
     return expressions.map(known)
+
+
+def round_text(value: Column) -> Column:
+    """An integer's digits where a value is integral, else the value rounded to four places."""
+    rounded = F.round(value, 4)
+    return F.when(value == F.floor(value), F.floor(value).cast("bigint").cast("string")).otherwise(rounded.cast("string"))
+
+
+def clamp(value: Column, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(value.cast("int"), F.lit(high)))
+
+
+def gumbel(u: Column, eps: float = 1e-10) -> Column:
+    return -F.log(-F.log(u + F.lit(eps)) + F.lit(eps))
+
+
+def swiglu_width(d_ff: Column) -> Column:
+    """Two thirds of the width, up to a multiple of 64, 64 at least."""
+    part = F.floor(2 * d_ff / 3)
+    return F.greatest(F.lit(64), (F.floor((part + 63) / 64) * 64)).cast("bigint")
+
+
+def attention_costs(seq: Column, window: Column, width: Column, latent: Column, batch: Column, state: Column) -> Column:
+    """Cells that windowed attention compares, a latent cache holds and a scan keeps."""
+    return F.struct((seq * window * width).alias("window"), (seq * latent).alias("latent"), (batch * state).alias("state"))
+
+
+def plain_answer(text: Column) -> Column:
+    """Runs of white space as one blank, ends stripped, full stops at the end dropped."""
+    return F.regexp_replace(F.regexp_replace(strip(text), r"(?U)\s+", " "), r"\.+\z", "")
+
+
+def partition(text: Column, mark: str = ":") -> Column:
+    """struct(head, tail): before and after the first mark; without one all is head."""
+    at = F.locate(mark, text)
+    whole = F.struct(text.alias("head"), F.lit("").alias("tail"))
+    return F.when(at == 0, whole).otherwise(F.struct(F.substring(text, F.lit(1), at - 1).alias("head"), F.substring(text, at + len(mark), F.length(text)).alias("tail")))
+
+
+def minutes(seconds: Column) -> Column:
+    return F.format_string("%.1fm", seconds.cast("double") / 60)
+
+
+def utc_text(moment: Column) -> Column:
+    """A UTC timestamp as ISO text that ends in Z."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def file_stamp(moment: Column) -> Column:
+    return F.date_format(moment, "yyyyMMdd_HHmmss")

@@ -96,6 +96,11 @@ def tool_rollup(names: Column) -> Column:
     return F.array_join(names, "->")
 
 
+def conversation_rollup(turns: Column) -> Column:
+    """Tool names of each turn (an array of arrays) joined by an arrow, turns by a bar; a turn without calls is a dash."""
+    return F.array_join(F.transform(turns, lambda t: F.when(F.size(t) > 0, tool_rollup(t)).otherwise("-")), " | ")
+
+
 def truncate_keeping_answer(text: Column, limit: int) -> Column:
     """Keep the last assistant block whole and cut the head to what is left of ``limit``."""
     tail = F.regexp_extract(text, "(?s)^.*(<assistant>.*)$", 1)
@@ -103,6 +108,20 @@ def truncate_keeping_answer(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).when(tail == "", F.substring(text, 1, limit)).otherwise(cut)
 
 
-def preview(content: Column, obs_id: Column, direct: int = 180, window: int = 400, cap: int = 8000) -> Column:
-    body = F.substring(content, 1, cap)
-    return F.when(F.length(content) <= direct, content).otherwise(F.concat(F.substring(body, 1, window), F.format_string("\n[observation %d: %d of %d characters]", obs_id.cast("int"), F.least(F.length(body), F.lit(window)), F.length(body))))
+def observation_view(content: Column, obs_id: Column, offset: Column | None = None, window: int = 400, cap: int = 8000) -> Column:
+    """A window of a stored observation from an offset, and where it stands."""
+    body, at = F.substring(content, 1, cap), F.greatest(F.coalesce(offset, F.lit(0)), F.lit(0)) if offset is not None else F.lit(0)
+    end = F.least(F.length(body), at + window)
+    note = F.format_string("\n[%s: %d bytes, showing %d-%d]", obs_id, F.length(body), at, end)
+    return F.concat(F.substring(body, at + 1, F.greatest(end - at, F.lit(0))), note)
+
+
+def observations(results: DataFrame, trace: str, order: str, content: str = "content", direct: int = 180) -> DataFrame:
+    """``results`` with obs_id and view: short ones pass as they are and have no id, others are
+    numbered within their trace in the order of their coming and show their first window."""
+    from pyspark.sql import Window
+
+    large = F.length(content) > direct
+    n = F.count(F.when(large, 1)).over(Window.partitionBy(trace).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    x = results.withColumn("obs_id", F.when(large, F.concat(F.lit("obs_"), n.cast("string"))))
+    return x.withColumn("view", F.when(F.col("obs_id").isNull(), F.col(content)).otherwise(observation_view(F.col(content), F.col("obs_id"))))

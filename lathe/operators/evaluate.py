@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gate(results: DataFrame, overall: float = 0.75, numeric: float = 0.60, exact: float = 0.80) -> DataFrame:
-    """(passed, reasons): accuracy thresholds; a missing numeric part counts 0, a missing exact part 1."""
+def gate(results: DataFrame, overall: float = 0.75, numeric: float = 0.60, exact: float = 0.80, cases: DataFrame | None = None) -> DataFrame:
+    """(overall, numeric, exact, reasons, passed): accuracy thresholds, and required questions
+    (``cases``: question) that must be there and right. A missing numeric part counts 0, a missing
+    exact part 1. Reasons come in that order, failed cases by question."""
     ok = F.col("ok").cast("double")
     part = lambda kind, empty: F.coalesce(F.avg(F.when(F.col("kind") == kind, ok)), F.lit(empty))
     a = results.agg(F.coalesce(F.avg(ok), F.lit(0.0)).alias("overall"), part("numeric", 0.0).alias("numeric"), part("exact", 1.0).alias("exact"))
-    why = F.array_compact(F.array(*[F.when(F.col(c) < limit, F.concat(F.lit(f"{c} below {limit}"))) for c, limit in (("overall", overall), ("numeric", numeric), ("exact", exact))]))
-    return a.select("overall", "numeric", "exact", why.alias("reasons"), (F.size(why) == 0).alias("passed"))
+    says = lambda c, limit: F.format_string(f"{c} accuracy %.2f%% < {limit * 100:.0f}%%", F.col(c) * 100)
+    why = F.array_compact(F.array(*[F.when(F.col(c) < limit, says(c, limit)) for c, limit in (("overall", overall), ("numeric", numeric), ("exact", exact))]))
+    if cases is None:
+        a = a.withColumn("reasons", why)
+    else:
+        failed = required(cases, results).where("NOT ok").agg(F.array_sort(F.collect_set(F.concat(F.lit("required case failed: "), "question"))).alias("__f"))
+        a = a.join(failed, F.lit(True)).withColumn("reasons", F.concat(why, "__f")).drop("__f")
+    return a.withColumn("passed", F.size("reasons") == 0)
 
 
 def required(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -58,3 +66,8 @@ def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
     x = old.select("name", F.struct("rows", "cols").alias("o")).join(new.select("name", F.struct("rows", "cols").alias("n")), "name", "full_outer")
     kind: Column = F.when(F.col("o").isNull() | F.col("n").isNull(), "skip").when(F.col("o") == F.col("n"), "copy").when((F.col("o.cols") == F.col("n.cols")) & (F.col("o.rows") < F.col("n.rows")), "grow").otherwise("skip")
     return x.select("name", kind.alias("kind"))
+
+
+def reconciled(old: DataFrame, new: DataFrame) -> DataFrame:
+    """How many tensors are copied, grown and skipped."""
+    return reconcile(old, new).groupBy("kind").agg(F.count("*").alias("n"))

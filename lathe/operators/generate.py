@@ -94,3 +94,87 @@ def split_trace(text: Column) -> Column:
 def to_chat_api(role: Column, thought: Column, response: Column, name: Column, arguments: Column) -> Column:
     call = F.when(name.isNotNull(), F.array(F.struct(F.struct(name.alias("name"), F.coalesce(F.try_parse_json(arguments), F.parse_json(F.lit("{}"))).alias("arguments")).alias("function"))))
     return F.to_json(F.struct(role.alias("role"), F.coalesce(response, F.lit("")).alias("content"), thought.alias("thinking"), call.alias("tool_calls")))
+
+
+def from_chat_api(message: Column) -> Column:
+    """The payload of an assistant's API message (JSON text): a thought and either the first tool
+    call or the response. Arguments that are no object, or text that is none, become ``{}``."""
+    get = lambda path: F.get_json_object(message, path)
+    name = F.coalesce(get("$.tool_calls[0].function.name"), F.lit(""))
+    raw = get("$.tool_calls[0].function.arguments")
+    arguments = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False)), raw).otherwise("{}")
+    thought, has = get("$.thinking"), get("$.tool_calls[0]").isNotNull()
+    text = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":|\}$", "")
+    said = F.when(F.coalesce(thought, F.lit("")) != "", thought).otherwise(F.when(has, F.concat(F.lit("Calling "), name, F.lit("."))).otherwise("Answering directly."))
+    call = F.concat(F.lit('"tool_call":{"name":'), text(name), F.lit(',"arguments":'), arguments, F.lit("}"))
+    answer = F.concat(F.lit('"response":'), text(F.coalesce(get("$.content"), F.lit(""))))
+    return F.concat(F.lit('{"thought":'), text(said), F.lit(","), F.when(has, call).otherwise(answer), F.lit("}"))
+
+
+def run_message(answer: Column, thinking: Column) -> Column:
+    """A run's result as one API response."""
+    message = F.struct(F.lit("assistant").alias("role"), F.coalesce(answer, F.lit("")).alias("content"), F.coalesce(thinking, F.lit("")).alias("thinking"))
+    return F.to_json(F.struct(message.alias("message"), F.lit(True).alias("done"), F.lit("stop").alias("done_reason")))
+
+
+#: The kinds of the one-step generator and their weights.
+ONE_STEP = {"calc": 35, "memory": 30, "search": 20, "time": 15}
+
+
+def one_step_traces(spark: SparkSession, n: int, memory: list[tuple[str, str]], facts: list[tuple[str, str]], now: str, seed: int = 0) -> DataFrame:
+    """(trace_id, kind, trace): a question, one tool call, its result and the answer that repeats it."""
+    u = lambda k: draw(seed, "trace_id", F.lit(k))
+    total, at, kind = sum(ONE_STEP.values()), 0, F.lit(None).cast("string")
+    roll = F.pmod(u("kind"), F.lit(total))
+    for name, weight in reversed(ONE_STEP.items()):
+        at += weight
+        kind = F.when(roll >= total - at, name) if at == weight else F.when(roll < total - at + weight, name).otherwise(kind)
+    a, b = ((F.pmod(u(x), F.lit(90)) + 10).cast("bigint") for x in ("a", "b"))
+    op = pick(["+", "-", "*"], u("op"))
+    value = F.when(op == "+", a + b).when(op == "-", a - b).otherwise(a * b)
+    expr = F.concat_ws(" ", a.cast("string"), op, b.cast("string"))
+
+    def entry(table, what):
+        rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table])
+        return F.element_at(rows, (F.pmod(u(what), F.lit(len(table))) + 1).cast("int"))
+
+    m, f = entry(memory, "memory"), entry(facts, "facts")
+    case = lambda c, x, y, z: F.when(F.col("kind") == "calc", c).when(F.col("kind") == "memory", x).when(F.col("kind") == "search", y).otherwise(z)
+    x = ids(spark, n).withColumn("kind", kind)
+    x = x.withColumn("ask", case(F.concat(F.lit("What is "), expr, F.lit("?")), F.concat(F.lit("What is the "), m["k"], F.lit("?")), F.concat(F.lit("What is the "), f["k"], F.lit("?")), F.lit("What time is it?")))
+    x = x.withColumn("tool", case(F.lit("calc"), F.lit("search_memory"), F.lit("web_search"), F.lit("now")))
+    x = x.withColumn("args", case(F.concat(F.lit('{"expr":"'), expr, F.lit('"}')), F.concat(F.lit('{"key":"'), m["k"], F.lit('"}')), F.concat(F.lit('{"query":"'), f["k"], F.lit('"}')), F.lit("{}")))
+    x = x.withColumn("result", case(value.cast("string"), m["v"], f["v"], F.lit(now)))
+    call = F.concat(F.lit('<assistant>{"thought":"use '), F.col("tool"), F.lit('","tool_call":{"name":"'), F.col("tool"), F.lit('","arguments":'), F.col("args"), F.lit("}}</assistant>"))
+    shown = F.concat(F.lit("<tool name="), F.col("tool"), F.lit(">"), F.col("result"), F.lit("</tool>"))
+    end = F.concat(F.lit('<assistant>{"thought":"done","response":"'), F.col("result"), F.lit('"}</assistant>'), F.lit(EOT))
+    return x.select("trace_id", "kind", F.concat_ws("\n", F.concat(F.lit("<user>"), F.col("ask"), F.lit("</user>")), call, shown, end).alias("trace"))
+
+
+def lookup_chains(spark: SparkSession, n: int, facts: DataFrame, hops: int = 6, seed: int = 0) -> DataFrame:
+    """(trace_id, steps, value): chains in which every third step looks a quantity up (``facts``: key,
+    value, number) and adds it, and the others work on with the last result.
+
+    Facts are dealt by rank of their keys; the plan's keys are joined to them, so any number of facts will do."""
+    from pyspark.sql import Window
+
+    known = facts.where("number IS NOT NULL")
+    ranked = known.withColumn("rank", F.row_number().over(Window.orderBy("key")) - 1)  # facts are a pool of some thousand rows
+    many = ranked.agg(F.count("*").alias("many"))
+    x = ids(spark, n).join(many, F.lit(True)).where("many > 0")
+    looks = [i for i in range(hops) if i % 3 == 0]
+    for i in looks:
+        r = ranked.select(F.col("rank").alias("__k"), F.struct("key", "value", "number").alias(f"f{i}"))
+        x = x.withColumn("__r", F.pmod(draw(seed, "trace_id", F.lit(f"fact{i}")), F.col("many"))).join(r, F.col("__r") == F.col("__k")).drop("__r", "__k")
+    at, steps = F.lit(0.0), []
+    for i in range(hops):
+        if i in looks:
+            at = at + F.col(f"f{i}.number")
+            steps.append(F.struct(F.lit("web_search").alias("tool"), F.col(f"f{i}.key").alias("argument"), F.col(f"f{i}.value").alias("result"), at.alias("at")))
+        else:
+            v = (F.pmod(draw(seed, "trace_id", F.lit(f"v{i}")), F.lit(9)) + 2).cast("double")
+            by = pick(["+", "-"], draw(seed, "trace_id", F.lit(f"op{i}")))
+            expr = F.concat_ws(" ", at.cast("string"), by, v.cast("string"))
+            at = F.when(by == "+", at + v).otherwise(at - v)
+            steps.append(F.struct(F.lit("calc").alias("tool"), expr.alias("argument"), at.cast("string").alias("result"), at.alias("at")))
+    return x.select("trace_id", F.array(*steps).alias("steps"), at.alias("value"))

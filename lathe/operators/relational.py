@@ -84,7 +84,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def cascading_lookup(queries: DataFrame, facts: DataFrame, query: str = "query", cutoff: float = 0.78, default: str = "no results found") -> DataFrame:
-    """Exact, then contained either way in the facts' order, then similar, then the default.
+    """Exact, then contained either way in the facts' order, then similar (ties by the greater key), then the default.
 
     ``facts`` (ord, key, value) is a knowledge base of some thousand rows; only queries that the
     exact join leaves open meet all of it, once each.
@@ -92,11 +92,15 @@ def cascading_lookup(queries: DataFrame, facts: DataFrame, query: str = "query",
     q = queries.withColumn("__q", F.regexp_replace(F.lower(strip(F.col(query))), r"\?+$", ""))
     exact = q.join(facts.select(F.col("key").alias("__q"), F.col("value").alias("answer")), "__q", "left")
     still = exact.where("answer IS NULL").select("__q").distinct()
-    pairs = still.join(facts, F.lit(True)).withColumn("__in", F.col("__q").contains(F.col("key")) | F.col("key").contains(F.col("__q")))
-    pairs = pairs.withColumn("__sim", similarity("__q", "key"))
-    found = pairs.groupBy("__q").agg(F.min_by("value", F.when(F.col("__in"), F.col("ord"))).alias("part"), F.max_by("value", F.when(F.col("__sim") >= cutoff, F.struct(F.col("__sim"), -F.col("ord")))).alias("like"), F.max("__in").alias("any"), F.max("__sim").alias("best"))
-    found = found.select("__q", F.when(F.col("any"), F.col("part")).when(F.col("best") >= cutoff, F.col("like")).alias("__other"))
-    return exact.join(found, "__q", "left").withColumn("answer", F.coalesce("answer", "__other", F.lit(default))).drop("__q", "__other")
+    contained = F.col("__q").contains(F.col("key")) | F.col("key").contains(F.col("__q"))
+    part = still.join(facts, contained).groupBy("__q").agg(F.min_by("value", "ord").alias("part"))
+    # A ratio of ``cutoff`` needs lengths that are not further apart than this; only such pairs are compared.
+    short, long = F.least(F.length("__q"), F.length("key")), F.greatest(F.length("__q"), F.length("key"))
+    near = still.join(part, "__q", "left_anti").join(facts, short >= F.floor(long * F.lit(cutoff / (2 - cutoff))))
+    near = near.withColumn("__sim", similarity("key", "__q")).where(F.col("__sim") >= cutoff)
+    like = near.groupBy("__q").agg(F.max_by("value", F.struct("__sim", "key")).alias("like"))
+    x = exact.join(part, "__q", "left").join(like, "__q", "left")
+    return x.withColumn("answer", F.coalesce("answer", "part", "like", F.lit(default))).drop("__q", "part", "like")
 
 
 def merge_pools(old: DataFrame, new: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -140,9 +144,10 @@ def capped_take(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
 def ranked_results(results: DataFrame, family: str = "experiment") -> DataFrame:
     """RANK() of each result within its family by its primary metric: accuracy (high is good),
     else a loss (low is good); the family's first row decides the direction."""
-    metric = F.coalesce("accuracy", "best_val_loss", "best_loss", "final_loss", F.lit(0.0))
-    x = results.withColumn("metric", metric)
-    up = F.first(F.col("accuracy").isNotNull()).over(Window.partitionBy(family).orderBy("file_name"))
+    metrics = ("accuracy", "best_val_loss", "best_loss", "final_loss")
+    name = F.coalesce(*[F.when(F.col(m).isNotNull(), m) for m in metrics], F.lit("no metric"))
+    x = results.withColumn("metric", F.coalesce(*metrics, F.lit(0.0))).withColumn("metric_name", name)
+    up = F.first(F.col("metric_name").isin("accuracy", "no metric")).over(Window.partitionBy(family).orderBy("file_name"))
     x = x.withColumn("__s", F.when(up, -F.col("metric")).otherwise(F.col("metric")))
     return x.withColumn("rank", F.rank().over(Window.partitionBy(family).orderBy("__s"))).drop("__s")
 
@@ -158,8 +163,13 @@ def grep(df: DataFrame, key: str, pattern: str, limit: int = 20, width: int = 11
 
 
 def compact_history(blocks: DataFrame, keep: int = 6, width: int = 60) -> DataFrame:
-    """Older tool blocks shrink to their first line; nothing grows."""
-    rank = F.row_number().over(Window.partitionBy("trace_id", "role").orderBy(F.desc("pos")))
-    short = F.substring(F.element_at(F.split("content", "\n"), 1), 1, width)
-    old = (F.col("role") == "tool") & (F.col("__r") > keep) & (F.length(short) < F.length("content"))
+    """Tool blocks (trace_id, pos, content) before the last ``keep`` shrink to their first line and
+    a mark; the assistant's blocks stay, and nothing grows."""
+    tool = F.col("content").startswith("<tool ")
+    rank = F.row_number().over(Window.partitionBy("trace_id", tool).orderBy(F.desc("pos")))
+    body = strip(F.regexp_extract("content", r"(?s)^[^>]*>(.*)</tool>", 1))
+    line = F.substring_index(body, "\n", 1)
+    first = F.when(F.length(line) > width, F.concat(F.substring(line, 1, width), F.lit("..."))).otherwise(line)
+    short = F.concat(F.lit("<tool name="), F.regexp_extract("content", "name=([^>]*)>", 1), F.lit(">"), first, F.lit(" [elided]</tool>"))
+    old = tool & (F.col("__r") > keep) & (F.length(short) < F.length("content"))
     return blocks.withColumn("__r", rank).withColumn("content", F.when(old, short).otherwise(F.col("content"))).drop("__r")

@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from lathe.functions import numbers as N
 from lathe.functions import protocol as P
+from lathe.operators import evaluate as E
+from lathe.operators import generate as G
 from lathe.operators import kernels as K
+from lathe.operators import mixes as X
+from lathe.operators import pools as L
 from lathe.operators import relational as R
+from lathe.operators import reports as Y
+from lathe.operators import traces as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -280,14 +286,274 @@ def contains_join(s, d):
     return b.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("hits"))
 
 
-@query("cascading_lookup")
+@query("cascading_lookup", "with f as (select n_nationkey as ord, lower(n_name) as key, 'region '||n_regionkey as value from nation), q as (select 'where is '||lower(n_name)||'?' as query from nation union all select lower(n_name)||'x' from nation), m as (select query, rtrim(query,'?') as q from q) select query, coalesce((select min(value) from f where key=q), (select arg_min(value, ord) from f where contains(q,key) or contains(key,q)), 'no results found') as answer from m")
 def cascading_lookup(s, d):
     facts = t(s, d, "nation").select(F.col("n_nationkey").alias("ord"), F.lower("n_name").alias("key"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("value"))
     asked = t(s, d, "nation").select(F.concat(F.lit("where is "), F.lower("n_name"), F.lit("?")).alias("query")).union(t(s, d, "nation").select(F.concat(F.lower("n_name"), F.lit("x")).alias("query")))
     return R.cascading_lookup(asked, facts)
 
 
-@query("calc_chain")
+@query("calc_chain", "select o_orderkey, '('||o_custkey||' + '||o_orderkey||') * 2 // 7' as expr, ((o_custkey+o_orderkey)*2//7)::varchar as value from orders")
 def calc_chain(s, d):
     x = t(s, d, "orders").select("o_orderkey", F.format_string("(%d + %d) * 2 // 7", F.col("o_custkey").cast("bigint"), F.col("o_orderkey").cast("bigint")).alias("expr"))
     return x.withColumn("value", N.calc("expr"))
+
+
+def chat_bodies(s, d):
+    """Assistant turns of which a third are free text, a third answers and a third tool calls."""
+    k, n = (F.col("conv_id") + F.col("turn")) % 3, F.col("turn").cast("string")
+    answer = F.concat(F.lit('{"thought":"t","response":"'), n, F.lit('"}'))
+    call = F.concat(F.lit('{"thought":"t","tool_call":{"name":"calc","arguments":{"expr":"'), n, F.lit(' + 1"}}}'))
+    return t(s, d, "conversations").where("role = 'assistant'").withColumn("body", F.when(k == 0, F.col("text")).when(k == 1, answer).otherwise(call))
+
+
+@query("validity", "with b as (select conv_id, (conv_id+turn)%3 as k from conversations where role='assistant') select count(*) as blocks, (count(*) filter (k<>0))::bigint as valid, count(distinct conv_id) as traces, count(distinct conv_id) filter (k=2) as with_call, round((count(*) filter (k<>0))/count(*), 9) as valid_share, round((count(distinct conv_id) filter (k=2))/count(distinct conv_id), 9) as call_share from b")
+def validity(s, d):
+    return Y.validity(chat_bodies(s, d), "conv_id", "body").withColumn("valid_share", F.round("valid_share", 9)).withColumn("call_share", F.round("call_share", 9))
+
+
+@query("hop_bands", "with h as (select conv_id, count(*) as n from conversations group by 1), b as (select case when n>=32 then '32+' when n>=16 then '16-31' when n>=8 then '8-15' when n>=4 then '4-7' when n>=2 then '2-3' else '0-1' end as band from h) select band, count(*) as n, round(count(*)/(select count(*) from b), 9) as share from b group by 1")
+def hop_bands(s, d):
+    h = t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("hops"))
+    return Y.hop_bands(h, F.col("hops")).withColumn("share", F.round("share", 9))
+
+
+@query("most_common", "select source, count(*) as n, min(doc_id) as first from documents group by source order by n desc, first")
+def most_common(s, d):
+    return Y.most_common(t(s, d, "documents"), "source", "doc_id")
+
+
+@query("distinct_sorted", "select lang, string_agg(distinct source, ',' order by source) as sources from documents group by lang")
+def distinct_sorted(s, d):
+    return Y.distinct_sorted(t(s, d, "documents"), "lang", "source").select("lang", F.array_join("values", ",").alias("sources"))
+
+
+@query("series_summary", "select user_id, max(value) filter (r=1) as final, min(value) as least, round((sum(value) filter (r<=50))/50, 6) as recent from (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) group by 1")
+def series_summary(s, d):
+    return Y.series_summary(t(s, d, "events"), "user_id", ["ts", "event_id"], "value").withColumn("recent", F.round("recent", 6))
+
+
+@query("best_step", "select event_id, max(value) over w as best, first_value(event_id) over (partition by user_id, b order by ts, event_id) as best_step from (select *, max(value) over w as b from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)) window w as (partition by user_id order by ts, event_id rows unbounded preceding)")
+def best_step(s, d):
+    return Y.running_best(t(s, d, "events"), "user_id", ["ts", "event_id"], "event_id", "value").select("event_id", "best", "best_step")
+
+
+RESULTS_SQL = "select event_type as experiment, printf('run_%012d.json', event_id) as file_name, case when event_type<'m' then value end as accuracy, case when event_type>='m' and event_id%3=0 then value end as best_val_loss, null::double as best_loss, case when event_type>='m' and event_id%3=1 then value end as final_loss, event_id from events"
+
+
+def results(s, d):
+    e, v = t(s, d, "events"), F.col("value")
+    low = F.col("event_type") < "m"
+    return e.select(F.col("event_type").alias("experiment"), F.format_string("run_%012d.json", "event_id").alias("file_name"), F.when(low, v).alias("accuracy"), F.when(~low & (F.col("event_id") % 3 == 0), v).alias("best_val_loss"), F.lit(None).cast("double").alias("best_loss"), F.when(~low & (F.col("event_id") % 3 == 1), v).alias("final_loss"), "event_id", F.date_format("ts", "yyyy-MM-dd").alias("timestamp"))
+
+
+@query("ranked_results", f"with r as ({RESULTS_SQL}), m as (select *, coalesce(accuracy,best_val_loss,best_loss,final_loss,0) as metric, case when accuracy is not null then 'accuracy' when best_val_loss is not null then 'best_val_loss' when best_loss is not null then 'best_loss' when final_loss is not null then 'final_loss' else 'no metric' end as metric_name from r), f as (select *, first_value(metric_name in ('accuracy','no metric')) over (partition by experiment order by file_name) as up from m) select event_id, metric_name, metric, rank() over (partition by experiment order by case when up then -metric else metric end)::int as rank from f")
+def ranked_results(s, d):
+    return R.ranked_results(results(s, d)).select("event_id", "metric_name", "metric", "rank")
+
+
+@query("leaderboard_lines", f"with r as ({RESULTS_SQL}), m as (select *, coalesce(accuracy,best_val_loss,final_loss,0) as metric, case when accuracy is not null then 'accuracy' when best_val_loss is not null then 'best_val_loss' when final_loss is not null then 'final_loss' else 'no metric' end as metric_name from r), f as (select *, first_value(metric_name in ('accuracy','no metric')) over (partition by experiment order by file_name) as up from m), k as (select f.*, strftime(ts,'%Y-%m-%d') as stamp, rank() over (partition by experiment order by case when up then -metric else metric end) as rk from f join events using (event_id)) select file_name, '| '||stamp||' | '||experiment||' | #'||rk||' | '||metric_name||printf('=%.4f',metric)||' | - | - | '||coalesce(printf('final=%.4f',final_loss), printf('best=%.4f',null::double), printf('val=%.4f',best_val_loss),'-')||' | '||coalesce(printf('overall=%.1f%%',accuracy*100),'-')||' | - | - | ['||file_name||'](results/'||file_name||') |' as line from k")
+def leaderboard_lines(s, d):
+    return Y.leaderboard_lines(R.ranked_results(results(s, d))).select("file_name", "line")
+
+
+@query("gate_reasons", "with r as (select doc_id::varchar as question, case when doc_id%2=0 then 'numeric' else 'exact' end as kind, quality=1 as ok from labels), a as (select avg(ok::int) as o, avg(ok::int) filter (kind='numeric') as n, avg(ok::int) filter (kind='exact') as e from r), w as (select 0 as i, printf('overall accuracy %.2f%% < 75%%', o*100) as why from a where o<0.75 union all select 1, printf('numeric accuracy %.2f%% < 60%%', n*100) from a where n<0.6 union all select 2, printf('exact accuracy %.2f%% < 80%%', e*100) from a where e<0.8 union all select 3, 'required case failed: '||q from (select unnest(['0','3','x']) as q) left join r on question=q where not coalesce(ok,false)) select coalesce(string_agg(why, '; ' order by i, why),'') as reasons, count(*)=0 as passed from w")
+def gate_reasons(s, d):
+    r = t(s, d, "labels").select(F.col("doc_id").cast("string").alias("question"), F.when(F.col("doc_id") % 2 == 0, "numeric").otherwise("exact").alias("kind"), (F.col("quality") == 1).alias("ok"))
+    cases = s.createDataFrame([("0",), ("3",), ("x",)], "question string")
+    return E.gate(r, cases=cases).select(F.array_join("reasons", "; ").alias("reasons"), "passed")
+
+
+@query("bind_surfaces", "select lower(n_name) as surface, 'canonical_'||n_nationkey as canonical from nation where n_nationkey%2=0 union all select 'finish','finish'")
+def bind_surfaces(s, d):
+    n = t(s, d, "nation")
+    schema = n.select(F.lower("n_name").alias("surface")).union(s.createDataFrame([("finish",)], "surface string"))
+    names = n.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("surface"), F.concat(F.lit("canonical_"), F.col("n_nationkey").cast("string")).alias("canonical"))
+    return X.bind_surfaces(schema, names)
+
+
+@query("renamed", "select n_nationkey, case when n_regionkey=1 then 'new_'||n_name else n_name end as name from nation")
+def renamed(s, d):
+    n = t(s, d, "nation")
+    mapping = n.where("n_regionkey = 1").select(F.col("n_name").alias("old"), F.concat(F.lit("new_"), "n_name").alias("new"))
+    return X.renamed(n.select("n_nationkey", F.col("n_name").alias("name")), mapping)
+
+
+@query("quota_union", "with a as (select doc_id from documents where source='src1' order by doc_id limit 60), b as (select doc_id from documents where source<>'src1' order by doc_id limit (200 - (select count(*) from a))) select doc_id, 'scenario' as origin from a union all select doc_id, 'generated' from b")
+def quota_union(s, d):
+    x = t(s, d, "documents").select("doc_id", "source")
+    part = lambda cond, name: x.where(cond).select("doc_id", F.lit(name).alias("origin"))
+    return X.quota_union(part("source = 'src1'", "scenario"), part("source <> 'src1'", "generated"), 200, 0.3, "doc_id")
+
+
+@query("replay_mix", "select doc_id, false as replay from (select doc_id from documents where lang<>'fr' order by doc_id limit 150) union all select doc_id, true from (select doc_id from documents where lang='fr' order by doc_id limit 50)")
+def replay_mix(s, d):
+    x = t(s, d, "documents")
+    return X.replay_mix(x.where("lang <> 'fr'").select("doc_id"), x.where("lang = 'fr'").select("doc_id"), 200, 0.25, "doc_id")
+
+
+@query("with_cases", "select n_name as question from nation union all select r_name from region")
+def with_cases(s, d):
+    return X.with_cases(t(s, d, "nation").select(F.col("n_name").alias("question")), t(s, d, "region").select(F.col("r_name").alias("question")), True)
+
+
+@query("deep_traces", "select conv_id from conversations group by 1 having count(*)>=4 order by conv_id limit 25")
+def deep_traces(s, d):
+    n = t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("calls"))
+    return X.deep_traces(n, "conv_id", F.col("calls"), 4, 25).select("conv_id")
+
+
+@query("first_open_call", "select conv_id, min(turn) as pos from conversations where role='assistant' and (conv_id+turn)%3=2 and turn>=2 group by 1")
+def first_open_call(s, d):
+    x = chat_bodies(s, d).withColumn("call", F.get_json_object("body", "$.tool_call.name"))
+    return X.first_open_call(x, "conv_id", "turn", "call", 2).select("conv_id", "pos")
+
+
+@query("sample_pairs", "with v as (select distinct lang, source from documents), r as (select *, row_number() over (partition by lang order by ('0x'||md5('9:'||lang||':'||source)[1:8])::BIGINT, source) as k from v) select lang, max(source) filter (k=1) as a, max(source) filter (k=2) as b from r where k<=2 group by 1 having count(*)=2")
+def sample_pairs(s, d):
+    return X.pairs_without_replacement(t(s, d, "documents"), "lang", "source", 9)
+
+
+@query("grounding", "select o_orderkey, o_orderkey%5<>0 as ok, case when o_orderkey%5=0 then 'hop 1 (calc): value '||(o_custkey+1000000)||' not grounded in prior context' else '' end as problems from orders")
+def grounding(s, d):
+    used = F.col("o_custkey") + F.when(F.col("o_orderkey") % 5 == 0, 1000000).otherwise(0)
+    trace = F.concat(F.lit("<user>add 3 to "), F.col("o_custkey").cast("string"), F.lit('</user>\n<assistant>{"thought":"t","tool_call":{"name":"calc","arguments":{"expr":"'), used.cast("string"), F.lit(' + 3"}}}</assistant>\n<tool name=calc>'), (used + 3).cast("string"), F.lit("</tool>"))
+    x = X.grounding(t(s, d, "orders").select("o_orderkey", trace.alias("trace")), "o_orderkey", "trace")
+    return x.select("o_orderkey", "ok", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("z_loss", "with x as (select vec_id, ln(list_sum(list_transform(embedding, lambda e: exp(e::double)))) as z from embeddings) select round(0.0001*sum(z*z)/count(*), 9) as z_loss from x")
+def z_loss(s, d):
+    return K.z_loss(t(s, d, "embeddings").withColumn("mask", F.lit(1.0)), "embedding", "mask", 0.0001).select(F.round("z_loss", 9).alias("z_loss"))
+
+
+@query("layer_norm", "with x as (select vec_id, list_transform(embedding, lambda e: e::double) as v from embeddings), m as (select *, list_avg(v) as mu from x), n as (select *, list_avg(list_transform(v, lambda e: (e-mu)*(e-mu))) as va from m) select vec_id, round(list_max(list_transform(v, lambda e: (e-mu)/sqrt(va+1e-5))), 7) as top from n")
+def layer_norm(s, d):
+    return t(s, d, "embeddings").select("vec_id", F.round(F.array_max(K.layer_norm(F.col("embedding"))), 7).alias("top"))
+
+
+@query("categorical_draw", "with x as (select vec_id, generate_subscripts(embedding,1)-1 as k, unnest(embedding)::double as v from embeddings), p as (select vec_id, k, exp(v)/sum(exp(v)) over (partition by vec_id) as pr from x), c as (select *, sum(pr) over (partition by vec_id order by k rows unbounded preceding) as cum, ('0x'||md5('7:'||vec_id)[1:8])::BIGINT/4294967296.0 * sum(pr) over (partition by vec_id) as u from p) select vec_id, min(k)::int as k from c where cum>u group by 1")
+def categorical_draw(s, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    p = t(s, d, "embeddings").select("vec_id", F.posexplode(K.softmax(v)).alias("k", "p"))
+    return X.categorical_draw(p, "vec_id", "k", "p", 7)
+
+
+@query("greedy_pick", "with x as (select vec_id, generate_subscripts(embedding,1)-1 as k, unnest(embedding) as v from embeddings), r as (select *, row_number() over (partition by vec_id order by v desc, k) as n from x) select vec_id, k::int as k from r where n=1")
+def greedy_pick(s, d):
+    p = t(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "p"))
+    return X.categorical_draw(p, "vec_id", "k", "p", 7, greedy=True)
+
+
+@query("collate", "with x as (select turn, row_number() over (order by conv_id, turn)-1 as n, length(text) as l from conversations) select n//8 as batch_id, max(l)::bigint as padded, sum(l)::bigint as kept, (count(*)*max(l)-sum(l))::bigint as filled from x group by 1")
+def collate(s, d):
+    x = t(s, d, "conversations").withColumn("n", F.row_number().over(Window.orderBy("conv_id", "turn")) - 1)
+    x = x.select("n", F.array_repeat(F.lit(1), F.length("text")).alias("x"), F.array_repeat(F.lit(2), F.length("text")).alias("y"), F.array_repeat(F.lit(1.0), F.length("text")).alias("mask"))
+    got = X.collate(x, "n", 8)
+    return got.groupBy("batch_id").agg(F.max(F.size("x")).cast("bigint").alias("padded"), F.sum(F.aggregate("mask", F.lit(0.0), lambda a, m: a + m)).cast("bigint").alias("kept"), F.sum(F.size(F.filter("y", lambda y: y == -100))).cast("bigint").alias("filled"))
+
+
+@query("observation_view", "with x as (select *, count(*) filter (length(text)>180) over (partition by source order by doc_id rows unbounded preceding) as n from documents) select doc_id, case when length(text)<=180 then text else left(text,400)||chr(10)||'[obs_'||n||': '||least(length(text),8000)||' bytes, showing 0-'||least(length(text),400)||']' end as view from x")
+def observation_view(s, d):
+    return P.observations(t(s, d, "documents"), "source", "doc_id", "text").select("doc_id", "view")
+
+
+@query("observation_page", "select doc_id, substr(left(text,8000),1001,400)||chr(10)||'[obs_1: '||least(length(text),8000)||' bytes, showing 1000-'||least(least(length(text),8000),1400)||']' as view from documents where length(text)>1000")
+def observation_page(s, d):
+    x = t(s, d, "documents").where(F.length("text") > 1000)
+    return x.select("doc_id", P.observation_view(F.col("text"), F.lit("obs_1"), F.lit(1000)).alias("view"))
+
+
+@query("compact_history", "with b as (select conv_id, turn, role, case when role='assistant' then '<tool name=calc>'||text||'</tool>' else '<'||role||'>'||text||'</'||role||'>' end as content, text from conversations), r as (select *, row_number() over (partition by conv_id, role='assistant' order by turn desc) as k, string_split(regexp_replace(text,'^\\s+|\\s+$','','g'),chr(10))[1] as line from b), c as (select *, '<tool name=calc>'||case when length(line)>60 then left(line,60)||'...' else line end||' [elided]</tool>' as short from r) select conv_id, turn, case when role='assistant' and k>1 and length(short)<length(content) then short else content end as content from c")
+def compact_history(s, d):
+    c, a = t(s, d, "conversations"), F.col("role") == "assistant"
+    content = F.when(a, F.concat(F.lit("<tool name=calc>"), "text", F.lit("</tool>"))).otherwise(F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("</"), "role", F.lit(">")))
+    x = c.select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("pos"), content.alias("content"))
+    return R.compact_history(x, keep=1).select(F.col("trace_id").alias("conv_id"), F.col("pos").alias("turn"), "content")
+
+
+QUANTITIES = ["6,650 km", "1e5 km", ",,, km", "1,2 km", "O(1) insert", "150 years", "-3.5", "12km", " 7 "]
+
+
+@query("quantities", "select v, regexp_matches(trim(v), '^-?[0-9]{1,3}(,[0-9]{3})+(\\.[0-9]+)?(\\s|$)') or regexp_matches(trim(v), '^-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?(\\s|$)') as ok from (select unnest([" + ",".join(f"'{q}'" for q in QUANTITIES) + "]) as v)")
+def quantities(s, d):
+    return s.createDataFrame([(q,) for q in QUANTITIES], "v string").select("v", N.leads_with_quantity(F.col("v")).alias("ok"))
+
+
+@query("path_inside", "select * from (values ('/root/..',false),('/root/a/../b',true),('a/../b',true),('../b',false),('/rooted',false),('/root',true),('a/../../root/c',true)) as v(path, ok)")
+def path_inside(s, d):
+    paths = ["/root/..", "/root/a/../b", "a/../b", "../b", "/rooted", "/root", "a/../../root/c"]
+    return s.createDataFrame([(p,) for p in paths], "path string").select("path", L.inside(F.col("path"), "/root").alias("ok"))
+
+
+@query("answers", "select doc_id, regexp_replace(regexp_replace(trim(left(text,200), ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '\\s+', ' ', 'g'), '\\.+$', '') as answer, case when contains(text, '.') then left(text, strpos(text,'.')-1) else text end as head, case when contains(text, '.') then substr(text, strpos(text,'.')+1) else '' end as tail from documents")
+def answers(s, d):
+    x = t(s, d, "documents").select("doc_id", N.plain_answer(F.substring("text", 1, 200)).alias("answer"), N.partition(F.col("text"), ".").alias("p"))
+    return x.select("doc_id", "answer", "p.head", "p.tail")
+
+
+@query("small_numbers", "select o_orderkey, least(greatest(o_custkey,1),60)::int as clamped, greatest(64, ((2*o_custkey//3+63)//64)*64)::bigint as width, case when o_totalprice=floor(o_totalprice) then floor(o_totalprice)::bigint::varchar else round(o_totalprice,4)::varchar end as shown, round(-ln(-ln((o_orderkey%97+1)/98.0+1e-10)+1e-10), 9) as noise from orders")
+def small_numbers(s, d):
+    c = F.col("o_custkey")
+    return t(s, d, "orders").select("o_orderkey", N.clamp(c, 1, 60).alias("clamped"), N.swiglu_width(c).alias("width"), N.round_text(F.col("o_totalprice")).alias("shown"), F.round(N.gumbel((F.col("o_orderkey") % 97 + 1) / F.lit(98.0)), 9).alias("noise"))
+
+
+@query("active_ids", "select distinct id from (select n_regionkey as id from nation union all select n_nationkey%3 from nation) order by id")
+def active_ids(s, d):
+    return Y.active(t(s, d, "nation").withColumn("k", F.col("n_nationkey") % 3), "n_regionkey", "k")
+
+
+@query("mean_hops", "select round(avg(n) filter (conv_id%2=0), 9) as reference, round(avg(n) filter (conv_id%2=1), 9) as model from (select conv_id, count(*) as n from conversations group by 1)")
+def mean_hops(s, d):
+    n = t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("hops"))
+    return Y.mean_hops(n.where("conv_id % 2 = 0"), n.where("conv_id % 2 = 1"), "hops").select(F.round("reference", 9).alias("reference"), F.round("model", 9).alias("model"))
+
+
+@query("parameter_count", "select sum(p_size*7)::bigint as parameters from part")
+def parameter_count(s, d):
+    return Y.parameter_count(t(s, d, "part").select(F.array(F.col("p_size").cast("bigint"), F.lit(7).cast("bigint")).alias("shape")))
+
+
+@query("reconciled", "with o as (select n_name as name, n_regionkey as r from nation where n_nationkey<20), n as (select n_name as name, case when n_nationkey%3=0 then n_regionkey+1 else n_regionkey end as r from nation where n_nationkey>=5) select case when o.name is null or n.name is null or n.r<o.r then 'skip' when o.r=n.r then 'copy' else 'grow' end as kind, count(*) as n from o full join n using (name) group by 1")
+def reconciled(s, d):
+    n = t(s, d, "nation")
+    old = n.where("n_nationkey < 20").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("rows"), F.lit(4).alias("cols"))
+    new = n.where("n_nationkey >= 5").select(F.col("n_name").alias("name"), (F.col("n_regionkey") + F.when(F.col("n_nationkey") % 3 == 0, 1).otherwise(0)).alias("rows"), F.lit(4).alias("cols"))
+    return E.reconciled(old, new)
+
+
+@query("smoothed", "select vec_id, round(list_sum(list_transform(embedding, lambda e: 0.125*e::double + 0.875))/len(embedding), 9) as m from embeddings")
+def smoothed(s, d):
+    v = F.transform("embedding", lambda e: e.cast("double"))
+    y = K.smoothed(v, F.transform("embedding", lambda e: F.lit(1.0)), 3)
+    return t(s, d, "embeddings").select("vec_id", F.round(F.aggregate(y, F.lit(0.0), lambda a, e: a + e) / F.size(y), 9).alias("m"))
+
+
+@query("learning_rate", "select n_nationkey as step, round(case when n_nationkey<5 then 0.01*(n_nationkey+1)/5 else 0.01*(0.1+0.9*0.5*(1+cos(pi()*least((n_nationkey-5)/20.0,1)))) end, 12) as rate, round(case when n_nationkey<5 then 0.01*(n_nationkey+1)/5 else 0.01*(0.2+0.8*0.5*(1+cos(pi()*least((n_nationkey-5)/20.0,1)))) end, 12) as floored from nation")
+def learning_rate(s, d):
+    step = F.col("n_nationkey")
+    return t(s, d, "nation").select(step.alias("step"), F.round(K.learning_rate(step, 5, 25, 0.01), 12).alias("rate"), F.round(K.learning_rate(step, 5, 25, 0.01, floor=0.002), 12).alias("floored"))
+
+
+@query("divergence", "with e as (select conv_id as trace_id, turn as pos, role as name from conversations), g as (select conv_id as trace_id, turn as pos, case when conv_id%3=1 and turn=1 then 'other' else role end as name from conversations where not (conv_id%3=2 and turn>=2)), j as (select coalesce(e.trace_id,g.trace_id) as trace_id, coalesce(e.pos,g.pos) as pos, case when g.name is null then 'stopped early' when e.name is null then 'kept going' when e.name<>g.name then 'wrong tool' end as kind from e full join g on e.trace_id=g.trace_id and e.pos=g.pos) select trace_id, coalesce(arg_min(kind,pos) filter (kind is not null),'matched') as kind from j group by 1")
+def divergence(s, d):
+    e = t(s, d, "conversations").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("pos"), F.col("role").alias("name"), F.lit("").alias("arguments"))
+    g = e.where("NOT (trace_id % 3 = 2 AND pos >= 2)").withColumn("name", F.when((F.col("trace_id") % 3 == 1) & (F.col("pos") == 1), "other").otherwise(F.col("name")))
+    return R.first_divergence(e, g).select("trace_id", "kind")
+
+
+@query("one_step_traces")
+def one_step_traces(s, d):
+    return G.one_step_traces(s, 1000, [("project", "lathe"), ("owner", "nobody")], [("longest river", "6,650 km"), ("largest planet", "Jupiter")], "2026-01-01T00:00:00")
+
+
+@query("lookup_chains")
+def lookup_chains(s, d):
+    facts = t(s, d, "nation").select(F.concat(F.lower("n_name"), F.lit(" regions")).alias("key"), F.concat((F.col("n_regionkey") + 2).cast("string"), F.lit(" units")).alias("value"))
+    return G.lookup_chains(s, 500, facts.withColumn("number", N.first_number(F.col("value"))))
+
+
+@query("tool_listing")
+def tool_listing(s, d):
+    tools = t(s, d, "nation").select(F.lower("n_name").alias("name"), F.lit("a nation").alias("description"), F.array(F.lit("key")).alias("params"))
+    return V.tool_listing(tools)

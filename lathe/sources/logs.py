@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathe.operators.relational import ranked_results
+from lathe.operators.reports import HEADING, NO_ROWS, leaderboard_lines
+
 RESULT = "experiment string, timestamp string, data struct<accuracy:double,best_val_loss:double,best_loss:double,final_loss:double,elapsed_seconds:double,model_parameters:bigint,num_samples:bigint,iters:bigint,learning_rate:double>"
 
 
@@ -16,21 +23,73 @@ def result_log(spark: SparkSession, folder: str, prefix: str | None = None) -> D
     return reader.json(folder).select("experiment", "timestamp", "data.*", F.col("_metadata.file_name").alias("file_name"))
 
 
-def append_result(row: DataFrame, folder: str) -> None:
+def append_result(row: DataFrame, folder: str, board: str | None = None) -> None:
+    """Append result rows; with ``board`` the leaderboard there is written anew from all of them."""
     row.coalesce(1).write.mode("append").json(folder)
+    if board:
+        leaderboard(ranked_results(result_log(row.sparkSession, folder)), board)
 
 
 def leaderboard(ranked: DataFrame, path: str) -> None:
-    """The ranked results as one Markdown table, newest first."""
-    cells = [F.coalesce(c.cast("string"), F.lit("-")) for c in (F.col("experiment"), F.col("rank"), F.format_string("%.4f", "metric"), F.col("timestamp"))]
-    lines = ranked.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"), "timestamp", "file_name")
-    lines.orderBy(F.desc("timestamp"), "file_name").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """The ranked results as one Markdown table, newest first; a row that says so if there are none."""
+    spark = ranked.sparkSession
+    rows = leaderboard_lines(ranked).select(F.lit(1).alias("part"), "timestamp", "file_name", "line")
+    fixed = [(0, None, f"{i:04d}", line) for i, line in enumerate(HEADING)] + ([(1, None, "", NO_ROWS)] if ranked.isEmpty() else [])
+    lines = rows.unionByName(spark.createDataFrame(fixed, rows.schema))
+    lines.orderBy("part", F.desc("timestamp"), "file_name").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+POOL = "thoughts map<string,array<string>>, paraphrases map<string,array<string>>, facts map<string,string>, sandbox array<struct<task:string,code:string,output:string>>"
+
+
+def _pool_file(spark: SparkSession, path: str) -> DataFrame:
+    """One row; a missing or malformed file has null sections."""
+    empty = spark.createDataFrame([(None,) * 4], POOL)
+    try:
+        x = spark.read.schema(POOL).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    return x.unionByName(empty).limit(1)
+
+
+def pool(spark: SparkSession, path: str, sandbox_path: str | None = None) -> DataFrame:
+    """A phrase and fact pool; absent sections are empty. If its sandbox section is empty it is
+    taken from a second file."""
+    x = _pool_file(spark, path)
+    if sandbox_path:
+        other = _pool_file(spark, sandbox_path).select(F.col("sandbox").alias("__s"))
+        x = x.join(other, F.lit(True)).withColumn("sandbox", F.when(F.coalesce(F.size("sandbox"), F.lit(0)) > 0, F.col("sandbox")).otherwise(F.col("__s"))).drop("__s")
+    none = lambda c: F.array().cast(x.schema[c].dataType) if c == "sandbox" else F.create_map().cast(x.schema[c].dataType)
+    return x.select(*[F.coalesce(c, none(c)).alias(c) for c in x.columns])
+
 
+def write_pool(merged: DataFrame, path: str) -> None:
+    """A merged pool as one JSON object."""
+    merged.select(F.to_json(F.struct(*merged.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
-def pool(spark: SparkSession, path: str) -> DataFrame:
-    """A phrase and fact pool; absent sections are empty."""
-    x = spark.read.schema("thoughts map<string,array<string>>, paraphrases map<string,array<string>>, facts map<string,string>").option("multiLine", True).json(path)
-    return x.select(*[F.coalesce(c, F.create_map().cast(x.schema[c].dataType)).alias(c) for c in x.columns])
+
+PLAN = "turns array<struct<user:string,steps:array<struct<kind:string,argument:string>>>>"
+
+
+def scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """Plans of a JSON array, numbered in order."""
+    x = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", f"array<struct<{PLAN.replace(' ', ':', 1)}>>")).alias("plan_id", "p"))
+    return x.select("plan_id", "p.turns")
+
+
+#: Words of the toolbox's memory, by key.
+MEMORY = (("project", "newllm"), ("leader", "grug"), ("version", "0.1"))
+
+
+def memory(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MEMORY), "key string, value string")
+
+
+def first_files(files: DataFrame, path: str = "path", limit: int = 120) -> DataFrame:
+    """The first paths in order; a top-n, no sort of the whole."""
+    return files.orderBy(path).limit(limit)
 
 
 SKIP_DIRS = (".git", ".venv", "__pycache__", "node_modules", "results", "data", "checkpoints")
@@ -49,19 +108,26 @@ def source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataF
     return x.select(path.alias("path"), F.col("value").alias("text"), skipped.alias("skipped")).where("NOT skipped").drop("skipped")
 
 
-def cached(df: DataFrame, folder: str, key: str) -> DataFrame:
-    """Read the dataset named by ``key`` (a hash of what it depends on), or write it first."""
+def cached(df: DataFrame, folder: str, key: str, parameters: dict | None = None) -> DataFrame:
+    """Read the dataset named by ``key`` (a hash of what it depends on), or write it first, with
+    the parameters beside it."""
     spark, path = df.sparkSession, f"{folder}/{key}"
     try:
         return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
+    if parameters is not None:
+        spark.createDataFrame([(sorted_json(parameters),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{key}.params")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
-def cache_key(text: str) -> str:
-    import hashlib
+def sorted_json(parameters: dict) -> str:
+    return json.dumps(parameters, sort_keys=True)
+
 
+def cache_key(parameters: dict | str) -> str:
+    """The first 16 hex digits of the SHA-1 of the parameters' JSON with sorted keys."""
+    text = parameters if isinstance(parameters, str) else sorted_json(parameters)
     return hashlib.sha1(text.encode()).hexdigest()[:16]

@@ -11,13 +11,13 @@ def one(spark, ddl, row, *cols):
 
 
 def test_calculate():
-    for text, want in {"12 + 8": "20", "144 / 12": "12.0", "-7 - 25": "-32", "2^10": "1024", "7 // 2": "3", "-7 // 2": "-4", "-7 % 4": "1", "abc": "ERROR: invalid expression"}.items():
+    for text, want in {"31 + 11": "42", "91 / 13": "7.0", "-19 - 4": "-23", "3^5": "243", "17 // 5": "3", "-17 // 5": "-4", "-17 % 5": "3", "six": "ERROR: invalid expression"}.items():
         assert N.calculate(text) == want
-    assert N.calculate("10 / 0").startswith("ERROR") and N.calculate("9**9**9**9").startswith("ERROR") and N.calculate(None) is None
+    assert N.calculate("3 / 0").startswith("ERROR") and N.calculate("8**8**8**8").startswith("ERROR") and N.calculate(None) is None
 
 
 def test_number_literals(spark):
-    for text, want in {"6,650 km": [6650.0], "9.578833205e7 C/kg": [95788332.05], "12-5": [12.0, -5.0], "12 - 5": [12.0, 5.0], "none": []}.items():
+    for text, want in {"12,345.5 litres": [12345.5], "2.5e3 m": [2500.0], "8-3": [8.0, -3.0], "8 - 3": [8.0, 3.0], "no digits": []}.items():
         assert one(spark, "t string", (text,), N.number_list(F.col("t")))[0] == want
 
 
@@ -44,9 +44,10 @@ def test_contract(spark):
 
 
 def test_cascading_lookup(spark):
-    facts = spark.createDataFrame([(0, "capital of france", "Paris"), (1, "capital of japan", "Tokyo")], "ord int, key string, value string")
-    asked = spark.createDataFrame([("capital of france",), ("capital of frence",), ("what is the capital of japan?",), ("the exact value I need",)], "query string")
-    assert {r.query: r.answer for r in R.cascading_lookup(asked, facts).collect()} == {"capital of france": "Paris", "capital of frence": "Paris", "what is the capital of japan?": "Tokyo", "the exact value I need": "no results found"}
+    facts = spark.createDataFrame([(0, "height of the tower", "81 m"), (1, "depth of the well", "12 m"), (2, "well", "a hole")], "ord int, key string, value string")
+    asked = spark.createDataFrame([(" Height of the tower?? ",), ("hieght of the towers",), ("tell me the depth of the well now",), ("something else entirely",), (None,)], "query string")
+    got = {r.query: r.answer for r in R.cascading_lookup(asked, facts).collect()}
+    assert got == {" Height of the tower?? ": "81 m", "hieght of the towers": "81 m", "tell me the depth of the well now": "12 m", "something else entirely": "no results found", None: "no results found"}
 
 
 def test_grounding_and_divergence(spark):

@@ -8,7 +8,14 @@ from lathe.operators import pools as L
 
 
 def test_salvage(spark):
-    rows = [('noise ["a", "b]", "c\\"d"] more', ["a", "b]", 'c"d']), ('```json\n{"k": "v"}\n```', ['"k": "v"']), ('- "one"\n- "two"', ["one", "two"]), ("[] nothing", [])]
+    rows = [
+        ('noise ["a", "b]", "c\\"d"] more', ["a", "b]", 'c"d']),
+        ('see ```json { "key": "height", "value": "81 m" }, {"key":"k","value":"too short a key"}```', ['{"key":"height","value":"81 m"}']),
+        ('"one more"\n  "two more" ,\n"abc"\n- "dashed"', ["one more", "two more"]),
+        ('any "a": "b" pair', []),
+        ("[] nothing", []),
+        ("[1, 2", []),
+    ]
     got = spark.createDataFrame(rows, "t string, want array<string>").select("want", L.salvage(F.col("t")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
 
@@ -18,8 +25,8 @@ def test_filters(spark):
     assert [tuple(r) for r in L.facts(f).collect()] == [("rhine length", "1230 km")]
     r = spark.createDataFrame([("ok",), ("ERROR: x",), ("exit code 1\nx",), (" \n",)], "o string").select(L.sandbox_success(F.col("o")).alias("g")).collect()
     assert [x.g for x in r] == [True, False, False, False]
-    r = spark.createDataFrame([("a/../b",), ("../b",), ("/r/x",), ("/q",)], "p string").select(L.inside(F.col("p"), "/r").alias("g")).collect()
-    assert [x.g for x in r] == [True, False, True, False]
+    r = spark.createDataFrame([("a/../b",), ("../b",), ("/r/x",), ("/q",), ("/r/..",), ("/r/a/../b",), ("/rx",)], "p string").select(L.inside(F.col("p"), "/r").alias("g")).collect()
+    assert [x.g for x in r] == [True, False, True, False, False, True, False]
 
 
 def test_plans(spark):
@@ -52,7 +59,10 @@ def test_stories_and_renames(spark):
 def test_evaluation(spark):
     r = spark.createDataFrame([("numeric", True), ("numeric", False), ("exact", True), ("exact", True)], "kind string, ok boolean")
     g = E.gate(r).first()
-    assert not g.passed and g.reasons == ["numeric below 0.6"]
+    assert not g.passed and g.reasons == ["numeric accuracy 50.00% < 60%"]
+    named = spark.createDataFrame([("a", "exact", True), ("b", "exact", False)], "question string, kind string, ok boolean")
+    g = E.gate(named, 0.5, 0.0, 0.5, spark.createDataFrame([("a",), ("b",), ("c",)], "question string")).first()
+    assert not g.passed and g.reasons == ["required case failed: b", "required case failed: c"]
     a, b = (spark.createDataFrame([v], "x double, y double, z double") for v in ((0.1, 0.2, 0.3), (0.2, 0.3, 0.3)))
     c = E.competition(a, b, ["x", "y", "z"], 2).first()
     assert (c.wins, c.promote) == (2, True)
