@@ -29,4 +29,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_ids": op10_token_ids,
 }
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex({}, '[ \t-\r]+'), lambda x: x <> '')"
+#: Smallest id that links (a, b), given both ways, lead to from each of ``nodes`` (id).
+REACH = "reach(id, to_id) as (select id, id from nodes union select r.id, l.b from reach r join links l on r.to_id = l.a)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": f"""
+with recursive nodes as (select vec_id as id from embeddings),
+v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) as size from v where len(e) > 0 and list_inner_product(e, e) > 0),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+{REACH}
+select id as vec_id, (select count(*) from links where a = id) as n_links, min(to_id) as component_id, id = min(to_id) as kept from reach group by id""",
+    "op7_substring_dedup": f"""
+with d as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+starts as (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from d where len(w) >= 20),
+windows as (select doc_id, i, row_number() over (partition by array_to_string(w[i:i+19], ' ') order by doc_id, i) as place from starts),
+gone as (select distinct doc_id, unnest(generate_series(i, i + 19)) as i from windows where place > 1),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+kept as (select words.doc_id, string_agg(word, ' ' order by words.i) as body, count(*) as n from words anti join gone on gone.doc_id = words.doc_id and gone.i = words.i group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op9_jaccard_join": f"""
+with recursive d as (select doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) end as s from d),
+nodes as (select doc_id as id from sets),
+parts as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (select x.doc_id as a, y.doc_id as b from parts x join parts y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+{REACH}
+select id as doc_id, (select len(s) from sets where doc_id = id)::bigint as n_shingles, min(to_id) as component_id from reach group by id""",
+}
