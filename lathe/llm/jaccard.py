@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordTable, batch_of, by_bucket, chain_hash, components, materialise, mix, n_groups, small_batches, table
-from .packs import ASK_DDL, answers, bits_of, counted, over_packs, packs, put_together, request_rows, with_answers
+from .packs import ASK_DDL, answers, bits_of, counting, over_packs, packs, put_together, request_rows, shelf_bits, width_of, with_answers
 
 GROUP, BLOCK = 16, 1024
 
@@ -125,12 +125,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     held = packs(docs.select("doc_id", "text"), "doc_id", "text")
     n_docs = docs.count()
     bits = bits_of(n_groups(n_docs, 1000, 64))
+    wide, shelf = width_of(4, bits), shelf_bits(bits)
 
     def ask(p, t):
         keys, count = np.unique(shingle_sets(t.column("text"), width)[0], return_counts=True)
-        yield from request_rows(p, keys, count.astype(np.uint32), bits, 4)
+        yield from request_rows(p, keys, count.astype(np.uint32), shelf, wide)
 
-    told = answers(over_packs(held, ask, ASK_DDL), 4, lambda k, x, n: np.minimum(counted(k, x, n), 65535).astype(np.uint16))
+    told = answers(over_packs(held, ask, ASK_DDL), wide, bits, counting(lambda n: np.minimum(n, 65535).astype(np.uint16)), read=lambda b: np.frombuffer(b, np.uint16))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.int64()), ("members", pa.binary()), ("first", pa.binary())])
 
     def tell(p, t, rows):

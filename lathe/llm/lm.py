@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import K1, WordTable, materialise, mix, n_groups, small_batches, table
-from .packs import ASK_DDL, bits_of, counted, grow, over_packs, packs, request_rows, with_answers
+from .packs import ASK_DDL, answers, bits_of, counting, over_packs, packs, request_rows, shelf_bits, width_of, with_answers
 
 END, BEGIN = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0xD6E8FEB86659FD93)
 BINS, EXACT, BUCKETS = 88, 8, 42
@@ -92,7 +92,6 @@ class Tokens:
         self.pair_n = np.bincount(self.pair, self.of_train, len(self.pairs)).astype(np.uint32)
 
 
-TOLD = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 SEEN = pa.schema([("pack", pa.int64()), ("docs", pa.binary()), ("cells", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))])
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -103,28 +102,23 @@ def interpolated_scores(docs: DataFrame) -> DataFrame:
     held = packs(docs.select("doc_id", "text"), "doc_id", "text")
     bits = bits_of(n_groups(docs.count(), 1000, 64))
 
-    def ask(p, t):
-        x = Tokens(t)
-        yield from request_rows(p, x.words, x.word_n, bits, 8)
-        for b in request_rows(p, x.pairs, x.pair_n, bits, 6):
-            yield b.set_column(0, b.schema.field(0), pa.array([k + (1 << bits) for k in b.column(0).to_pylist()], pa.int32()))
-
-    def answer(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pack")
-        bucket = t.column("bucket")[0].as_py()
-        width = 8 if bucket < 1 << bits else 6
-        sent = t.column("keys").to_pylist()
-        n = np.array([len(x) // width for x in sent])
-        keys = grow(b"".join(sent), width)
-        got = counted(keys, b"".join(t.column("extra").to_pylist()), n)
-        cut = np.concatenate(([0], np.cumsum(n)))
-        z = [zlib.compress(got[x:y].astype(np.uint64).tobytes(), 1) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        real = keys != BEGIN
-        known, where = np.unique(keys[real & (got > 0)], return_index=True)
-        total = got[real & (got > 0)][where].sum() if width == 8 else 0
-        return pa.table({"pack": [*t.column("pack").to_pylist(), None], "bucket": [bucket] * (len(z) + 1), "answer": [*z, None], "n": [*([0] * len(z)), int(total)], "v": [*([0] * len(z)), len(known) if width == 8 else 0]}, schema=TOLD)
-
-    told = materialise(over_packs(held, ask, ASK_DDL).groupBy("bucket").applyInArrow(answer, "pack long, bucket int, answer binary, n long, v long"))
+    shelf = shelf_bits(bits)
+
+    def asked(of, width):
+        def ask(p, t):
+            x = Tokens(t)
+            yield from request_rows(p, *((x.words, x.word_n) if of == "words" else (x.pairs, x.pair_n)), shelf, width)
+
+        return over_packs(held, ask, ASK_DDL)
+
+    def tally(keys, got):
+        """Tokens of training and distinct ones among a bucket's words."""
+        known, where = np.unique(keys[(keys != BEGIN) & (got > 0)], return_index=True)
+        return int(got[(keys != BEGIN) & (got > 0)][where].sum()), len(known)
+
+    exact = counting(lambda n: n.astype(np.uint64))
+    told = [answers(asked(of, w), w, bits, exact, lambda a: zlib.compress(a.tobytes(), 1), lambda b: np.frombuffer(zlib.decompress(b), np.uint64), tally if of == "words" else None) for of, w in (("words", 8), ("pairs", width_of(6, bits)))]
+    told = materialise(told[0].unionByName(told[1].withColumn("bucket", (F.col("bucket") + (1 << 20)).cast("int"))))
     total, vocabulary = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
     def look_up(p, t, rows):

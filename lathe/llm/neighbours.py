@@ -13,9 +13,10 @@ window first goes with the ``LEADERS`` smallest of these by a hash alone. The pa
 vectors that verified links have not connected by then are all compared in a second round. The
 links within a connected family are then completed exactly, in blocks.
 
-Vectors that are null, zero, of a length other than the first one's, or hold null or
-non-finite components link with nothing. Rows of the same vec_id are one vector (the
-smallest). A vector without links is its own component.
+Vectors that are null, zero, of a length other than the commonest one (the shorter on ties), or
+hold null or non-finite components link with nothing. Rows of the same vec_id are one vector (the
+smallest); those without a vec_id link with nothing and have a null component and null kept. A
+vector without links is its own component.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,17 +71,18 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = {"id": [], "unit": []}
-            for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                if i is None or v is None or any(x is None for x in v):
-                    continue
-                v = np.array(v, np.float64)
-                scale = np.abs(v).max(initial=0.0)
-                if scale > 0 and np.isfinite(scale):
-                    v = v / scale
-                    out["id"].append(i)
-                    out["unit"].append((v / np.sqrt((v * v).sum())).tobytes())
-            yield batch_of(out, schema)
+            v = b.column("v")
+            n = pc.fill_null(pc.list_value_length(v), 0).to_numpy().astype(np.int64)
+            flat = pc.list_flatten(v).cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components are NaN
+            at, known, ids = np.cumsum(n) - n, b.column("id").is_valid().to_numpy(zero_copy_only=False), pc.fill_null(b.column("id"), 0).to_numpy()
+            for size in np.unique(n[n > 0]).tolist():
+                rows = np.flatnonzero((n == size) & known)
+                x = flat[at[rows, None] + np.arange(size)]
+                scale = np.abs(x).max(1)
+                ok = np.isfinite(scale) & (scale > 0)
+                x = x[ok] / scale[ok, None]
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                yield batch_of({"id": ids[rows[ok]], "unit": [u.tobytes() for u in x]}, schema)
 
     got = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, "id long, unit binary")
     return got.groupBy("id").agg(F.min("unit").alias("unit"))

@@ -8,12 +8,19 @@ that it asked in. So a shuffle carries four to eight bytes a key instead of a ro
 task holds one pack or one bucket at a time, whatever the input's size. Every key of every
 document takes part. A key that is common reaches a bucket once a pack, not once an
 occurrence, so hot keys need no special care.
+
+Buckets grow in number with the data, packs too, but a pack's keys do not. So beyond 2 ** FAN
+buckets keys travel in two steps: packs deal them to 2 ** FAN shelves; for each shelf, groups of some
+2 ** FAN packs merge what they ask and deal it out to the shelf's buckets; answers come back
+the same way. A row holds about a thousand keys at any size, and rows grow with the data, not with
+its square.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +31,11 @@ from .common import batch_of, materialise, release
 
 PACK = pa.schema([("pack", pa.int64()), ("body", pa.binary())])
 ASK = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
-ANSWER = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
+ASK_DDL = "bucket int, pack long, keys binary, extra binary"
+ANSWER = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+ANSWER_DDL = "pack long, bucket int, answer binary, n long, v long"
+#: Bits of a bucket's number that one step deals by.
+FAN = 10
 
 
 def _write(table: pa.Table) -> bytes:
@@ -80,9 +91,19 @@ def bits_of(n_buckets: int) -> int:
     return max(1, (n_buckets - 1).bit_length())
 
 
-def request_rows(pack: int, keys: np.ndarray, extra: np.ndarray | None, bits: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ASK for sorted distinct ``keys`` (uint64)."""
-    b = (keys >> np.uint64(64 - bits)).astype(np.int64)
+def width_of(base: int, bits: int) -> int:
+    """Bytes to send of a key; beyond one step the bits that buckets are told apart by come on top."""
+    return min(8, base + (max(0, bits - FAN) + 7) // 8)
+
+
+def shelf_bits(bits: int) -> int:
+    """Bits that packs deal their keys by (found on the driver, and given to the workers)."""
+    return min(bits, FAN)
+
+
+def request_rows(pack: int, keys: np.ndarray, extra: np.ndarray | None, shelf: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ASK for sorted distinct ``keys`` (uint64), dealt by their top ``shelf`` bits."""
+    b = (keys >> np.uint64(64 - shelf)).astype(np.int64)
     cut = np.concatenate(([0], np.flatnonzero(np.diff(b)) + 1, [len(b)])) if len(b) else np.zeros(1, np.int64)
     spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
     for i in range(0, len(spans), 512):
@@ -90,25 +111,93 @@ def request_rows(pack: int, keys: np.ndarray, extra: np.ndarray | None, bits: in
         yield batch_of({"bucket": [int(b[x]) for x, _ in part], "pack": [pack] * len(part), "keys": [shrink(keys[x:y], width) for x, y in part], "extra": [extra[x:y].tobytes() if extra is not None else b"" for x, y in part]}, ASK)
 
 
-def answers(requests: DataFrame, width: int, answer: Callable[[np.ndarray, bytes, np.ndarray], np.ndarray]) -> DataFrame:
-    """Answers by pack and bucket. ``answer(keys, extra, lengths)`` gets what all packs sent to
-    one bucket, one after the other, and returns an array aligned with ``keys``."""
+@dataclass(frozen=True)
+class Rule:
+    """How a question is answered. ``extra`` is an array of ``kind`` beside the keys, ``n`` how many keys each sender has.
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pack")
-        sent = t.column("keys").to_pylist()
-        n = np.array([len(x) // width for x in sent])
-        got = answer(grow(b"".join(sent), width), b"".join(t.column("extra").to_pylist()), n)
-        cut = np.concatenate(([0], np.cumsum(n)))
-        return pa.table({"pack": t.column("pack"), "bucket": t.column("bucket"), "answer": pa.array([got[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}, schema=ANSWER)
+    ``answer(keys, extra, n)`` gives an array aligned with the keys; ``merge(keys, extra)`` the
+    sorted distinct keys and what they ask together; ``hand(keys, extra, n, of_group)`` turns the
+    answers to a group (aligned with the keys) into those of its senders."""
 
-    return requests.groupBy("bucket").applyInArrow(run, "pack long, bucket int, answer binary")
+    kind: type
+    answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    merge: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    hand: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] = lambda keys, extra, n, of_group: of_group
 
 
-def counted(keys: np.ndarray, extra: bytes, n: np.ndarray) -> np.ndarray:
-    """For each key the sum of the counts (uint32, in ``extra``) that packs sent with it."""
+def counted(keys: np.ndarray, extra: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each key the sum of the counts that were sent with it."""
     _, inverse = np.unique(keys, return_inverse=True)
-    return np.bincount(inverse, np.frombuffer(extra, np.uint32)).astype(np.int64)[inverse]
+    return np.bincount(inverse, extra).astype(np.int64)[inverse]
+
+
+def summed(keys: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(inverse, extra, len(distinct)).astype(np.uint32)  # a group's texts have fewer words than that
+
+
+def counting(of: Callable[[np.ndarray], np.ndarray]) -> Rule:
+    """Corpus counts, as ``of`` shows them."""
+    return Rule(np.uint32, lambda keys, extra, n: of(counted(keys, extra, n)), summed)
+
+
+def answers(requests: DataFrame, width: int, bits: int, rule: Rule, write: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, read: Callable[[bytes], np.ndarray] | None = None, tally: Callable[[np.ndarray, np.ndarray], tuple[int, int]] | None = None) -> DataFrame:
+    """Answers by pack and shelf (see ANSWER). With ``tally`` each bucket adds a row without a pack that
+    holds two numbers of (keys, answers)."""
+    sub = max(0, bits - FAN)
+
+    def sent(t: pa.Table):
+        keys = t.column("keys").to_pylist()
+        return grow(b"".join(keys), width), np.frombuffer(b"".join(t.column("extra").to_pylist()), rule.kind), np.array([len(x) // width for x in keys])
+
+    def rows(packs, buckets, got, n):
+        cut = np.concatenate(([0], np.cumsum(n)))
+        return {"pack": packs, "bucket": buckets, "answer": [write(got[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], "n": [0] * len(n), "v": [0] * len(n)}
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pack")
+        keys, extra, n = sent(t)
+        got = rule.answer(keys, extra, n)
+        out = rows(t.column("pack").to_pylist(), t.column("bucket").to_pylist(), got, n)
+        if tally:
+            for name, x in zip(out, (None, out["bucket"][0], None, *tally(keys, got)), strict=True):
+                out[name].append(x)
+        return pa.table(out, schema=ANSWER)
+
+    if not sub:
+        return requests.groupBy("bucket").applyInArrow(run, ANSWER_DDL)
+
+    def places(keys):
+        """The order that sorts keys by bucket, and the buckets (low bits, below a shelf) in it."""
+        fine = (keys & np.uint64((1 << sub) - 1)).astype(np.int64)
+        order = np.argsort(fine, kind="stable")
+        return order, fine[order]
+
+    def deal(t: pa.Table) -> pa.Table:
+        keys, extra = rule.merge(*sent(t)[:2])
+        order, fine = places(keys)
+        keys, extra = keys[order], extra[order]
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(fine)) + 1, [len(fine)])).tolist()
+        spans, shelf = list(zip(cut[:-1], cut[1:], strict=True)), t.column("bucket")[0].as_py()
+        return pa.table({"bucket": [(shelf << sub) + int(fine[x]) for x, _ in spans], "pack": [t.column("part")[0].as_py()] * len(spans), "keys": [shrink(keys[x:y], width) for x, y in spans], "extra": [extra[x:y].tobytes() for x, y in spans]}, schema=ASK)
+
+    def hand(asked: pa.Table, told: pa.Table) -> pa.Table:
+        asked = asked.sort_by("pack")
+        keys, extra, n = sent(asked)
+        distinct, _ = rule.merge(keys, extra)
+        got = np.concatenate([read(x) for x in told.sort_by("bucket").column("answer").to_pylist()])
+        back = np.empty(len(distinct), got.dtype)
+        back[places(distinct)[0]] = got
+        got = rule.hand(keys, extra, n, back[np.searchsorted(distinct, keys)])
+        return pa.table(rows(asked.column("pack").to_pylist(), asked.column("bucket").to_pylist(), got, n), schema=ANSWER)
+
+    grouped = requests.withColumn("part", F.pmod("pack", F.lit(1 << sub)))
+    told = grouped.groupBy("bucket", "part").applyInArrow(deal, ASK_DDL).groupBy("bucket").applyInArrow(run, ANSWER_DDL)
+    if tally:
+        told = materialise(told)
+    back = told.where("pack IS NOT NULL").withColumn("shelf", F.shiftright("bucket", sub)).withColumnRenamed("pack", "of_part")
+    out = grouped.groupBy("bucket", "part").cogroup(back.groupBy("shelf", "of_part")).applyInArrow(hand, ANSWER_DDL)
+    return out.unionByName(told.where("pack IS NULL")) if tally else out
 
 
 def put_together(rows: pa.Table, dtype) -> np.ndarray:
@@ -138,7 +227,3 @@ def over_packs(pack_table: DataFrame, f: Callable[[int, pa.Table], Iterator[pa.R
         release()
 
     return pack_table.mapInArrow(run, schema)
-
-
-ASK_DDL = "bucket int, pack long, keys binary, extra binary"
-__all__ = ["ASK_DDL", "F", "answers", "bits_of", "counted", "over_packs", "packs", "put_together", "read_pack", "request_rows", "with_answers"]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import K2, WordTable, chain_hash, mix, n_groups, small_batches, table
-from .packs import ASK, ASK_DDL, answers, bits_of, counted, over_packs, packs, put_together, request_rows, with_answers
+from .packs import ASK, ASK_DDL, Rule, answers, bits_of, counting, over_packs, packs, put_together, request_rows, shelf_bits, width_of, with_answers
 
 #: Difference covers by period (each is a perfect one).
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -89,9 +89,8 @@ class Windows:
         return [body[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def first_of(keys: np.ndarray, extra: bytes, n: np.ndarray) -> np.ndarray:
+def first_of(keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """1 where a key's smallest doc_id was sent (the first sender among equals), else 0."""
-    ids = np.frombuffer(extra, np.int64)
     order = np.lexsort((np.repeat(np.arange(len(n)), n), ids, keys))
     out = np.zeros(len(keys), np.uint8)
     if len(keys):
@@ -100,16 +99,29 @@ def first_of(keys: np.ndarray, extra: bytes, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def smallest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new], ids[new]
+
+
+FIRST = Rule(np.int64, first_of, smallest, lambda keys, ids, n, of_group: of_group & first_of(keys, ids, n))
+
+
 def dedup_substrings(docs: DataFrame, min_words: int = 20, period: int = 13, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of each row of ``docs``."""
     held = packs(docs.select("doc_id", "text"), "doc_id", "text")
     bits = bits_of(n_groups(docs.count(), 1000, 64))
+    wide, shelf = width_of(4, bits), shelf_bits(bits)
 
     def ask(p, t):
         w = Windows(t, min_words, period)
-        yield from request_rows(p, w.anchors, w.count.astype(np.uint32), bits, 4)
+        yield from request_rows(p, w.anchors, w.count.astype(np.uint32), shelf, wide)
 
-    repeated = answers(over_packs(held, ask, ASK_DDL), 4, lambda k, x, n: (counted(k, x, n) >= 2).astype(np.uint8))
+    flags = lambda b: np.frombuffer(b, np.uint8)
+    repeated = answers(over_packs(held, ask, ASK_DDL), wide, bits, counting(lambda n: (n >= 2).astype(np.uint8)), read=flags)
 
     def extended(t, rows):
         w = Windows(t, min_words, period)
@@ -118,18 +130,18 @@ def dedup_substrings(docs: DataFrame, min_words: int = 20, period: int = 13, wit
 
     def ask_windows(p, t, rows):
         w = extended(t, rows)
-        b = (w.routes >> np.uint64(64 - bits)).astype(np.int64)
+        b = (w.routes >> np.uint64(64 - shelf)).astype(np.int64)
         cut = np.concatenate(([0], np.flatnonzero(np.diff(b)) + 1, [len(b)])) if len(b) else [0]
         spans = list(zip(cut[:-1], cut[1:], strict=True))
         got = {"bucket": [int(b[x]) for x, _ in spans], "pack": [p] * len(spans), "keys": [w.keys[x:y].tobytes() for x, y in spans], "extra": [w.firsts[x:y].tobytes() for x, y in spans]}
         yield pa.table(got, schema=ASK)
 
-    first = answers(with_answers(held, repeated, ask_windows, ASK), 8, first_of)
+    first = answers(with_answers(held, repeated, ask_windows, ASK), 8, bits, FIRST, read=flags)
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
     schema = pa.schema(fields if with_text else fields[:-1])
 
     def remove(p, t, rows):
-        late = pa.compute.greater_equal(rows.column("bucket"), 1 << bits)
+        late = pa.compute.greater_equal(rows.column("bucket"), 1 << shelf)
         w = extended(t, rows.filter(pa.compute.invert(late)))
         keep = w.kept(put_together(rows.filter(late), np.uint8))
         texts = w.texts(keep)
@@ -142,7 +154,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 20, period: int = 13, wit
         }
         yield pa.table({f.name: out[f.name] for f in schema}, schema=schema)
 
-    both = repeated.unionByName(first.withColumn("bucket", (F.col("bucket") + (1 << bits)).cast("int")))
+    both = repeated.unionByName(first.withColumn("bucket", (F.col("bucket") + (1 << shelf)).cast("int")))
     return with_answers(held, both, remove, schema)
 
 

@@ -628,3 +628,16 @@ def test_queries_match_their_sql(spark, name):
     got, want = queries.QUERIES[name](spark, folder), duck.sql(queries.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_two_steps_answer_as_one_does(spark, docs, monkeypatch):
+    """With more buckets than one step deals to, keys travel through shelves and groups of packs."""
+    from lathe.llm import jaccard, lm, packs, substrings
+
+    many = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 1000)).repartition(24)
+    run = lambda: [sorted(map(tuple, f(many).collect()), key=str) for f in (jaccard.jaccard_components, lm.interpolated_scores, substrings.dedup_substrings)]
+    one = run()
+    monkeypatch.setattr(packs, "FAN", 3)
+    for a, b in zip(one, run(), strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert all(math.isclose(p, q, rel_tol=1e-9) if isinstance(p, float) else p == q for p, q in zip(x, y, strict=True))
