@@ -46,10 +46,13 @@ def bucket_accuracy(df: DataFrame, bucket: Column, ok: str, top: int = 4) -> Dat
 
 
 def index_percentiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
-    """The element at index floor(n p) of each group's sorted values."""
+    """The element at index floor(n p) of each group's sorted values. Equal values are counted first,
+    so a group's task holds its distinct values and not its rows."""
+    x = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__c"))
     w = Window.partitionBy(group)
-    x = df.withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count("*").over(w))
-    return x.groupBy(group).agg(*[F.max(F.when(F.col("__i") == F.floor(F.col("__n") * p), F.col(value))).alias(k) for k, p in points.items()])
+    x = x.withColumn("__to", F.sum("__c").over(w.orderBy(value))).withColumn("__n", F.sum("__c").over(w))
+    at = lambda p: F.floor(F.col("__n") * p).between(F.col("__to") - F.col("__c"), F.col("__to") - 1)
+    return x.groupBy(group).agg(*[F.max(F.when(at(p), F.col(value))).alias(k) for k, p in points.items()])
 
 
 def starvation(df: DataFrame, group: str, kept: Column, limit: float = 0.2) -> DataFrame:
