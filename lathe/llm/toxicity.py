@@ -38,6 +38,8 @@ UNIT = float(1 << 26)
 FLOOR = 1 << 14
 #: Examples a block; blocks opened at first; documents compared at once; terms of more than one in ``COMMON`` examples are common ones.
 BLOCK, FIRST, BATCH, COMMON = 128, 2, 128, 16
+#: Terms of an example that decide its place in the order.
+HEAVY = 64
 
 _LETTER = np.array([97 <= c <= 122 or c >= 128 and c != 0xC2 for c in range(256)])
 
@@ -159,11 +161,11 @@ class Index:
         order = likeness_order(v, len(self.vocab))
         self.who, self.place = order, np.empty_like(order)
         self.place[order] = np.arange(len(order))
-        at = self.place[v.owner]
-        by = np.lexsort((at, v.term))
+        at = self.place[v.owner].astype(np.int32)
+        by = np.lexsort((at, v.term)).astype(np.int32)
         n = np.bincount(v.term, minlength=len(self.vocab))
         self.start = np.concatenate(([0], np.cumsum(n)))
-        self.example, self.weight = at[by].astype(np.int32), (v.weight[by] * UNIT).astype(np.int32)
+        self.example, self.weight = at[by], (v.weight[by] * UNIT).astype(np.int32)
         common = np.flatnonzero(n * COMMON > v.size)
         self.row = np.full(len(self.vocab), -1)
         self.row[common] = np.arange(len(common))
