@@ -7,7 +7,11 @@ Spark's readers, intermediate tables go to the shared folder that the session na
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import functools
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -69,11 +73,22 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 6
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; below the session's warehouse where none is set.
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lathe-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
 
-    The warehouse is shared between driver and executors as managed tables need it to be."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lathe-scratch"
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, ``spark.checkpoint.dir``. Where none is set: a folder
+    of this process, if driver and executors are this one process, and else one below the
+    session's warehouse, which a cluster shares as managed tables need it to."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        alone = master == "local" or master.startswith("local[")
+        root = _own_folder() if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lathe-scratch"
     return root.rstrip("/")
 
 
