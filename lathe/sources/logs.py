@@ -79,12 +79,9 @@ def scenarios(spark: SparkSession, path: str) -> DataFrame:
     return x.select("plan_id", "p.turns")
 
 
-#: Words of the toolbox's memory, by key.
-MEMORY = (("project", "newllm"), ("leader", "grug"), ("version", "0.1"))
-
-
-def memory(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MEMORY), "key string, value string")
+def literal(spark: SparkSession, rows: dict[str, str]) -> DataFrame:
+    """A literal table (key, value), such as the toolbox's memory or its knowledge base."""
+    return spark.createDataFrame(list(rows.items()), "key string, value string")
 
 
 def first_files(files: DataFrame, path: str = "path", limit: int = 120) -> DataFrame:
