@@ -39,8 +39,8 @@ def leads_with_quantity(value: Column) -> Column:
 
 
 def close_to(a: Column, b: Column, tolerance: float = 1e-6, floor: float = 1e-12) -> Column:
-    """Relative equality with a floor under the scale."""
-    return F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b), F.lit(floor))
+    """Relative equality with a floor under the scale; infinity and NaN are close to nothing."""
+    return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(floor)) <= tolerance
 
 
 def answers_match(got: Column, want: Column, kind: Column) -> Column:
@@ -63,9 +63,15 @@ def wilson_interval(hits: Column, total: Column, z: float = 1.96) -> tuple[Colum
 
 
 @F.pandas_udf(T.StringType())
-def number_text(values: pd.Series) -> pd.Series:
-    """An integer's digits where a value is integral and below 1e15, else ten significant digits."""
-    return values.map(lambda v: None if pd.isna(v) else str(int(v)) if v == int(v) and abs(v) < 1e15 else f"{v:.10g}")
+def _ten_digits(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if pd.isna(v) else f"{v:.10g}")
+
+
+def number_text(value: Column | str) -> Column:
+    """An integer's digits where a value is integral and below 1e15, else ten significant digits (null for NaN)."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
+    return F.when(whole, v.cast("bigint").cast("string")).otherwise(_ten_digits(F.when(~whole, v)))
 
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,29 @@ def tokenise(text: Column, max_vocab: int | None = None) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.coalesce(F.try_element_at(ids, x), F.least(F.ascii(x), F.lit(255))))
 
 
+def token_counts(df: DataFrame, text: str) -> DataFrame:
+    """(tok, n): how often each plain token occurs in all texts. Code points are counted in their UTF-8 bytes, a
+    batch at a time: those below 128 are bytes, those up to 255 a lead byte and the next, all others are 255."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
+        for b in batches:
+            texts = b.column(0).drop_null().cast(pa.large_binary())
+            _, at, body = texts.buffers()
+            if body is None:
+                continue
+            at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(body, np.uint8)[at[0] : at[-1]]
+            n[:128] += np.bincount(data, minlength=256)[:128]
+            for lead, first in ((0xC2, 128), (0xC3, 192)):
+                n[first : first + 64] += np.bincount(data[np.flatnonzero(data == lead) + 1] & 63, minlength=64)
+            n[255] += int((data > 0xC3).sum())  # lead bytes of what is beyond
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], names=["tok", "n"])
+
+    return df.select(text).mapInArrow(count, "tok int, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+
+
 def detokenise(tokens: Column) -> Column:
     names = F.create_map(*[F.lit(y) for i, t in enumerate(SPECIALS) for y in (256 + i, t)])
     return F.array_join(F.transform(tokens, lambda x: F.coalesce(F.try_element_at(names, x), F.char(F.least(x, F.lit(255))))), "")
@@ -63,6 +90,11 @@ def within_vocabulary(tokens: Column, size: int) -> Column:
     return ~F.exists(tokens, lambda t: t >= size)
 
 
+def required_vocabulary(tokens: Column, size: int) -> Column:
+    """The tokens; an id that the vocabulary does not have is an error that names it."""
+    return F.when(within_vocabulary(tokens, size), tokens).otherwise(F.raise_error(F.concat(F.lit("token id "), F.array_max(tokens).cast("string"), F.lit(f" is outside of the vocabulary of {size}"))))
+
+
 def contract_ok(payload: Column) -> Column:
     """An assistant payload: an object with a text ``thought`` and exactly one of ``response`` (a
     text) and ``tool_call`` (an object with a text ``name`` and an object ``arguments``)."""
@@ -86,10 +118,11 @@ def assistant_blocks(text: Column) -> Column:
 
 
 def tool_calls(text: Column) -> Column:
-    """array of struct(name, arguments text) of the calls in document order."""
-    pattern = r'"tool_call":\{"name":"([^"]*)","arguments":(\{[^{}]*\})'
-    z = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("arguments"))
-    return F.transform(z, lambda x: F.struct(x["name"].alias("name"), x["arguments"].alias("arguments")))
+    """array of struct(name, arguments text) of the calls of assistant blocks in document order; arguments
+    may be nested, and are compact JSON."""
+    part = lambda b, path: F.get_json_object(b, f"$.tool_call.{path}")
+    x = F.transform(assistant_blocks(text), lambda b: F.struct(part(b, "name").alias("name"), part(b, "arguments").alias("arguments")))
+    return F.filter(x, lambda c: c["name"].isNotNull())
 
 
 def tool_rollup(names: Column) -> Column:

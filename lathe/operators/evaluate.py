@@ -55,6 +55,14 @@ def masked_loss(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg((F.sum(F.col("loss") * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1.0))).alias("loss"))
 
 
+def total_loss(df: DataFrame, logits: str, coefficient: float) -> DataFrame:
+    """(loss, z_loss, total): the mean loss over positions that the mask keeps, with the penalty on large logits added."""
+    from lathe.operators.kernels import z_loss
+
+    x = masked_loss(df).join(z_loss(df, logits, "mask", coefficient), F.lit(True))  # one row each
+    return x.withColumn("total", F.col("loss") + F.col("z_loss"))
+
+
 def batch_weighted_loss(df: DataFrame, batches: int) -> DataFrame:
     """Batch means weighted by their rows, over the first ``batches``."""
     b = masked_loss(df.where(F.col("batch_id") < batches), "batch_id").join(df.groupBy("batch_id").agg(F.countDistinct("row").alias("rows")), "batch_id")

@@ -40,6 +40,14 @@ def arithmetic_chains(spark: SparkSession, n: int, hops: int = 3, seed: int = 0)
     return x.select("trace_id", F.col("run.steps").alias("steps"), F.concat_ws("\n", ask, F.array_join(F.transform("run.steps", call), "\n"), end).alias("trace"))
 
 
+def used_in(traces: DataFrame, key: str, text: str, tools: DataFrame, name: str = "name") -> DataFrame:
+    """(key, name): the tools of a table that a trace calls or shows a result of, by one pass over each text."""
+    from lathe.operators.matching import containing
+
+    marks = tools.select(name, F.explode(F.array(F.concat(F.lit('"name":"'), name, F.lit('"')), F.concat(F.lit("<tool name="), name, F.lit(">")))).alias("__mark"))
+    return containing(traces, key, text, marks, name, "__mark").distinct()
+
+
 def gated(candidates: DataFrame, n: int, max_len: int, key: str = "trace_id", text: str = "trace") -> DataFrame:
     """The first ``n`` candidates by key that pass the length gate (oversample, then cut)."""
     return candidates.where(F.length(text) <= max_len).orderBy(key).limit(n)
@@ -118,7 +126,7 @@ def run_message(answer: Column, thinking: Column) -> Column:
 
 
 #: The kinds of the one-step generator and their weights.
-ONE_STEP = {"calc": 35, "memory": 30, "search": 20, "time": 15}
+ONE_STEP = {"calc": 35, "memory": 30, "time": 20, "search": 15}
 
 
 def one_step_traces(spark: SparkSession, n: int, memory: list[tuple[str, str]], facts: list[tuple[str, str]], now: str, seed: int = 0) -> DataFrame:
@@ -156,12 +164,11 @@ def lookup_chains(spark: SparkSession, n: int, facts: DataFrame, hops: int = 6,
     value, number) and adds it, and the others work on with the last result.
 
     Facts are dealt by rank of their keys; the plan's keys are joined to them, so any number of facts will do."""
-    from pyspark.sql import Window
+    from lathe.operators.ordering import numbered
 
-    known = facts.where("number IS NOT NULL")
-    ranked = known.withColumn("rank", F.row_number().over(Window.orderBy("key")) - 1)  # facts are a pool of some thousand rows
-    many = ranked.agg(F.count("*").alias("many"))
-    x = ids(spark, n).join(many, F.lit(True)).where("many > 0")
+    ranked = numbered(facts.where("number IS NOT NULL"), "key", name="rank")
+    many = ranked.count()
+    x = ids(spark, n if many else 0).withColumn("many", F.lit(many))
     looks = [i for i in range(hops) if i % 3 == 0]
     for i in looks:
         r = ranked.select(F.col("rank").alias("__k"), F.struct("key", "value", "number").alias(f"f{i}"))

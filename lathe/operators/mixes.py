@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.functions.numbers import close_to, number_list, number_text
-from lathe.operators.relational import draw
+from lathe.functions.numbers import number_list, number_text
+from lathe.operators.relational import draw, ungrounded
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -17,10 +17,14 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def quota_union(scenarios: DataFrame, generated: DataFrame, n: int, share: float, order: str) -> DataFrame:
     """Scenario rows up to int(n share), then generated ones up to n in all. A short first source
-    leaves its places to the second."""
+    leaves its places to the second. One plan: both are cut to what they may fill, and the second
+    learns from a count beside it how much is left."""
     some = first_rows(scenarios, int(n * share), order)
-    left = n - some.count()
-    return some.unionByName(first_rows(generated, left, order))
+    rest = first_rows(generated, n, order)  # as many as can be wanted
+    place = F.row_number().over(Window.orderBy(order))  # n rows at most
+    filled = some.agg(F.count("*").alias("__filled"))  # one row
+    left = rest.withColumn("__place", place).join(F.broadcast(filled), F.lit(True)).where(F.col("__place") <= F.lit(n) - F.col("__filled")).drop("__place", "__filled")
+    return some.unionByName(left)
 
 
 def replay_mix(mixed: DataFrame, replayed: DataFrame, n: int, share: float, order: str) -> DataFrame:
@@ -77,23 +81,24 @@ EVENT = r'(?s)<user>.*?</user>|<tool name=\w+>.*?</tool>|"tool_call":\{"name":"\
 
 def grounding(traces: DataFrame, key: str, text: str, dataflow: Sequence[str] = ("calc",)) -> DataFrame:
     """(key, ok, problems): numbers in the arguments of data-flow calls that stand in no user's
-    turn or tool result before. A trace without calls is grounded."""
+    turn or tool result before. A trace without calls is grounded. ``key`` tells traces apart."""
     e = F.col("event")
     x = traces.select(key, F.posexplode_outer(F.regexp_extract_all(text, F.lit(EVENT), F.lit(0))).alias("pos", "event"))
     name = F.when(e.startswith('"'), F.regexp_extract(e, r'^"tool_call":\{"name":"(\w+)"', 1))
     said = F.when(e.startswith('"'), F.regexp_extract(e, r'(?s)"arguments":(\{.*\})\}\}</assistant>$', 1)).otherwise(F.regexp_extract(e, r"(?s)^<[^>]*>(.*)</\w+>$", 1))
     args = F.map_values(F.from_json(said, "map<string,string>"))
     numbers = F.when(name.isNull(), number_list(said)).when(name.isin(*dataflow), F.flatten(F.transform(args, number_list)))
-    x = x.select(key, "pos", name.alias("name"), numbers.alias("numbers"), (name.isin(*dataflow) & args.isNull()).alias("bad"))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.flatten(F.collect_list(F.when(F.col("name").isNull(), F.col("numbers"))).over(before))
     hop = F.count("name").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("known", known).withColumn("hop", hop)
-    loose = F.filter("numbers", lambda n: ~F.exists("known", lambda k: close_to(k, n)))
-    x = x.withColumn("loose", F.when(F.col("name").isNotNull(), F.when(F.col("bad"), F.array(F.lit(float("nan")))).otherwise(F.coalesce(loose, F.array().cast("array<double>")))))
-    y = x.select(key, "pos", "hop", "name", F.posexplode_outer("loose").alias("i", "n"))
-    says = F.when(F.isnan("n"), F.format_string("hop %d: unparseable arguments", "hop")).otherwise(F.concat(F.format_string("hop %d (%s): value ", "hop", "name"), number_text("n"), F.lit(" not grounded in prior context")))
-    got = y.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("pos", "i", says.alias("what"))))).alias("p"))
+    x = x.select(key, "pos", name.alias("name"), numbers.alias("numbers"), (name.isin(*dataflow) & args.isNull()).alias("bad")).withColumn("hop", hop)
+    # a call whose arguments cannot be read is a use that nothing grounds: no number, so it meets no cell
+    bad = F.array(F.struct(F.lit(0).alias("i"), F.lit(float("nan")).alias("value")))
+    given = F.transform("numbers", lambda n, i: F.struct(i.alias("i"), n.alias("value")))
+    x = x.select(F.col(key).alias("trace_id"), "pos", "hop", "name", F.col("name").isNotNull().alias("is_use"), F.inline(F.when(F.col("bad"), bad).otherwise(given)))
+    loose = ungrounded(x, "i", "hop", "name")
+    says = F.when(F.isnan("value"), F.format_string("hop %d: unparseable arguments", "hop")).otherwise(F.concat(F.format_string("hop %d (%s): value ", "hop", "name"), number_text("value"), F.lit(" not grounded in prior context")))
+    found = loose.select(F.col("trace_id").alias(key), F.struct("pos", "i", says.alias("what")).alias("p"))
+    none = F.lit(None).cast(found.schema["p"].dataType)
+    got = traces.select(key, none.alias("p")).unionByName(found).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p"))
     return got.select(key, (F.size("p") == 0).alias("ok"), F.transform("p", lambda z: z["what"]).alias("problems"))
 
 

@@ -5,15 +5,15 @@ Every output depends on keys, explicit orders and seeds, never on partitioning.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lathe.functions.numbers import close_to, strip
+from lathe.operators.matching import closest, first_contained
+from lathe.operators.ordering import ranked
 
 
 def draw(seed: int, *parts: Column | str) -> Column:
@@ -80,28 +80,18 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> Da
     return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks (Ratcliff and Obershelp), 0 to 1."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def cascading_lookup(queries: DataFrame, facts: DataFrame, query: str = "query", cutoff: float = 0.78, default: str = "no results found") -> DataFrame:
     """Exact, then contained either way in the facts' order, then similar (ties by the greater key), then the default.
 
-    ``facts`` (ord, key, value) is a knowledge base of some thousand rows; only queries that the
-    exact join leaves open meet all of it, once each.
+    Only distinct queries that a step leaves open go on to the next: automata of bounded blocks of
+    ``facts`` (ord, key, value) look for containment, an index of letter pairs for similar keys.
     """
     q = queries.withColumn("__q", F.regexp_replace(F.lower(strip(F.col(query))), r"\?+$", ""))
     exact = q.join(facts.select(F.col("key").alias("__q"), F.col("value").alias("answer")), "__q", "left")
     still = exact.where("answer IS NULL").select("__q").distinct()
-    contained = F.col("__q").contains(F.col("key")) | F.col("key").contains(F.col("__q"))
-    part = still.join(facts, contained).groupBy("__q").agg(F.min_by("value", "ord").alias("part"))
-    # A ratio of ``cutoff`` needs lengths that are not further apart than this; only such pairs are compared.
-    short, long = F.least(F.length("__q"), F.length("key")), F.greatest(F.length("__q"), F.length("key"))
-    near = still.join(part, "__q", "left_anti").join(facts, short >= F.floor(long * F.lit(cutoff / (2 - cutoff))))
-    near = near.withColumn("__sim", similarity("key", "__q")).where(F.col("__sim") >= cutoff)
-    like = near.groupBy("__q").agg(F.max_by("value", F.struct("__sim", "key")).alias("like"))
+    part = first_contained(still, "__q", facts).select("__q", F.col("value").alias("part"))
+    near = closest(still.join(part, "__q", "left_anti"), facts, cutoff, "__q")
+    like = near.join(facts.select("key", "value"), "key").groupBy("__q").agg(F.min("value").alias("like"))
     x = exact.join(part, "__q", "left").join(like, "__q", "left")
     return x.withColumn("answer", F.coalesce("answer", "part", "like", F.lit(default))).drop("__q", "part", "like")
 
@@ -117,10 +107,31 @@ def merge_lists(old: DataFrame, new: DataFrame, key: str = "key", values: str =
     return both.select(key, F.array_sort(F.array_union(F.coalesce("__o", empty), F.coalesce("__n", empty))).alias(values))
 
 
-def ungrounded(numbers: DataFrame) -> DataFrame:
-    """Uses of a number without an equal earlier one: ``numbers`` (trace_id, pos, value, is_use)."""
-    use, seen = numbers.where("is_use").alias("n"), numbers.where("NOT is_use").alias("g")
-    return use.join(seen, (F.col("n.trace_id") == F.col("g.trace_id")) & (F.col("g.pos") < F.col("n.pos")) & close_to(F.col("g.value"), F.col("n.value")), "left_anti")
+def value_cell(v: Column) -> Column:
+    """Numbers of cells such that values which ``close_to`` takes for equal are at most one cell apart: of
+    equal ratio, but of equal width where the floor under the scale holds. Each is a tenth wider than the tolerance."""
+    size, floor = F.abs(v), 1e-12
+    place = F.when(size <= floor, size / floor).otherwise(1 + F.ln(size) - math.log(floor))
+    return F.floor(F.signum(v) * F.least(place, F.lit(1000.0)) / F.lit(1.1e-6))
+
+
+def ungrounded(numbers: DataFrame, *more: str) -> DataFrame:
+    """Uses of a number without an equal earlier one: ``numbers`` (trace_id, pos, value, is_use); ``more``
+    columns of the uses come along.
+
+    A use meets the values seen in its own cell and the two beside it, each value once with its first
+    place. So work grows with a trace's numbers, not with their square, and a long trace is dealt
+    out by cell."""
+    cell = value_cell(F.col("value"))
+    seen = F.array(cell - 1, cell, cell + 1)
+    x = numbers.where("value IS NOT NULL").withColumn("__c", F.explode(F.when(F.col("is_use"), F.array(cell)).otherwise(seen)))
+    x = x.repartition("trace_id", "__c")
+    use = F.when(F.col("is_use"), F.struct("pos", "value", *more))
+    x = x.groupBy("trace_id", "__c", "value").agg(F.min(F.when(~F.col("is_use"), F.col("pos"))).alias("first"), F.collect_list(use).alias("uses"))
+    x = x.groupBy("trace_id", "__c").agg(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("value", "first"))).alias("known"), F.flatten(F.collect_list("uses")).alias("uses"))
+    same = lambda k, u: (k["first"] < u["pos"]) & ((k["value"] == u["value"]) | close_to(k["value"], u["value"]))
+    loose = F.filter("uses", lambda u: F.isnan(u["value"]) | ~F.exists("known", lambda k: same(k, u)))  # Spark takes NaN for equal to NaN
+    return x.select("trace_id", F.explode(loose).alias("u")).select("trace_id", "u.*")
 
 
 def first_divergence(expected: DataFrame, got: DataFrame) -> DataFrame:
@@ -150,9 +161,9 @@ def ranked_results(results: DataFrame, family: str = "experiment") -> DataFrame:
     metrics = ("accuracy", "best_val_loss", "best_loss", "final_loss")
     name = F.coalesce(*[F.when(F.col(m).isNotNull(), m) for m in metrics], F.lit("no metric"))
     x = results.withColumn("metric", F.coalesce(*metrics, F.lit(0.0))).withColumn("metric_name", name)
-    up = F.first(F.col("metric_name").isin("accuracy", "no metric")).over(Window.partitionBy(family).orderBy("file_name"))
-    x = x.withColumn("__s", F.when(up, -F.col("metric")).otherwise(F.col("metric")))
-    return x.withColumn("rank", F.rank().over(Window.partitionBy(family).orderBy("__s"))).drop("__s")
+    up = x.groupBy(F.col(family).alias("__family")).agg(F.min_by(F.col("metric_name").isin("accuracy", "no metric"), "file_name").alias("__up"))
+    x = x.join(up, F.col(family).eqNullSafe(F.col("__family"))).withColumn("__score", F.when(F.col("__up"), -F.col("metric")).otherwise(F.col("metric")))
+    return ranked(x, family, "__score").drop("__family", "__up", "__score")
 
 
 def numbered_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -92,7 +92,12 @@ def leaderboard_lines(ranked: DataFrame) -> DataFrame:
     have = set(ranked.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     rate = F.regexp_replace(F.format_string("lr=%.0e", col("learning_rate").cast("double")), r"e([+-]\d)$", "e$1")
-    config = [F.concat(F.lit(f"{label}="), col(c).cast("string")) for label, c in (("size", "model_size"), ("ctx", "max_len"), ("d", "d_model"), ("layers", "n_layers"), ("samples", "num_samples"), ("iters", "iters"))] + [F.when(col("learning_rate").isNotNull(), rate)]
+    told = lambda label, c: F.concat(F.lit(f"{label}="), col(c).cast("string"))
+    flag = lambda label, c: F.when(col(c).cast("boolean"), label)
+    replay = col("math_replay_fraction").cast("double")
+    config = [told("size", "model_size"), told("attention", "attention_type"), flag("MoE", "use_moe"), told("experts", "num_experts"), told("vocab", "vocab_size"), told("ctx", "max_len"), told("d", "d_model"), F.coalesce(told("layers", "n_layers"), told("expert-layers", "expert_layers")), told("heads", "n_heads"), told("ff", "d_ff"), told("samples", "num_samples"), told("iters", "iters"), flag("curriculum", "curriculum"), flag("math-only", "math_only"), F.when(replay != 0, F.format_string("math-replay=%.0f%%", replay * 100)), F.when(col("learning_rate").isNotNull(), rate)]
+    kinds = ("numeric", "exact", "date")
+    by_kind = (lambda k: F.col("per_kind_accuracy")[k]) if "per_kind_accuracy" in have else (lambda k: F.lit(None).cast("double"))
     losses = [number(f"{n}=", col(c), "%.4f") for n, c in (("final", "final_loss"), ("best", "best_loss"), ("val", "best_val_loss"))]
     cells = [
         F.replace(F.coalesce(F.col("timestamp"), F.lit("unknown")), F.lit("+00:00"), F.lit("Z")),
@@ -102,7 +107,7 @@ def leaderboard_lines(ranked: DataFrame) -> DataFrame:
         F.coalesce(number("", col("model_parameters") / 1_000_000, "%.2fM"), F.lit("-")),
         cell(config),
         cell(losses),
-        cell([number("overall=", col("accuracy") * 100, "%.1f%%")]),
+        cell([number(f"{label}=", value * 100, "%.1f%%") for label, value in (("overall", col("accuracy").cast("double")), *((k, by_kind(k).cast("double")) for k in kinds))]),
         F.coalesce(number("", col("elapsed_seconds") / 60, "%.1fm"), F.lit("-")),
         F.coalesce(col("checkpoint"), F.lit("-")),
         F.concat(F.lit("["), F.col("file_name"), F.lit("](results/"), F.col("file_name"), F.lit(")")),

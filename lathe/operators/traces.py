@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ast
 import json
-from difflib import get_close_matches
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lathe.functions.numbers import strip
+
 #: The limits of shown output.
 OUT_LIMIT, ERR_LIMIT, READ_LIMIT, LINE_LIMIT = 2000, 600, 4000, 260
 
@@ -28,15 +29,13 @@ def blocks(df: DataFrame, key: str, text: str = "trace") -> DataFrame:
 
 
 def salvage_object(text: str) -> dict | None:
-    """The text as a JSON object, else the longest prefix of it that is one."""
-    end = len(text)
-    while end > 0:
-        try:
-            got = json.loads(text[:end])
-            return got if isinstance(got, dict) else None
-        except ValueError:
-            end = text.rfind("}", 0, end - 1) + 1 if end > 1 else 0
-    return None
+    """The text as a JSON object, else the longest prefix of it that is one. The reader passes over an object
+    once and says where it ends; a longer prefix could only add white space."""
+    try:
+        got = json.JSONDecoder().raw_decode(text.strip())[0]
+    except (ValueError, RecursionError):
+        return None
+    return got if isinstance(got, dict) else None
 
 
 @F.pandas_udf(T.StringType())
@@ -90,30 +89,9 @@ def unused_tools(used: Column, names: list[str]) -> Column:
     return F.array_except(F.array(*[F.lit(n) for n in names]), used)
 
 
-def closest_name(name: Column, names: list[str], cutoff: float = 0.82) -> Column:
-    """The trimmed name if it is known, else the closest known one of at least ``cutoff``, else itself."""
-
-    @F.pandas_udf(T.StringType())
-    def nearest(asked: pd.Series) -> pd.Series:
-        return asked.map(lambda a: None if a is None else (get_close_matches(a, names, 1, cutoff) or [a])[0])
-
-    plain = F.trim(name)
-    return F.when(plain.isin(names), plain).otherwise(nearest(plain))
-
-
-def check_call(name: Column, arguments: Column, required: dict[str, list[str]]) -> Column:
-    """Null for a call that can run, else its error text. Arguments are a map."""
-    out = F.concat(F.lit("ERROR: unknown tool '"), name, F.lit("'"))
-    for tool, args in required.items():
-        missing = F.array_except(F.array(*[F.lit(a) for a in args]).cast("array<string>"), F.map_keys(arguments))
-        says = F.concat(F.lit("ERROR: missing required parameters ['"), F.array_join(missing, "', '"), F.lit("']"))
-        out = F.when(name == tool, F.when(F.size(missing) > 0, says)).otherwise(out)
-    return out
-
-
 def cut(text: Column, limit: int) -> Column:
     """Trimmed, with plain line ends, and with a note of the whole length where it is cut."""
-    plain = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+\z", "")
+    plain = strip(F.replace(text, F.lit("\r\n"), F.lit("\n")))
     note = F.format_string("\n... (truncated, %d bytes total)", F.length(plain))
     return F.when(F.length(plain) <= limit, plain).otherwise(F.concat(F.substring(plain, 1, limit), note))
 
@@ -160,23 +138,37 @@ def name_filter(path: Column, pattern: Column) -> Column:
     return F.contains(F.lower(path), F.lower(pattern))
 
 
-def describe(source: str, symbol: str) -> str | None:
-    """Line, signature and documentation of a function or class in a source text, else null."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return None
-    kinds = {ast.ClassDef: "class", ast.FunctionDef: "def", ast.AsyncFunctionDef: "def"}
-    found = next((n for n in ast.walk(tree) if type(n) in kinds and n.name == symbol), None)
-    if found is None:
-        return None
-    args = "" if isinstance(found, ast.ClassDef) else "(" + ", ".join(a.arg for a in found.args.args) + ")"
-    return f"{found.lineno}\n{kinds[type(found)]} {symbol}{args}\n\n{(ast.get_docstring(found) or '(no docstring)')[:600]}"
+@F.udtf(returnType="path string, place int, line int, kind string, name string, arguments array<string>, doc string")
+class Symbols:
+    """Every function and class of a Python source, outer ones before inner ones; a source that cannot be parsed has none."""
+
+    def eval(self, path: str, source: str):
+        try:
+            nodes = [ast.parse(source)] if source is not None else []
+        except (SyntaxError, ValueError, RecursionError):
+            return
+        for place, n in enumerate(nodes):  # the list grows by what each node holds
+            nodes.extend(ast.iter_child_nodes(n))
+            if isinstance(n, ast.ClassDef):
+                yield path, place, n.lineno, "class", n.name, None, ast.get_docstring(n)
+            elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
+                yield path, place, n.lineno, "def", n.name, [a.arg for a in n.args.args], ast.get_docstring(n)
 
 
-@F.pandas_udf(T.StringType())
-def describe_symbol(sources: pd.Series, symbols: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None or n is None else describe(s, n) for s, n in zip(sources, symbols, strict=True)], dtype=object)
+def symbols(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, place, line, kind, name, arguments, doc) of all sources, each parsed once; a lookup is a filter."""
+    x = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    return x.lateralJoin(Symbols(F.col("path").outer(), F.col("text").outer()).alias("s")).select("s.*")
+
+
+def described(found: DataFrame, shown: int = 600) -> DataFrame:
+    """(name, text): of each name the first one by path and place, with signature and documentation."""
+    at = F.min(F.struct("path", "place", "line", "kind", "arguments", "doc")).alias("a")
+    x = found.groupBy("name").agg(at).select("name", "a.*")
+    heading = F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit("\n"), "kind", F.lit(" "), "name")
+    signature = F.when(F.col("arguments").isNotNull(), F.concat(F.lit("("), F.array_join("arguments", ", "), F.lit(")"))).otherwise("")
+    doc = F.when(F.coalesce("doc", F.lit("")) == "", "(no docstring)").otherwise(F.col("doc"))
+    return x.select("name", F.concat(heading, signature, F.lit("\n\n"), F.substring(doc, 1, shown)).alias("text"))
 
 
 def tail_lines(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
@@ -184,13 +176,24 @@ def tail_lines(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
     return lines.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
+def occurrences(text: Column, word: str) -> Column:
+    """How often a word occurs, from left to right without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("bigint")
+
+
 def topic(text: Column, topics: dict[str, list[str]]) -> Column:
     """The topic with most occurrences of its words, the first listed on ties (and where none occurs)."""
-    count = lambda w: (F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)
-    scores = [F.struct(sum((count(w) for w in ws), F.lit(0.0)).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, ws) in enumerate(topics.items())]
+    scores = [F.struct(sum((occurrences(text, w) for w in ws), F.lit(0)).cast("bigint").alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, ws) in enumerate(topics.items())]
     return F.array_max(F.array(*scores))["t"]
 
 
+def topic_counts(df: DataFrame, text: str, topics: dict[str, list[str]]) -> DataFrame:
+    """(topic, n): how many texts have each topic; topics that none has are there with 0."""
+    names = df.sparkSession.createDataFrame([(t,) for t in topics], "topic string")
+    n = df.where(F.col(text).isNotNull()).groupBy(topic(F.col(text), topics).alias("topic")).agg(F.count("*").alias("n"))
+    return names.join(n, "topic", "left").select("topic", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a restart still has to do: rows whose key is in no part written so far."""
     return todo.join(done.select(key).distinct(), key, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,14 +10,23 @@ from pyspark.sql import functions as F
 
 from lathe.functions import numbers as N
 from lathe.functions import protocol as P
+from lathe.operators import attention as A
+from lathe.operators import compose as C
 from lathe.operators import evaluate as E
 from lathe.operators import generate as G
+from lathe.operators import grammar as H
 from lathe.operators import kernels as K
+from lathe.operators import matching as M
 from lathe.operators import mixes as X
+from lathe.operators import ordering as O
 from lathe.operators import pools as L
 from lathe.operators import relational as R
 from lathe.operators import reports as Y
+from lathe.operators import scenarios as Z
+from lathe.operators import toolbox as B
 from lathe.operators import traces as V
+from lathe.sources import publish as U
+from lathe.sources import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,10 +61,18 @@ def serialize_instruct(s, d):
     return P.serialise(t(s, d, "conversations"), chat=False)
 
 
-@query("mask_counts", "select conv_id, (sum(length(text)+2+(role='assistant')::int)+count(*)-1)::bigint as n_tok, coalesce(sum(length(text)+3) filter (role='assistant'),0)::bigint as n_sup from conversations group by conv_id")
+MASKS = "with b as (select conv_id, turn, role, case when role='assistant' then repeat('1', length(text)+3) else repeat('0', length(text)+2) end as m from conversations), t as (select conv_id, string_agg(m, '0' order by turn) as m from b group by 1)"
+
+
+def bits(mask):
+    return F.array_join(F.transform(mask, lambda m: m.cast("int").cast("string")), "")
+
+
+@query("mask_counts", MASKS + " select conv_id, length(m) as n_tok, length(replace(m, '0', '')) as n_sup, md5(m) as mask from t")
 def mask_counts(s, d):
     x = P.serialise(t(s, d, "conversations")).select("conv_id", P.encode(F.col("trace")).alias("e"))
-    return x.select("conv_id", F.size("e.tokens").cast("bigint").alias("n_tok"), F.aggregate("e.mask", F.lit(0).cast("bigint"), lambda a, m: a + m.cast("bigint")).alias("n_sup"))
+    mask = bits(F.col("e.mask"))
+    return x.select("conv_id", F.size("e.tokens").cast("bigint").alias("n_tok"), F.aggregate("e.mask", F.lit(0).cast("bigint"), lambda a, m: a + m.cast("bigint")).alias("n_sup"), F.md5(mask).alias("mask"))
 
 
 @query("token_roundtrip", "select conv_id, count(*)::bigint as turns, true as same from conversations group by conv_id")
@@ -63,21 +81,20 @@ def token_roundtrip(s, d):
     return t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")).join(x, "conv_id")
 
 
-@query("shifted_supervision", "select conv_id, (sum(length(text)+2+(role='assistant')::int)+count(*)-2)::bigint as n_x, coalesce(sum(length(text)+3) filter (role='assistant'),0)::bigint - (min(turn) filter (role='assistant') is not null and arg_min(role, turn)='assistant')::int as n_sup from conversations group by conv_id")
+@query("shifted_supervision", MASKS + " select conv_id, length(m)-1 as n_x, length(replace(substr(m, 2), '0', '')) as n_sup, md5(substr(m, 2)) as mask from t")
 def shifted_supervision(s, d):
     x = P.serialise(t(s, d, "conversations")).select("conv_id", P.encode(F.col("trace")).alias("e")).select("conv_id", P.shift(F.col("e.tokens"), F.col("e.mask")).alias("z"))
-    return x.select("conv_id", F.size("z.x").cast("bigint").alias("n_x"), F.aggregate("z.mask", F.lit(0).cast("bigint"), lambda a, m: a + m.cast("bigint")).alias("n_sup"))
+    return x.select("conv_id", F.size("z.x").cast("bigint").alias("n_x"), F.aggregate("z.mask", F.lit(0).cast("bigint"), lambda a, m: a + m.cast("bigint")).alias("n_sup"), F.md5(bits(F.col("z.mask"))).alias("mask"))
 
 
 @query("token_histogram", "select least(unicode(ch),255)::int as tok, count(*) as n from (select unnest(string_split(text,'')) as ch from documents) where ch<>'' group by 1")
 def token_histogram(s, d):
-    chars = F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("c")
-    return t(s, d, "documents").select(chars).groupBy(F.least(F.ascii("c"), F.lit(255)).alias("tok")).agg(F.count("*").alias("n"))
+    return P.token_counts(t(s, d, "documents"), "text")
 
 
-@query("number_list", r"select doc_id, len(regexp_extract_all(text,'-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'))::int as n_num from documents")
+@query("number_list", r"select doc_id, array_to_string(regexp_extract_all(text,'-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'), '|') as numbers from documents")
 def number_list(s, d):
-    return t(s, d, "documents").select("doc_id", F.size(N.number_literals(F.col("text"))).alias("n_num"))
+    return t(s, d, "documents").select("doc_id", F.array_join(N.number_literals(F.col("text")), "|").alias("numbers"))
 
 
 @query("length_gate_starvation", "select source, count(*) filter (n_chars<=4000) as kept, count(*) filter (n_chars>4000) as dropped from documents group by source having count(*) filter (n_chars>4000) > 0.2*count(*)")
@@ -98,7 +115,12 @@ def exact_split(s, d):
 
 @query("rank_family", "select event_id, rank() over (partition by event_type order by value desc)::int as rnk from events")
 def rank_family(s, d):
-    return t(s, d, "events").select("event_id", F.rank().over(Window.partitionBy("event_type").orderBy(F.desc("value"))).alias("rnk"))
+    return O.ranked(t(s, d, "events").select("event_id", "event_type", "value"), "event_type", "value", "rnk", descending=True).select("event_id", "rnk")
+
+
+@query("dense_numbers", "select doc_id, row_number() over (order by source, doc_id)-1 as number from documents")
+def dense_numbers(s, d):
+    return O.numbered(t(s, d, "documents").select("source", "doc_id"), "source", "doc_id").select("doc_id", "number")
 
 
 @query("running_best", "select event_id, max(value) over w as best, min(value) over w as low from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)")
@@ -140,9 +162,10 @@ def accuracy_interval(s, d):
     return a.select("source", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@query("gate", "select avg(quality)>=0.75 as quality_ok, 1-avg(toxic)>=0.8 as clean_ok, count(*)::bigint as n from labels")
+@query("gate", "with r as (select case when doc_id%2=0 then 'numeric' else 'exact' end as kind, quality=1 as ok from labels) select round(avg(ok::int), 9) as overall, round(avg(ok::int) filter (kind='numeric'), 9) as numeric, round(avg(ok::int) filter (kind='exact'), 9) as exact, avg(ok::int)>=0.75 and avg(ok::int) filter (kind='numeric')>=0.6 and avg(ok::int) filter (kind='exact')>=0.8 as passed from r")
 def gate(s, d):
-    return t(s, d, "labels").agg((F.avg("quality") >= 0.75).alias("quality_ok"), (1 - F.avg("toxic") >= 0.8).alias("clean_ok"), F.count("*").alias("n"))
+    r = t(s, d, "labels").select(F.when(F.col("doc_id") % 2 == 0, "numeric").otherwise("exact").alias("kind"), (F.col("quality") == 1).alias("ok"))
+    return E.gate(r).select(*[F.round(c, 9).alias(c) for c in ("overall", "numeric", "exact")], "passed")
 
 
 @query("index_percentile", "select lang, max(n_chars) filter (rn=floor(n*0.5)) as p50, max(n_chars) filter (rn=floor(n*0.95)) as p95 from (select lang, n_chars, row_number() over (partition by lang order by n_chars)-1 as rn, count(*) over (partition by lang) as n from documents) group by lang")
@@ -152,10 +175,7 @@ def index_percentile(s, d):
 
 @query("length_histogram", "select case when n_chars<500 then '0-499' when n_chars<2000 then '500-1999' when n_chars<8000 then '2000-7999' else '8000+' end as band, count(*) as n, round(count(*)*1.0/(select count(*) from documents), 9) as share from documents group by 1")
 def length_histogram(s, d):
-    n = F.col("n_chars")
-    band = F.when(n < 500, "0-499").when(n < 2000, "500-1999").when(n < 8000, "2000-7999").otherwise("8000+")
-    x = t(s, d, "documents").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
-    return x.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))
+    return Y.hop_bands(t(s, d, "documents"), F.col("n_chars"), (0, 500, 2000, 8000)).withColumn("share", F.round("share", 9))
 
 
 @query("grep_lines", "select doc_id, line_no::bigint as line_no, left(trim(line, ' '),110) as line from (select doc_id, unnest(string_split(text,chr(10))) as line, generate_subscripts(string_split(text,chr(10)),1) as line_no from documents) where contains(lower(line),'the') order by doc_id,line_no limit 20")
@@ -163,10 +183,10 @@ def grep_lines(s, d):
     return R.grep(t(s, d, "documents").select("doc_id", "text"), "doc_id", "the")
 
 
-@query("group_lines", "select source, count(*) as files, sum(length(text)-length(replace(text,chr(10),''))+1)::bigint as lines from documents group by source")
+@query("group_lines", "select source as folder, count(*) as files, sum(length(text)-length(replace(text,chr(10),''))+1)::bigint as lines from documents group by source")
 def group_lines(s, d):
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return t(s, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(lines).cast("bigint").alias("lines"))
+    x = t(s, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return E.top_folder_report(x).withColumn("lines", F.col("lines").cast("bigint"))
 
 
 @query("line_slice", "select doc_id, line_no::bigint as line_no, line from (select doc_id, unnest(string_split(text,chr(10))) as line, generate_subscripts(string_split(text,chr(10)),1) as line_no from documents) where line_no between 2 and 3")
@@ -176,7 +196,7 @@ def line_slice(s, d):
 
 @query("anti_unlabelled", "select doc_id from documents anti join labels using (doc_id)")
 def anti_unlabelled(s, d):
-    return t(s, d, "documents").select("doc_id").join(t(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return V.pending(t(s, d, "documents").select("doc_id"), t(s, d, "labels"), "doc_id")
 
 
 @query("semi_labelled", "select doc_id from documents semi join labels using (doc_id)")
@@ -267,7 +287,10 @@ def rms_norm(s, d):
 
 @query("window_band", "select user_id, event_id, round(avg(value) over (partition by user_id order by ts,event_id rows between 3 preceding and 3 following), 6) as m from events")
 def window_band(s, d):
-    return t(s, d, "events").select("user_id", "event_id", F.round(F.avg("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 3)), 6).alias("m"))
+    e = t(s, d, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    near = A.banded_pairs(e, 3, "user_id", "pos").join(e.select("user_id", F.col("pos").alias("k"), "value"), ["user_id", "k"])
+    mean = near.groupBy("user_id", "q").agg(F.round(F.avg("value"), 6).alias("m"))
+    return e.join(mean.withColumnRenamed("q", "pos"), ["user_id", "pos"]).select("user_id", "event_id", "m")
 
 
 @query("nucleus", "with x as (select vec_id, generate_subscripts(embedding,1) as k, unnest(embedding)::double as v from embeddings), p as (select *, exp(v)/sum(exp(v)) over (partition by vec_id) as pr from x), c as (select *, sum(pr) over w as cum, row_number() over w as rn from p window w as (partition by vec_id order by pr desc, k rows unbounded preceding)) select vec_id, count(*) as kept from c where cum<=0.5 or rn=1 group by 1")
@@ -279,11 +302,41 @@ def nucleus(s, d):
 
 @query("contains_join", "select b.item_id, count(d.doc_id) as hits from benchmark b left join documents d on contains(d.text, b.text) group by 1")
 def contains_join(s, d):
-    """The benchmark is a list of some hundred passages that every document is searched for."""
     b = t(s, d, "benchmark")
-    x = t(s, d, "documents").select("doc_id", "text")
-    hit = x.join(b.select("item_id", F.col("text").alias("passage")), F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("n"))
-    return b.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("hits"))
+    hit = M.containing(t(s, d, "documents"), "doc_id", "text", b, "item_id", "text").groupBy("item_id").agg(F.count("*").alias("n"))
+    return R.lookup(b.select("item_id"), hit, "item_id", "n", 0).select("item_id", F.col("n").alias("hits"))
+
+
+@query("used_words", "select d.doc_id, w.word from documents d join (select distinct unnest(string_split(lower(n_name), '_')) as word from nation union select lower(r_name) from region union select 'the' union select 'tion') w on contains(d.text, w.word)")
+def used_words(s, d):
+    """Marks of any number in texts of any length, each text read once."""
+    w = t(s, d, "nation").select(F.explode(F.split(F.lower("n_name"), "_")).alias("word")).union(t(s, d, "region").select(F.lower("r_name"))).union(s.createDataFrame([("the",), ("tion",)], "word string")).distinct()
+    return M.containing(t(s, d, "documents"), "doc_id", "text", w, "word", "word")
+
+
+@query("tools_in_use", "select conv_id, 'calc' as name from conversations where role='assistant' and (conv_id+turn)%3=2 group by 1")
+def tools_in_use(s, d):
+    x = chat_bodies(s, d).groupBy("conv_id").agg(F.array_join(F.collect_list("body"), "\n").alias("trace"))
+    tools = s.createDataFrame([("calc",), ("web_search",)], "name string")
+    return G.used_in(x, "conv_id", "trace", tools)
+
+
+@query("fuzzy_lookup")
+def fuzzy_lookup(s, d):
+    """The closest long word of the benchmark, if any, for each long word of the conversations."""
+    words = lambda name: t(s, d, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{12,}"), F.lit(0))).alias("w")).distinct()
+    return M.closest(words("conversations").withColumnRenamed("w", "query"), words("benchmark").withColumnRenamed("w", "key"), 0.78).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("toolbox_runs", "with k as (select o_orderkey as call_id, o_custkey as c, o_orderkey%6 as kind from orders) select call_id, case kind when 0 then (c+call_id)::varchar when 1 then 'region '||n_regionkey when 2 then 'not found' when 3 then 'ERROR: unknown tool ''fly''' when 4 then 'ERROR: missing required parameters [''expr'']' else 'region '||n_regionkey end as result from k join nation on n_nationkey=c%25")
+def toolbox_runs(s, d):
+    facts = t(s, d, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lower("n_name"), F.lit("_")).alias("key"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("value"))
+    c, k = F.col("o_custkey"), F.col("o_orderkey") % 6
+    nation = F.concat(F.lit("nation_"), (c % 25).cast("string"), F.lit("_"))
+    name = F.when(k == 0, "calc").when(k.isin(1, 2), "serch_memory").when(k == 3, "fly").when(k == 4, " calc").otherwise("web_search")
+    args = F.when(k == 0, F.to_json(F.struct(F.concat_ws(" + ", c.cast("string"), F.col("o_orderkey").cast("string")).alias("expr")))).when(k == 1, F.to_json(F.struct(nation.alias("key")))).when(k == 2, '{"key":"x"}').when(k == 5, F.to_json(F.struct(F.concat(F.lit("Where is "), nation, F.lit("?")).alias("query")))).otherwise("{}")
+    calls = t(s, d, "orders").select(F.col("o_orderkey").alias("call_id"), name.alias("name"), args.alias("arguments"))
+    return B.run_calls(calls, facts.select("key", "value"), facts, "2026-01-01T00:00:00").select("call_id", "result")
 
 
 @query("cascading_lookup", "with f as (select n_nationkey as ord, lower(n_name) as key, 'region '||n_regionkey as value from nation), q as (select 'where is '||lower(n_name)||'?' as query from nation union all select lower(n_name)||'x' from nation), m as (select query, rtrim(query,'?') as q from q) select query, coalesce((select min(value) from f where key=q), (select arg_min(value, ord) from f where contains(q,key) or contains(key,q)), 'no results found') as answer from m")
@@ -447,7 +500,7 @@ def greedy_pick(s, d):
 
 @query("collate", "with x as (select turn, row_number() over (order by conv_id, turn)-1 as n, length(text) as l from conversations) select n//8 as batch_id, max(l)::bigint as padded, sum(l)::bigint as kept, (count(*)*max(l)-sum(l))::bigint as filled from x group by 1")
 def collate(s, d):
-    x = t(s, d, "conversations").withColumn("n", F.row_number().over(Window.orderBy("conv_id", "turn")) - 1)
+    x = O.numbered(t(s, d, "conversations"), "conv_id", "turn", name="n")
     x = x.select("n", F.array_repeat(F.lit(1), F.length("text")).alias("x"), F.array_repeat(F.lit(2), F.length("text")).alias("y"), F.array_repeat(F.lit(1.0), F.length("text")).alias("mask"))
     got = X.collate(x, "n", 8)
     return got.groupBy("batch_id").agg(F.max(F.size("x")).cast("bigint").alias("padded"), F.sum(F.aggregate("mask", F.lit(0.0), lambda a, m: a + m)).cast("bigint").alias("kept"), F.sum(F.size(F.filter("y", lambda y: y == -100))).cast("bigint").alias("filled"))
@@ -472,23 +525,24 @@ def compact_history(s, d):
     return R.compact_history(x, keep=1).select(F.col("trace_id").alias("conv_id"), F.col("pos").alias("turn"), "content")
 
 
-QUANTITIES = ["6,650 km", "1e5 km", ",,, km", "1,2 km", "O(1) insert", "150 years", "-3.5", "12km", " 7 "]
-
-
-@query("quantities", "select v, regexp_matches(trim(v), '^-?[0-9]{1,3}(,[0-9]{3})+(\\.[0-9]+)?(\\s|$)') or regexp_matches(trim(v), '^-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?(\\s|$)') as ok from (select unnest([" + ",".join(f"'{q}'" for q in QUANTITIES) + "]) as v)")
+@query("quantities", r"with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), v as (select doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') as v from l) select doc_id, count(*) filter (regexp_matches(v, '^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?(\s|$)') or regexp_matches(v, '^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?(\s|$)')) as n from v group by 1")
 def quantities(s, d):
-    return s.createDataFrame([(q,) for q in QUANTITIES], "v string").select("v", N.leads_with_quantity(F.col("v")).alias("ok"))
+    x = R.numbered_lines(t(s, d, "documents"), "doc_id")
+    return x.groupBy("doc_id").agg(F.count_if(N.leads_with_quantity(F.col("line"))).alias("n"))
 
 
-@query("path_inside", "select * from (values ('/root/..',false),('/root/a/../b',true),('a/../b',true),('../b',false),('/rooted',false),('/root',true),('a/../../root/c',true)) as v(path, ok)")
+@query("path_inside", r"with p as (select page_id, '/root'||coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') as path from pages), n as (select page_id, path, len(list_filter(string_split(path, '/'), lambda x: x not in ('', '.', '..')))-1 as depth from p) select page_id, (page_id%5)<=depth as ok from n")
 def path_inside(s, d):
-    paths = ["/root/..", "/root/a/../b", "a/../b", "../b", "/rooted", "/root", "a/../../root/c"]
-    return s.createDataFrame([(p,) for p in paths], "path string").select("path", L.inside(F.col("path"), "/root").alias("ok"))
+    """Paths of pages, with some steps up at their ends, below /root: in, as long as steps are no more than folders."""
+    path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+    up = F.repeat(F.lit("/.."), (F.col("page_id") % 5).cast("int"))
+    x = t(s, d, "pages").select("page_id", F.concat(F.lit("/root"), F.when(path == "", "/").otherwise(path), up).alias("path"))
+    return x.select("page_id", L.inside(F.col("path"), "/root").alias("ok"))
 
 
-@query("answers", "select doc_id, regexp_replace(regexp_replace(trim(left(text,200), ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '\\s+', ' ', 'g'), '\\.+$', '') as answer, case when contains(text, '.') then left(text, strpos(text,'.')-1) else text end as head, case when contains(text, '.') then substr(text, strpos(text,'.')+1) else '' end as tail from documents")
+@query("answers", "select doc_id, regexp_replace(regexp_replace(trim(text, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '\\s+', ' ', 'g'), '\\.+$', '') as answer, case when contains(text, '.') then left(text, strpos(text,'.')-1) else text end as head, case when contains(text, '.') then substr(text, strpos(text,'.')+1) else '' end as tail from documents")
 def answers(s, d):
-    x = t(s, d, "documents").select("doc_id", N.plain_answer(F.substring("text", 1, 200)).alias("answer"), N.partition(F.col("text"), ".").alias("p"))
+    x = t(s, d, "documents").select("doc_id", N.plain_answer(F.col("text")).alias("answer"), N.partition(F.col("text"), ".").alias("p"))
     return x.select("doc_id", "answer", "p.head", "p.tail")
 
 
@@ -542,18 +596,155 @@ def divergence(s, d):
     return R.first_divergence(e, g).select("trace_id", "kind")
 
 
+def pools(s, d):
+    """Facts of parts and stored values of nations: (key, value)."""
+    facts = t(s, d, "part").select(F.concat_ws(" ", F.lower("p_name"), F.col("p_partkey").cast("string")).alias("key"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".5 units").otherwise(" units")).alias("value"))
+    memory = t(s, d, "nation").select(F.lower("n_name").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, F.concat((F.col("n_regionkey") + 2).cast("string"), F.lit(" regions"))).otherwise("unknown").alias("value"))
+    return facts, memory
+
+
+def recorded(s, d):
+    """What tools said of documents: (pattern, question, tool, arguments, result, answer)."""
+    x = t(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "source", "text", "n_chars").where("text IS NOT NULL")
+    top = V.cut_at_line(F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n"))
+    hit = F.concat("name", F.lit(":1: "), F.substring(F.trim(F.substring_index("text", "\n", 1)), 1, 80))
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    row = lambda pattern, question, tool, arguments, result, answer: (F.lit(pattern).alias("pattern"), question.alias("question"), F.lit(tool).alias("tool"), F.to_json(arguments).alias("arguments"), result.alias("result"), answer.alias("answer"))
+    name, none = F.col("name"), F.lit(None).cast("string")
+    reads = x.select(*row("repo_read", say("Show me the first lines of ", name, "."), "read_file", F.struct(name.alias("path"), F.lit(1).alias("start"), F.lit(3).alias("lines")), top, V.read_summary(top)))
+    hits = x.select(*row("repo_search", say("What does the first line of ", name, " say?"), "search_code", F.struct(name.alias("query")), hit, V.hit_summary(hit)))
+    runs = x.select(*row("sandbox", say("How long is ", name, "?"), "run_python", F.struct(say("print(len(open('", name, "').read()))").alias("code")), F.col("n_chars").cast("string"), none))
+    of = x.groupBy("source").agg(F.count("*").alias("n"), F.min("name").alias("first"))
+    lists = of.select(*row("repo_list", say("Which files are of ", F.col("source"), "?"), "list_files", F.struct(F.col("source").alias("pattern")), F.col("first"), V.file_summary(F.col("first"))))
+    stats = of.select(*row("repo_stats", say("How many files has ", F.col("source"), "?"), "repo_stats", F.struct(F.col("source").alias("pattern")), say(F.col("source"), ": ", F.col("n").cast("string"), " files"), none))
+    told = V.described(nation_symbols(s, d)).select(*row("repo_symbol", say("Describe ", name, "."), "describe_symbol", F.struct("name"), F.col("text"), none))
+    return reads.unionByName(hits).unionByName(runs).unionByName(lists).unionByName(stats).unionByName(told)
+
+
+def nation_symbols(s, d):
+    source = F.concat(F.lit("class "), "n_name", F.lit(':\n    """A nation."""\n\n    def region(self, year):\n        return '), F.col("n_regionkey").cast("string"), F.lit("\n"))
+    return V.symbols(t(s, d, "nation").select(F.format_string("n%02d.py", F.col("n_nationkey").cast("int")).alias("path"), source.alias("text")))
+
+
+@query("source_symbols", "select printf('n%02d.py', n_nationkey::int) as path, 1 as line, 'class' as kind, n_name as name, null as arguments, 'A nation.' as doc from nation union all select printf('n%02d.py', n_nationkey::int), 4, 'def', 'region', 'self,year', null from nation")
+def source_symbols(s, d):
+    return nation_symbols(s, d).select("path", "line", "kind", "name", F.array_join("arguments", ",").alias("arguments"), "doc")
+
+
+def composer(s, d, seed=11):
+    facts, memory = pools(s, d)
+    thoughts = s.createDataFrame([("calc_call", "I will calculate this."), ("calc_call", "The calculator can do this."), ("chain_last", "That was the last step."), ("web_call", "A search will tell.")], "situation string, text string")
+    phrases = s.createDataFrame([("math", "Compute {EXPR}."), ("math", "How much is {EXPR}?"), ("web", "Tell me the {TOPIC}."), ("memory", "What is stored as {KEY}?")], "intent string, text string")
+    return C.Composer(facts, memory, "2026-01-01T00:00:00", recorded(s, d), thoughts, phrases, seed)
+
+
+def as_many(s, d):
+    """One trace a conversation of the table."""
+    return t(s, d, "conversations").select("conv_id").distinct().count()
+
+
+@query("composed_traces")
+def composed_traces(s, d):
+    make = composer(s, d)
+    return C.filled(s, make.traces, as_many(s, d))[0]
+
+
+@query("composed_chats")
+def composed_chats(s, d):
+    make = composer(s, d, 12)
+    return C.filled(s, lambda ids: make.traces(ids, chat=True, systems=("Answer briefly.", "Use the tools.")), as_many(s, d))[0]
+
+
+@query("conversation_traces")
+def conversation_traces(s, d):
+    make = composer(s, d, 13)
+    return C.filled(s, lambda ids: make.traces(ids, chat=True, weights=C.CONVERSATIONS), as_many(s, d))[0]
+
+
+@query("mixed_traces")
+def mixed_traces(s, d):
+    make = composer(s, d, 14)
+    return C.filled(s, lambda ids: make.traces(ids, weights=C.MIXED), as_many(s, d))[0]
+
+
 @query("one_step_traces")
 def one_step_traces(s, d):
-    return G.one_step_traces(s, 1000, [("project", "lathe"), ("owner", "nobody")], [("longest river", "6,650 km"), ("largest planet", "Jupiter")], "2026-01-01T00:00:00")
+    make = composer(s, d, 15)
+    return C.filled(s, lambda ids: make.traces(ids, weights=C.SIMPLE), as_many(s, d))[0]
+
+
+@query("starved_patterns")
+def starved_patterns(s, d):
+    make = composer(s, d, 16)
+    return C.starved(C.filled(s, make.traces, as_many(s, d), max_len=420)[1])
+
+
+def scenario_plans(s, d):
+    """A plan a conversation: its users' turns, with some steps each."""
+    c = t(s, d, "conversations").where("role = 'user'")
+    kinds = F.array(*[F.lit(k) for k in L.KINDS])
+    step = lambda i: F.struct(F.element_at(kinds, ((F.col("conv_id") * 3 + F.col("turn") * 5 + i * 3) % len(L.KINDS) + 1).cast("int")).alias("kind"))
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("conv_id") + F.col("turn")) % 4), step)
+    turn = F.struct("turn", F.concat(F.lit("Turn "), F.col("turn").cast("string"), F.lit(", please.")).alias("user"), steps.alias("steps"))
+    x = c.groupBy(F.col("conv_id").alias("plan_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    x = x.select("plan_id", F.transform(F.slice("t", 1, 6), lambda z: F.struct(z["user"].alias("user"), z["steps"].alias("steps"))).alias("turns"))
+    return x.where(L.valid_plan(F.col("turns"))).select("plan_id", L.normalised_plan(F.col("turns")).alias("turns"))
+
+
+@query("scenario_traces")
+def scenario_traces(s, d):
+    facts, memory = pools(s, d)
+    sandbox = recorded(s, d).where("pattern = 'sandbox'").select("question", "tool", "arguments", "result")
+    make = Z.Scenarios(scenario_plans(s, d), facts, memory, "2026-01-01T00:00:00", 7, sandbox, V.described(nation_symbols(s, d)))
+    return C.filled(s, make.traces, as_many(s, d), max_len=16384)[0]
+
+
+@query("block_grammar", "with b as (select conv_id, turn, text, (conv_id+turn)%3 as k from conversations where role='assistant') select conv_id, turn, k<>0 as valid, case when k=0 then 11 end as bad_at, case when k=0 then 'bad' else 'done' end as state from b")
+def block_grammar(s, d):
+    x = chat_bodies(s, d).select("conv_id", "turn", F.concat(F.lit("<assistant>"), "body", F.lit("</assistant>")).alias("block"))
+    return H.block_verdicts(x, "block", ["calc", "now", "search_memory", "web_search", "finish"]).select("conv_id", "turn", "verdict.*")
+
+
+@query("topic_counts", "with n as (select (length(text)-length(replace(text,'the','')))/3 as a, (length(text)-length(replace(text,'der','')))/3 as b, (length(text)-length(replace(text,'eau','')))/3 as c from documents), t as (select case when a>=b and a>=c then 'english' when b>=c then 'german' else 'french' end as topic from n) select v.topic, count(t.topic) as n from (values ('english'),('german'),('french')) v(topic) left join t using (topic) group by 1")
+def topic_counts(s, d):
+    return V.topic_counts(t(s, d, "documents"), "text", {"english": ["the"], "german": ["der"], "french": ["eau"]})
+
+
+@query("total_loss", "with x as (select (vec_id%10)/10.0 as loss, ln(list_sum(list_transform(embedding, lambda e: exp(e::double)))) as z from embeddings) select round(avg(loss), 9) as loss, round(0.0001*avg(z*z), 9) as z_loss, round(avg(loss)+0.0001*avg(z*z), 9) as total from x")
+def total_loss(s, d):
+    x = t(s, d, "embeddings").select("embedding", ((F.col("vec_id") % 10) / 10.0).alias("loss"), F.lit(1.0).alias("mask"))
+    return E.total_loss(x, "embedding", 0.0001).select(*[F.round(c, 9).alias(c) for c in ("loss", "z_loss", "total")])
+
+
+@query("load_balance", "with x as (select vec_id, generate_subscripts(embedding,1)-1 as k, unnest(embedding)::double as v from embeddings), p as (select k, exp(v)/sum(exp(v)) over (partition by vec_id) as pr from x), u as (select k, avg(pr) as usage from p group by 1) select round(sum((usage-1/64)*(usage-1/64)), 12) as loss from u")
+def load_balance(s, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    p = t(s, d, "embeddings").select(F.posexplode(K.softmax(v)).alias("k", "p"))
+    return K.load_balance(p, "k", "p", 64).select(F.round("loss", 12).alias("loss"))
+
+
+@query("nested_calls", "select conv_id, count(*) as n, string_agg('{\"a\":{\"b\":[' || turn || ',{\"c\":\"}\"}]}}', ';' order by turn) as arguments from conversations where role='assistant' group by 1")
+def nested_calls(s, d):
+    a = F.concat(F.lit('{"thought":"t","tool_call":{"name":"calc","arguments":{"a":{"b":['), F.col("turn").cast("string"), F.lit(',{"c":"}"}]}}}}'))
+    x = t(s, d, "conversations").where("role = 'assistant'").withColumn("text", a)
+    x = P.serialise(x).select("conv_id", P.tool_calls(F.col("trace")).alias("c"))
+    return x.select("conv_id", F.size("c").cast("bigint").alias("n"), F.array_join(F.transform("c", lambda c: c["arguments"]), ";").alias("arguments"))
+
+
+@query("published_parts", "select doc_id, source, n_chars from documents")
+def published_parts(s, d):
+    """Documents built into a dataset in four parts, published and read back."""
+    x = t(s, d, "documents").select("doc_id", "source", "n_chars")
+    return U.built(s, f"{scratch.folder(s)}/datasets", {"table": d, "run": uuid.uuid4().hex}, 4, lambda i: x.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == i))
 
 
 @query("lookup_chains")
 def lookup_chains(s, d):
-    facts = t(s, d, "nation").select(F.concat(F.lower("n_name"), F.lit(" regions")).alias("key"), F.concat((F.col("n_regionkey") + 2).cast("string"), F.lit(" units")).alias("value"))
-    return G.lookup_chains(s, 500, facts.withColumn("number", N.first_number(F.col("value"))))
+    facts = t(s, d, "part").select(F.concat_ws(" ", F.lower("p_name"), F.col("p_partkey").cast("string")).alias("key"), F.concat(F.col("p_size").cast("string"), F.lit(" units")).alias("value"))
+    return G.lookup_chains(s, as_many(s, d), facts.withColumn("number", N.first_number(F.col("value"))))
 
 
-@query("tool_listing")
+@query("tool_listing", "select lower(n_name) as name, '{\"type\":\"function\",\"function\":{\"name\":\"'||lower(n_name)||'\",\"description\":\"a nation\",\"parameters\":{\"type\":\"object\",\"properties\":{\"key\":{\"type\":\"string\"}},\"required\":[\"key\"]}}}' as row from nation")
 def tool_listing(s, d):
     tools = t(s, d, "nation").select(F.lower("n_name").alias("name"), F.lit("a nation").alias("description"), F.array(F.lit("key")).alias("params"))
     return V.tool_listing(tools)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lathe.operators.relational import ranked_results
 from lathe.operators.reports import HEADING, NO_ROWS, leaderboard_lines
+from lathe.sources.publish import Build, built, cache_key, sorted_json  # noqa: F401  the key's rule belongs to the cache
 
 RESULT = "experiment string, timestamp string, data struct<accuracy:double,best_val_loss:double,best_loss:double,final_loss:double,elapsed_seconds:double,model_parameters:bigint,num_samples:bigint,iters:bigint,learning_rate:double>"
 
@@ -75,7 +75,7 @@ PLAN = "turns array<struct<user:string,steps:array<struct<kind:string,argument:s
 
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
     """Plans of a JSON array, numbered in order."""
-    x = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", f"array<struct<{PLAN.replace(' ', ':', 1)}>>")).alias("plan_id", "p"))
+    x = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{PLAN.replace(' ', ':', 1)}>>")).alias("plan_id", "p"))
     return x.select("plan_id", "p.turns")
 
 
@@ -93,38 +93,22 @@ SKIP_DIRS = (".git", ".venv", "__pycache__", "node_modules", "results", "data",
 
 
 def source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """(path, text) of a tree's files; below ``root``, hidden folders and ``SKIP_DIRS`` are skipped."""
+    """(path, text) of a tree's files; below ``root``, hidden folders and ``SKIP_DIRS`` are skipped. The rule is a
+    filter on the files' paths alone, so Spark leaves files out of the scan and does not read them."""
     from urllib.parse import quote, urlsplit
 
-    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
-    path = F.col("_metadata.file_path")
     top = quote(urlsplit(root).path if "://" in root else root).rstrip("/") + "/"
-    folders = F.slice(F.split(F.concat(F.lit("x/"), F.expr("substring(_metadata.file_path, locate('{0}', _metadata.file_path) + length('{0}'))".format(top.replace("'", "\\'")))), "/"), 2, 1 << 30)
-    inside = F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
-    skipped = F.exists(inside, lambda d: d.startswith(".") | d.isin(*SKIP_DIRS))
-    return x.select(path.alias("path"), F.col("value").alias("text"), skipped.alias("skipped")).where("NOT skipped").drop("skipped")
+    path = F.col("_metadata.file_path")
+    below = F.substring(path, F.locate(top, path) + len(top), F.length(path))
+    names = "|".join(re.escape(d) for d in SKIP_DIRS)
+    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    return x.where(~below.rlike(rf"(^|/)(\.[^/]*|{names})/")).select(path.alias("path"), F.col("value").alias("text"))
 
 
 def cached(df: DataFrame, folder: str, key: str, parameters: dict | None = None) -> DataFrame:
-    """Read the dataset named by ``key`` (a hash of what it depends on), or write it first, with
-    the parameters beside it."""
-    spark, path = df.sparkSession, f"{folder}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    if parameters is not None:
+    """Read the dataset named by ``key`` (a hash of what it depends on), or build and publish it first, with
+    the parameters beside it; of two builders one publishes and both read the same."""
+    spark = df.sparkSession
+    if Build(spark, folder, parameters, 1, key=key).published() is None and parameters is not None:
         spark.createDataFrame([(sorted_json(parameters),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{key}.params")
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
-
-
-def sorted_json(parameters: dict) -> str:
-    return json.dumps(parameters, sort_keys=True)
-
-
-def cache_key(parameters: dict | str) -> str:
-    """The first 16 hex digits of the SHA-1 of the parameters' JSON with sorted keys."""
-    text = parameters if isinstance(parameters, str) else sorted_json(parameters)
-    return hashlib.sha1(text.encode()).hexdigest()[:16]
+    return built(spark, folder, None, 1, lambda _: df, key=key)

@@ -39,17 +39,6 @@ def test_schemas(spark):
     assert value(spark, X.unused_tools(F.array(F.lit("calc")), ["calc", "search"])) == ["search"]
 
 
-def test_check_call(spark):
-    args = F.create_map(F.lit("q"), F.lit("x"))
-    need = {"web_search": ["q"], "calc": ["expr", "unit"], "time": []}
-    assert value(spark, X.closest_name(F.lit(" web_serch"), list(need))) == "web_search"
-    assert value(spark, X.closest_name(F.lit("fly"), list(need))) == "fly"
-    assert value(spark, X.check_call(F.lit("web_search"), args, need)) is None
-    assert value(spark, X.check_call(F.lit("calc"), args, need)) == "ERROR: missing required parameters ['expr', 'unit']"
-    assert value(spark, X.check_call(F.lit("time"), args, need)) is None
-    assert value(spark, X.check_call(F.lit("fly"), args, need)) == "ERROR: unknown tool 'fly'"
-
-
 def test_summaries(spark):
     assert value(spark, X.cut_at_line(F.lit("ab\ncd\nef"), 6)) == "ab\ncd\n..."
     assert value(spark, X.cut_at_line(F.lit("abcdef"), 3)) == "abc\n..."
@@ -64,11 +53,11 @@ def test_summaries(spark):
 
 
 def test_symbols_topics_tail(spark):
-    df = spark.createDataFrame([('def f(a, b=1):\n    """Adds.\n\n    More."""\n', "f"), ("def (", "f"), ("x = 1", "f"), (None, "f")], "source string, symbol string")
-    assert [r.v for r in df.select(X.describe_symbol("source", "symbol").alias("v")).collect()] == ["1\ndef f(a, b)\n\nAdds.\n\nMore.", None, None, None]
     topics = {"animals": ["cat", "dog"], "sky": ["moon"]}
     assert value(spark, X.topic(F.lit("The moon, a moon and a cat"), topics)) == "sky"
     assert value(spark, X.topic(F.lit("moon cat"), topics)) == value(spark, X.topic(F.lit("x"), topics)) == "animals"
+    texts = spark.createDataFrame([("moon cat",), ("moon moon",), (None,)], "t string")
+    assert {r.topic: r.n for r in X.topic_counts(texts, "t", topics | {"sea": ["fish"]}).collect()} == {"animals": 1, "sky": 1, "sea": 0}
     assert [r.id for r in X.tail_lines(spark.range(10), 3, "id").collect()] == [7, 8, 9]
     assert [r.id for r in X.pending(spark.range(4), spark.range(3), "id").collect()] == [3]
 
