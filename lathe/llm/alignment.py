@@ -251,7 +251,8 @@ PACK_DDL = "pack long, " + ", ".join(f"{p} binary" for p in PARTS)
 
 
 def alignments(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False) -> DataFrame:
-    """All documents (doc_id, text) aligned, in packs, written once to the shared folder."""
+    """All documents (doc_id, text) aligned, in packs, written once to the shared folder. An input of fewer
+    partitions than cores is dealt out first: encoding takes long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path)
@@ -260,7 +261,9 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = Fa
             yield batch_of({"pack": [uuid.uuid4().int >> 65]} | {p: [packed(got[p])] for p in PARTS}, PACK)
         release()
 
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PACK_DDL))
+    x, cores = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs.sparkSession.sparkContext.defaultParallelism
+    x = x if x.rdd.getNumPartitions() >= cores else x.repartition(cores)
+    return materialise(x.mapInArrow(run, PACK_DDL))
 
 
 def pair_counts(packs: DataFrame) -> DataFrame:
@@ -318,7 +321,7 @@ def with_counts(packs: DataFrame, counts: DataFrame, top: np.ndarray, width: int
     parts = max(1, -(-packs.count() // ASKING))
     ask_schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("pack", pa.int64()), ("keys", pa.binary())])
     told_schema = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary())])
-    schema = pa.schema(ROWS + [("groups", pa.large_string())] * with_groups)
+    schema = pa.schema(ROWS + [("groups", pa.string())] * with_groups)
 
     def dealt(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order that sorts pairs by bucket, and where buckets begin in it."""

@@ -142,7 +142,7 @@ def signed_powers(w: np.ndarray) -> np.ndarray:
         digit = np.where(w & 1, 2 - (w & 3), 0)
         out.append(digit)
         w = (w - digit) >> 1
-    return np.array(out, np.int64).reshape(-1, len(w))
+    return np.array(out, np.int64).reshape(len(out), len(w))
 
 
 def added(slices: np.ndarray, flipped: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -197,7 +197,7 @@ class Searcher:
         s, possible = self.s, self.all.copy()
         if own is not None:
             possible[own >> 6] &= ~np.uint64(1 << (own & 63))
-        if max(largest, 1) * max(s.largest, 1) * max(s.dim, 1) * 4 >= SAFE:
+        if s.wide is not None or max(largest, 1) * max(s.largest, 1) * max(s.dim, 1) * 4 >= SAFE:
             rows = ones(possible)
             whole = [int(x) for x in w.tolist()]
             score = np.array([max(LOW, min(HIGH, sum(a * int(b) for a, b in zip(whole, v, strict=True)))) for v in s.values(rows).tolist()], np.int64)
