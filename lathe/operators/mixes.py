@@ -82,24 +82,24 @@ EVENT = r'(?s)<user>.*?</user>|<tool name=\w+>.*?</tool>|"tool_call":\{"name":"\
 def grounding(traces: DataFrame, key: str, text: str, dataflow: Sequence[str] = ("calc",)) -> DataFrame:
     """(key, ok, problems): numbers in the arguments of data-flow calls that stand in no user's
     turn or tool result before. A trace without calls is grounded. ``key`` tells traces apart."""
-    e = F.col("event")
-    x = traces.select(key, F.posexplode_outer(F.regexp_extract_all(text, F.lit(EVENT), F.lit(0))).alias("pos", "event"))
-    name = F.when(e.startswith('"'), F.regexp_extract(e, r'^"tool_call":\{"name":"(\w+)"', 1))
-    said = F.when(e.startswith('"'), F.regexp_extract(e, r'(?s)"arguments":(\{.*\})\}\}</assistant>$', 1)).otherwise(F.regexp_extract(e, r"(?s)^<[^>]*>(.*)</\w+>$", 1))
-    args = F.map_values(F.from_json(said, "map<string,string>"))
-    numbers = F.when(name.isNull(), number_list(said)).when(name.isin(*dataflow), F.flatten(F.transform(args, number_list)))
+    e, is_call = F.col("event"), F.col("event").startswith('"')
+    x = traces.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(EVENT), F.lit(0))).alias("pos", "event"))
+    said = F.when(is_call, F.regexp_extract(e, r'(?s)"arguments":(\{.*\})\}\}</assistant>$', 1)).otherwise(F.regexp_extract(e, r"(?s)^<[^>]*>(.*)</\w+>$", 1))
+    x = x.select(key, "pos", F.when(is_call, F.regexp_extract(e, r'^"tool_call":\{"name":"(\w+)"', 1)).alias("name"), said.alias("said"))
+    flows = F.col("name").isin(*dataflow)
     hop = F.count("name").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    x = x.select(key, "pos", name.alias("name"), numbers.alias("numbers"), (name.isin(*dataflow) & args.isNull()).alias("bad")).withColumn("hop", hop)
+    x = x.withColumn("hop", hop).where(F.col("name").isNull() | flows)
+    x = x.withColumn("args", F.when(flows, F.map_values(F.from_json("said", "map<string,string>"))).otherwise(F.array("said")))
+    x = x.select(key, "pos", "hop", "name", F.flatten(F.transform("args", number_list)).alias("numbers"), F.col("args").isNull().alias("bad"))
     # a call whose arguments cannot be read is a use that nothing grounds: no number, so it meets no cell
     bad = F.array(F.struct(F.lit(0).alias("i"), F.lit(float("nan")).alias("value")))
     given = F.transform("numbers", lambda n, i: F.struct(i.alias("i"), n.alias("value")))
     x = x.select(F.col(key).alias("trace_id"), "pos", "hop", "name", F.col("name").isNotNull().alias("is_use"), F.inline(F.when(F.col("bad"), bad).otherwise(given)))
     loose = ungrounded(x, "i", "hop", "name")
     says = F.when(F.isnan("value"), F.format_string("hop %d: unparseable arguments", "hop")).otherwise(F.concat(F.format_string("hop %d (%s): value ", "hop", "name"), number_text("value"), F.lit(" not grounded in prior context")))
-    found = loose.select(F.col("trace_id").alias(key), F.struct("pos", "i", says.alias("what")).alias("p"))
-    none = F.lit(None).cast(found.schema["p"].dataType)
-    got = traces.select(key, none.alias("p")).unionByName(found).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return got.select(key, (F.size("p") == 0).alias("ok"), F.transform("p", lambda z: z["what"]).alias("problems"))
+    found = loose.groupBy(F.col("trace_id").alias("__trace")).agg(F.array_sort(F.collect_list(F.struct("pos", "i", says.alias("what")))).alias("p"))
+    problems = F.coalesce(F.transform("p", lambda z: z["what"]), F.array().cast("array<string>"))
+    return traces.select(key).join(found, F.col(key).eqNullSafe(F.col("__trace")), "left").select(key, F.col("p").isNull().alias("ok"), problems.alias("problems"))
 
 
 def categorical_draw(probs: DataFrame, row: str, token: str, p: str, seed: int, greedy: bool = False) -> DataFrame:

@@ -125,13 +125,16 @@ def ungrounded(numbers: DataFrame, *more: str) -> DataFrame:
     cell = value_cell(F.col("value"))
     seen = F.array(cell - 1, cell, cell + 1)
     x = numbers.where("value IS NOT NULL").withColumn("__c", F.explode(F.when(F.col("is_use"), F.array(cell)).otherwise(seen)))
-    x = x.repartition("trace_id", "__c")
-    use = F.when(F.col("is_use"), F.struct("pos", "value", *more))
-    x = x.groupBy("trace_id", "__c", "value").agg(F.min(F.when(~F.col("is_use"), F.col("pos"))).alias("first"), F.collect_list(use).alias("uses"))
-    x = x.groupBy("trace_id", "__c").agg(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("value", "first"))).alias("known"), F.flatten(F.collect_list("uses")).alias("uses"))
-    same = lambda k, u: (k["first"] < u["pos"]) & ((k["value"] == u["value"]) | close_to(k["value"], u["value"]))
-    loose = F.filter("uses", lambda u: F.isnan(u["value"]) | ~F.exists("known", lambda k: same(k, u)))  # Spark takes NaN for equal to NaN
-    return x.select("trace_id", F.explode(loose).alias("u")).select("trace_id", "u.*")
+    place = F.when(F.col("is_use"), F.col("pos")).alias("pos")
+    own = [F.when(F.col("is_use"), F.col(c)).alias(c) for c in more]
+    x = x.select("trace_id", "__c", "value", "is_use", place, *own, F.when(~F.col("is_use"), F.col("pos")).alias("__at")).repartition("trace_id", "__c")
+    # uses stay rows of their own, what was seen is one row a value
+    x = x.groupBy("trace_id", "__c", "value", "is_use", "pos", *more).agg(F.min("__at").alias("__at"), F.count("*").alias("__n"))
+    known = F.collect_list(F.when(~F.col("is_use"), F.struct("value", F.col("__at").alias("first")))).over(Window.partitionBy("trace_id", "__c"))
+    x = x.withColumn("__known", known).where("is_use")
+    grounds = F.exists("__known", lambda k: (k["first"] < F.col("pos")) & ((k["value"] == F.col("value")) | close_to(k["value"], F.col("value"))))
+    loose = x.where(F.isnan("value") | ~grounds)  # Spark takes NaN for equal to NaN
+    return loose.select("trace_id", "pos", "value", *more, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__copy")).drop("__copy")
 
 
 def first_divergence(expected: DataFrame, got: DataFrame) -> DataFrame:
