@@ -1,8 +1,9 @@
 """Personal data, and terms that disclose it.
 
 Base findings are patterns: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
-numbers. Each distinct value is a protected entity. All terms of the documents that hold an entity
-are tested by information theory: with document counts over the whole corpus,
+numbers. Each distinct value is a protected entity, and so is each class of values (a domain, a
+network, a prefix): what a term tells of several people is told, too. All terms of the documents that hold an entity
+are tested by information theory (a term is two or more letters or digits): with document counts over the whole corpus,
 ``PMI(c; t) / IC(c)`` is the part of the entity's information that the term reveals, 1
 meaning that whoever reads the term knows the entity. A term is generalised from
 ``generalise`` on and removed from ``remove`` on, wherever it stands in a document that holds the
@@ -17,11 +18,12 @@ get the same findings. All scans are linear in the text, also for very long runs
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, materialise, release, small_batches, table, text_of, word_hashes
@@ -34,7 +36,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, PLUS = re.compile(r"[0-9]"), re.compile(r"\+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"[^\W_]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -74,8 +76,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def entity_value(kind: str, found: str) -> str:
-    return f"{kind}:{found.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]', '', found)}"
+def protected(kind: str, found: str) -> tuple[str, str]:
+    """What a finding stands for: its value, and the class that it shares with others: an address's domain, a
+    network's first two numbers, the first six digits of a card or telephone number."""
+    if kind == "email":
+        return f"email:{found.lower()}", f"domain:{found.lower().rpartition('@')[2]}"
+    if kind == "ip":
+        return f"ip:{found}", f"network:{'.'.join(found.split('.')[:2])}"
+    digits = re.sub("[^0-9]", "", found)
+    return f"{kind}:{digits}", f"{kind} prefix:{digits[:6]}"
 
 
 def outside(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -99,12 +108,6 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def fingerprint(text: str) -> int:
-    import xxhash
-
-    return signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
-
-
 def gather(docs: DataFrame) -> DataFrame:
     """One pass: a row a document (tag 0), the entities and terms of a document that holds an
     entity (1), document counts of terms outside findings (2). Counts are flushed before they outgrow a task."""
@@ -123,16 +126,16 @@ def gather(docs: DataFrame) -> DataFrame:
         for b in batches:
             d = {k: [] for k in ("doc_id", "fp", "n_email", "n_ip", "n_card", "n_phone", "base")}
             c = {k: [] for k in ("doc_id", "fp", *LISTS)}
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for i, text, fp in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("fp").to_pylist(), strict=True):
                 text = text_of(text)
-                spans, fp = base_spans(text), fingerprint(text)
+                spans = base_spans(text)
                 found = outside(text, spans) if spans else []
                 seen.update(map(h.__getitem__, {t for t, _, _ in found} if spans else {t.lower() for t in set(TERM.findall(text))}))
                 n = Counter(k for k, _, _ in spans)
                 for k, v in zip(d, (i, fp, *(n[x] for x in KINDS), ",".join(f"{k}:{s}:{e}" for k, s, e in spans)), strict=True):
                     d[k].append(v)
                 if found:
-                    entities = sorted({signed(h[entity_value(kind, text[s:e])]) for kind, s, e in spans})
+                    entities = sorted({signed(h[v]) for kind, s, e in spans for v in protected(kind, text[s:e])})
                     for k, v in zip(c, (i, fp, entities, [signed(h[t]) for t, _, _ in found], [x for _, x, _ in found], [y for _, _, y in found]), strict=True):
                         c[k].append(v)
             yield rows(0, **d)
@@ -145,7 +148,18 @@ def gather(docs: DataFrame) -> DataFrame:
         seen.clear()
         release()
 
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_DDL))
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("fp")).mapInArrow(run, ROW_DDL))
+
+
+#: Ln 0! to ln 9!.
+LOG_FACTORIALS = [math.lgamma(n + 1) for n in range(10)]
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n!, by a table below 10 and Stirling's series (an error below 1e-11) from there on."""
+    x = F.greatest(n, F.lit(10)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(n < 10, F.element_at(F.array(*[F.lit(v) for v in LOG_FACTORIALS]), F.least(n, F.lit(9)).cast("int") + 1)).otherwise(series)
 
 
 def disclosing(found: DataFrame, level: float, generalise: float, remove: float) -> DataFrame:
@@ -154,22 +168,24 @@ def disclosing(found: DataFrame, level: float, generalise: float, remove: float)
     entities = held.select("fp", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("fp").alias("texts"))
     terms = found.where("tag = 2").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = found.where("tag = 0").agg(F.count("*").alias("total"))
-    size = total.crossJoin(entities.agg(F.count("*").alias("all_entities"), F.max("n_entity").alias("most"))).crossJoin(terms.agg(F.count("*").alias("all_terms")))
+    size = total.crossJoin(entities.agg(F.count("*").alias("all_entities"), F.max("n_entity").alias("most"))).crossJoin(terms.agg(F.count("*").alias("all_terms")))  # one row each
+    allowed = F.log(F.lit(level)) - F.log(F.col("all_entities").cast("double") * F.col("all_terms"))
+    # an entity of t texts is at its least likely by chance with a term of those t texts alone; of most entities even that is within chance
+    least = F.when(F.col("texts") * math.e < F.col("total"), F.col("texts") * F.log(F.col("texts") / F.col("total")))
+    worth = entities.crossJoin(F.broadcast(size)).where((F.col("total") > F.col("n_entity")) & (least.isNull() | (least <= allowed)))
     # a term in more documents than this reveals less than ``generalise`` even if it stands in all documents of the most frequent entity
-    rare = terms.crossJoin(F.broadcast(size)).where(F.col("n_term") <= 1.000001 * F.col("total") * F.pow(F.col("most") / F.col("total"), F.lit(generalise)))
-    x = held.select("fp", "entities", F.explode(F.array_distinct("terms")).alias("term")).join(rare, "term")
-    same = ["term", "n_term", "total", "all_entities", "all_terms"]
-    pairs = x.select("fp", F.explode("entities").alias("entity"), *same).groupBy("entity", *same, "fp").agg(F.count("*").alias("n")).groupBy("entity", *same).agg(F.sum("n").alias("both"), F.count("*").alias("k"))
-    x = pairs.join(entities, "entity").where(F.col("total") > F.col("n_entity"))
+    rare = terms.crossJoin(F.broadcast(size.select("total", "most"))).where(F.col("n_term") <= 1.000001 * F.col("total") * F.pow(F.col("most") / F.col("total"), F.lit(generalise))).select("term", "n_term")
+    own = held.select("doc_id", "fp", "terms", "starts", "ends", F.explode("entities").alias("entity"))
+    x = own.join(worth.select("entity"), "entity").select("entity", "fp", F.explode(F.array_distinct("terms")).alias("term")).join(rare, "term")
+    pairs = x.groupBy("entity", "term", "n_term", "fp").agg(F.count("*").alias("n")).groupBy("entity", "term", "n_term").agg(F.sum("n").alias("both"), F.count("*").alias("k"))
+    x = pairs.join(worth, "entity")
     information = F.log(F.col("total") / F.col("n_entity"))
     x = x.withColumn("part", F.log(F.col("total") * F.col("both") / (F.col("n_entity") * F.col("n_term"))) / information).where(F.col("part") >= generalise)
-    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), F.lit(0.0), lambda acc, i: acc + F.log((F.col("texts") - F.col("k") + i) / i))
-    chance = ways + F.col("k") * F.log(F.col("n_term") / F.col("total"))
-    x = x.where(chance + F.log(F.col("all_entities").cast("double") * F.col("all_terms")) <= F.log(F.lit(level)))
-    told = x.groupBy("term").agg(F.collect_list(F.struct("entity", "part")).alias("told"))
-    marks = held.select("doc_id", "fp", "entities", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("o")).select("doc_id", "fp", "entities", F.col("o.terms").alias("term"), F.col("o.starts").alias("start"), F.col("o.ends").alias("end")).join(told, "term")
-    part = F.array_max(F.transform(F.filter("told", lambda t: F.array_contains(F.col("entities"), t["entity"])), lambda t: t["part"]))
-    return marks.withColumn("part", part).where("part IS NOT NULL").groupBy("doc_id", "fp", "start", "end").agg((F.max("part") >= remove).alias("removed"))
+    ways = log_factorial(F.col("texts")) - log_factorial(F.col("k")) - log_factorial(F.col("texts") - F.col("k"))
+    told = x.where(ways + F.col("k") * F.log(F.col("n_term") / F.col("total")) <= allowed).select("entity", "term", "part")
+    marks = own.join(told.select("entity").distinct(), "entity").select("doc_id", "fp", "entity", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("o"))
+    marks = marks.select("doc_id", "fp", "entity", F.col("o.terms").alias("term"), F.col("o.starts").alias("start"), F.col("o.ends").alias("end")).join(told, ["entity", "term"])
+    return marks.groupBy("doc_id", "fp", "start", "end").agg((F.max("part") >= remove).alias("removed"))
 
 
 PARAMETERS = {"level": 0.05, "generalise": 0.8, "remove": 0.95}
@@ -191,10 +207,9 @@ def sanitise(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remo
     ``[TERM]`` or removed, and n_chars (if there) set to the new length. All rows stay."""
     found = gather(docs)
     more = disclosing(found, level, generalise, remove).groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("__terms"))
-    hashed = found.where("tag = 0").join(more, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("fp") == F.col("__f"))).select("__d", "__f", "__terms").distinct()
-    by_doc = hashed.groupBy(F.col("__d").alias("of_id")).agg(F.collect_list(F.struct("__f", "__terms")).alias("marks"))
     x = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    x = x.join(by_doc, F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_id")), "left")
+    x = x.withColumn("__fp", F.xxhash64("row.text"))  # a row takes the marks of its own text alone
+    x = x.join(more, F.col("row.doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__fp") == F.col("__f")), "left")
     names = docs.columns
 
     def run(batches):
@@ -202,12 +217,10 @@ def sanitise(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remo
             rows = b.column("row")
             cols = dict(zip(names, rows.flatten(), strict=True))
             texts = []
-            for text, rest in zip(cols["text"].to_pylist(), b.column("marks").to_pylist(), strict=True):
+            for text, rest in zip(cols["text"].to_pylist(), b.column("__terms").to_pylist(), strict=True):
                 if text is not None:
                     spans = [(s, e, f"[{k.upper()}]") for k, s, e in base_spans(text)]
-                    if rest:
-                        fp = fingerprint(text)
-                        spans += [(t["start"], t["end"], "" if t["removed"] else "[TERM]") for r in rest if r["__f"] == fp for t in r["__terms"]]
+                    spans += [(t["start"], t["end"], "" if t["removed"] else "[TERM]") for t in rest or ()]
                     text = replaced(text, spans)
                 texts.append(text)
             if "n_chars" in cols:
@@ -216,7 +229,7 @@ def sanitise(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remo
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
         release()
 
-    return x.select("row", "marks").mapInArrow(run, docs.schema)
+    return x.select("row", "__terms").mapInArrow(run, docs.schema)
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
