@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, batch_of, per_batch, release, small_batches, table
@@ -310,8 +310,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = 4096, max_negative: int = 4096, k: int = 15) -> Index:
     """An index from ``labelled`` (doc_id, label 0/1; rows with a null in either are left out).
 
-    Reads the documents twice: the examples' terms, and document frequencies of all terms. At
-    most ``max_positive + max_negative`` examples, and 16 bytes a term that stands in more than
+    Reads the documents twice: the examples' terms, and document frequencies of all terms. Unlike texts
+    under one labelled doc_id are examples each, equal ones are one; of all these, in the order of a hash of
+    the doc_id, at most ``max_positive + max_negative`` examples, and 16 bytes a term that stands in more than
     one document in ``FLOOR``, reach the driver.
     """
     known = labelled.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -319,17 +320,20 @@ def fit(docs: DataFrame, labelled: DataFrame, max_positive: int = 4096, max_nega
     h = F.xxhash64(F.lit("toxicity"), "doc_id")
     sample = known.where("label = 1").orderBy(h, "doc_id").limit(max_positive).unionByName(known.where("label = 0").orderBy(h, "doc_id").limit(max_negative))
     some = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in sample.select("doc_id", "label").collect()], "doc_id long, label int")
-    examples = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most max_positive + max_negative rows of 12 bytes
+    examples = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("fp", F.xxhash64("text"))  # at most max_positive + max_negative rows of 12 bytes
 
-    vec_schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("words", pa.binary()), ("tf", pa.binary())])
+    vec_schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("fp", pa.int64()), ("words", pa.binary()), ("tf", pa.binary())])
 
     def vectors(batches):
         for b in batches:
             c = term_counts(b.column("text"))
             own = [c.of(i) for i in range(b.num_rows)]
-            yield batch_of({"doc_id": b.column("doc_id"), "label": b.column("label"), "words": [x.tobytes() for x, _ in own], "tf": [n.astype(np.int32).tobytes() for _, n in own]}, vec_schema)
+            yield batch_of({"doc_id": b.column("doc_id"), "label": b.column("label"), "fp": b.column("fp"), "words": [x.tobytes() for x, _ in own], "tf": [n.astype(np.int32).tobytes() for _, n in own]}, vec_schema)
 
-    got = examples.mapInArrow(vectors, "doc_id long, label int, words binary, tf binary").toArrow()
+    one = examples.mapInArrow(vectors, "doc_id long, label int, fp long, words binary, tf binary").dropDuplicates(["doc_id", "fp"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id", "fp"))  # cut within each task first
+    most = F.when(F.col("label") == 1, max_positive).otherwise(max_negative)
+    got = one.withColumn("place", place).where(F.col("place") <= max(max_positive, max_negative)).where(F.col("place") <= most).select("doc_id", "label", "words", "tf").toArrow()
     view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]
     rows = list(zip(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), view("words", np.uint64), view("tf", np.int32), strict=True))
     del got
