@@ -114,6 +114,37 @@ def test_pii_terms_far_from_the_entity(spark):
     assert "copied" in clean[6].text and "uniqueword" in clean[12].text
 
 
+def test_pii_terms_that_disclose_a_class(spark):
+    """Each address stands once; the term tells their domain."""
+    from lathe.llm import pii
+
+    rng = random.Random(3)
+    filler = lambda: " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(20))
+    texts = [f"{filler()} AC9 {filler()} person{i}@acme.example" if i < 8 else f"{filler()} p{i}@other{i}.example" if i < 20 else filler() for i in range(300)]
+    got = by_id(pii.find_spans(spark.createDataFrame([(i, t, "", "", 0, 0.0, 0, "", "", "") for i, t in enumerate(texts)], DDL)))
+    assert all([texts[i][int(a) : int(b)] for _, a, b in (x.split(":") for x in got[i].spans.split(",") if x.startswith("term:"))] == ["AC9"] * (i < 8) for i in range(300))
+
+
+def test_log_factorials(spark):
+    from pyspark.sql import functions as F
+
+    from lathe.llm import pii
+
+    got = spark.createDataFrame([(n,) for n in [*range(40), 10**4, 10**9]], "n long").select("n", pii.log_factorial(F.col("n")).alias("v")).collect()
+    assert all(abs(r.v - math.lgamma(r.n + 1)) <= 1e-9 * max(1.0, r.v) for r in got)
+
+
+def test_pii_marks_rows_by_their_own_texts(spark):
+    """Ten thousand unlike texts of one doc_id, and of none: none takes another one's marks."""
+    from lathe.llm import pii
+
+    told = [f"call zanzibari at a.b@c.example {'x' * (i + 1)}" for i in range(6)]
+    rows = [(i % 2 or None, t, "", "", 0, 0.0, 0, "", "", "") for i, t in enumerate([*told, *(f"call {i}, zanzi" for i in range(10_000))])]
+    clean = Counter(r.text for r in pii.sanitise(spark.createDataFrame(rows, DDL)).collect())
+    assert sum(clean.values()) == len(rows) and sum("[EMAIL]" in t for t in clean) == 6 and not any("zanzibari" in t for t in clean)
+    assert all(clean[f"call {i}, zanzi"] == 1 for i in range(10_000))
+
+
 def test_pii_terms_by_brute_force(spark):
     """Every pair of an entity and a term of its documents, from plain counts."""
     from lathe.llm import pii
@@ -130,7 +161,7 @@ def test_pii_terms_by_brute_force(spark):
         texts.append(" ".join(t))
     found = [pii.base_spans(t) for t in texts]
     terms = [{w for w, _, _ in pii.outside(t, s)} for t, s in zip(texts, found, strict=True)]
-    own = [{pii.entity_value(k, t[a:b]) for k, a, b in s} for t, s in zip(texts, found, strict=True)]
+    own = [{v for k, a, b in s for v in pii.protected(k, t[a:b])} for t, s in zip(texts, found, strict=True)]
     n = len(texts)
     n_term, n_entity = Counter(w for x in terms for w in x), Counter(e for x in own for e in x)
     pairs = {(e, w) for x, y in zip(own, terms, strict=True) for e in x for w in y}
@@ -187,6 +218,19 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in x.score(docs, blank, "doc_id").collect()} == {0.0}
 
 
+def test_toxicity_bounds_examples_by_rows(spark):
+    """One labelled doc_id in ten thousand unlike rows: no more examples than the bound says."""
+    from lathe.llm import toxicity
+
+    rows = [(7, f"vile word{i}") for i in range(10_000)] + [(i, f"kind word{i}") for i in range(100, 140)] + [(i, f"vile rubbish{i}") for i in range(200, 220)] + [(300, "same text")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (300, 0)] + [(i, 0) for i in range(100, 140)] + [(i, 1) for i in range(200, 220)], "doc_id long, label int")
+    index = toxicity.fit(docs, labels, max_positive=30, max_negative=60)
+    assert Counter(index.label.tolist()) == {1: 30, 0: 41} and Counter(index.ids.tolist())[300] == 1
+    got = {(r.doc_id, r.score) for r in toxicity.score(docs, index, "doc_id").collect() if r.doc_id >= 100}
+    assert min(s for i, s in got if 200 <= i < 300) > max(s for i, s in got if i < 200)
+
+
 def test_toxicity_compares_all_terms(spark):
     from lathe.llm import toxicity as x
 
@@ -616,6 +660,74 @@ def test_pipeline_stages_by_brute_force(spark):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_toxicity_stage(spark, tmp_path):
+    """Rows go by their own texts: repeated rows, ties, rows of one or no doc_id, nulls, names that clash."""
+    import corpus_pipeline as p
+    from lathe.llm import toxicity
+
+    rows = [(i, f"{'vile rubbish scum' if i % 3 == 0 else 'kind gentle words'} number{i % 7} thing{i}") for i in range(120)]
+    rows += [(505, "vile rubbish scum again")] * 3 + [(506, "vile scum thing6"), (506, "kind words thing6"), (None, "vile rubbish scum"), (None, "gentle words"), (900, None), (901, ""), (902, " \n")]
+    full = [(i, t, "en", "s", None if t is None else len(t), 0.25, 1, "n", "m", "p") for i, t in rows]
+    docs = spark.createDataFrame(full, DDL).repartition(3)
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = p.toxicity_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    index = toxicity.fit(docs, toxicity.training_labels(spark, str(tmp_path)))
+    scores = {(r.doc_id, r.text): r["judged"] for r in toxicity.scored(docs, index, ("doc_id", "text"), "judged", None).collect()}
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, t) for i, t in rows if scores[i, t] < 0.5)
+    kept = {(r.doc_id, r.text) for r in got.collect()}
+    assert all((t is not None and "vile" in t) != ((i, t) in kept) for i, t in rows)
+    assert p.toxicity_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pii_stage_by_brute_force(spark):
+    import corpus_pipeline as p
+    from lathe.llm import pii
+
+    texts = ["mail a.b@c.example now", "10.0.0.1 and +1 (555) 010-1234", "4111 1111 1111 1111!", None, "", "nothing", "mail a.b@c.example now"]
+    rows = [(i // 2 if i % 5 else None, t, "en", "s", None if t is None else len(t), 0.5, 7, "n", "m", "p") for i, t in enumerate(texts)]
+    want = Counter()
+    for i, t, *rest in rows:
+        clean = None if t is None else pii.replaced(t, [(a, b, f"[{k.upper()}]") for k, a, b in pii.base_spans(t)])
+        want[(i, clean, *rest[:2], None if clean is None else len(clean), *rest[3:])] += 1
+    got = p.pii_stage(spark, spark.createDataFrame(rows, DDL).repartition(2), "")
+    assert Counter(map(tuple, got.collect())) == want and "[EMAIL]" in str(want) and "[CARD]" in str(want)
+
+
+def test_packing_stage_by_brute_force(spark, monkeypatch):
+    """Pieces are the texts' own ids, cut at 4096; sequences are gapless; and no fewer sequences than ids allow, few more."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["one", "two", "three", "x"]) for _ in range(rng.choice([3, 50, 900, 2000, 5000]))) for _ in range(60)] + [None, "", texts_twice := "again and again", texts_twice]
+    rows = [(i, t, "en", "s", 0, 0.0, 0, "n", "m", "p") for i, t in enumerate(texts)]
+    got = p.packing_stage(spark, spark.createDataFrame(rows, DDL), "").collect()
+    pieces = {(r.doc_id, r.piece): r for r in got}
+    assert len(pieces) == len(got)
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4").tobytes()
+            r = pieces.pop((i, k))
+            assert (r.start, r.length, r.ids_crc32) == (at, len(part) // 4, zlib.crc32(part))
+    assert not pieces
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r.length for r in got)
+    assert -(-total // 4096) <= len(sequences) <= -(-total // 4096) + 2
+
+
 @pytest.mark.parametrize("name", ["op6_embedding_dedup", "op7_substring_dedup", "op9_jaccard_join"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
