@@ -163,28 +163,28 @@ def log_factorial(n: Column) -> Column:
 
 
 def disclosing(found: DataFrame, level: float, generalise: float, remove: float) -> DataFrame:
-    """(doc_id, fp, start, end, removed) of the terms that disclose an entity of their document."""
+    """(doc_id, fp, start, end, removed) of the terms that disclose an entity of their document. Only texts that
+    hold an entity which can be disclosed at all send their terms; equal texts send them once."""
     held = found.where("tag = 1")
-    entities = held.select("fp", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("fp").alias("texts"))
-    terms = found.where("tag = 2").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = found.where("tag = 0").agg(F.count("*").alias("total"))
-    size = total.crossJoin(entities.agg(F.count("*").alias("all_entities"), F.max("n_entity").alias("most"))).crossJoin(terms.agg(F.count("*").alias("all_terms")))  # one row each
-    allowed = F.log(F.lit(level)) - F.log(F.col("all_entities").cast("double") * F.col("all_terms"))
+    entities = materialise(held.select("fp", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("fp").alias("texts")))
+    terms = materialise(found.where("tag = 2").groupBy("term").agg(F.sum("n").alias("n_term")))
+    total, all_terms = found.where("tag = 0").count(), terms.count()
+    all_entities, most = entities.agg(F.count("*"), F.coalesce(F.max("n_entity"), F.lit(1))).first()
+    allowed = math.log(level) - math.log(max(all_entities, 1) * max(all_terms, 1))
     # an entity of t texts is at its least likely by chance with a term of those t texts alone; of most entities even that is within chance
-    least = F.when(F.col("texts") * math.e < F.col("total"), F.col("texts") * F.log(F.col("texts") / F.col("total")))
-    worth = entities.crossJoin(F.broadcast(size)).where((F.col("total") > F.col("n_entity")) & (least.isNull() | (least <= allowed)))
+    texts, n_entity, n_term, k = (F.col(c) for c in ("texts", "n_entity", "n_term", "k"))
+    worth = entities.where((n_entity < total) & ((texts * math.e >= total) | (texts * F.log(texts / total) <= allowed)))
     # a term in more documents than this reveals less than ``generalise`` even if it stands in all documents of the most frequent entity
-    rare = terms.crossJoin(F.broadcast(size.select("total", "most"))).where(F.col("n_term") <= 1.000001 * F.col("total") * F.pow(F.col("most") / F.col("total"), F.lit(generalise))).select("term", "n_term")
-    own = held.select("doc_id", "fp", "terms", "starts", "ends", F.explode("entities").alias("entity"))
-    x = own.join(worth.select("entity"), "entity").select("entity", "fp", F.explode(F.array_distinct("terms")).alias("term")).join(rare, "term")
-    pairs = x.groupBy("entity", "term", "n_term", "fp").agg(F.count("*").alias("n")).groupBy("entity", "term", "n_term").agg(F.sum("n").alias("both"), F.count("*").alias("k"))
-    x = pairs.join(worth, "entity")
-    information = F.log(F.col("total") / F.col("n_entity"))
-    x = x.withColumn("part", F.log(F.col("total") * F.col("both") / (F.col("n_entity") * F.col("n_term"))) / information).where(F.col("part") >= generalise)
-    ways = log_factorial(F.col("texts")) - log_factorial(F.col("k")) - log_factorial(F.col("texts") - F.col("k"))
-    told = x.where(ways + F.col("k") * F.log(F.col("n_term") / F.col("total")) <= allowed).select("entity", "term", "part")
-    marks = own.join(told.select("entity").distinct(), "entity").select("doc_id", "fp", "entity", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("o"))
-    marks = marks.select("doc_id", "fp", "entity", F.col("o.terms").alias("term"), F.col("o.starts").alias("start"), F.col("o.ends").alias("end")).join(told, ["entity", "term"])
+    rare = terms.where(n_term <= 1.000001 * total * (most / max(total, 1)) ** generalise)
+    own = materialise(held.select("fp", F.explode("entities").alias("entity")).groupBy("fp", "entity").agg(F.count("*").alias("n")).join(worth, "entity"))
+    bodies = held.select("fp", "terms").join(own.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", F.explode(F.array_distinct("terms")).alias("term"))
+    pairs = bodies.join(rare, "term").join(own, "fp").groupBy("entity", "term", "n_term", "n_entity", "texts").agg(F.sum("n").alias("both"), F.count("*").alias("k"))
+    x = pairs.withColumn("part", F.log(total * F.col("both") / (n_entity * n_term)) / F.log(total / n_entity)).where(F.col("part") >= generalise)
+    ways = log_factorial(texts) - log_factorial(k) - log_factorial(texts - k)
+    told = x.where(ways + k * F.log(n_term / total) <= allowed).select("entity", "term", "part")
+    told = materialise(told.join(own.select("fp", "entity"), "entity").groupBy("fp", "term").agg(F.max("part").alias("part")))
+    marks = held.join(told.select("fp").distinct(), "fp", "left_semi").select("doc_id", "fp", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("o"))
+    marks = marks.select("doc_id", "fp", F.col("o.terms").alias("term"), F.col("o.starts").alias("start"), F.col("o.ends").alias("end")).join(told, ["fp", "term"])
     return marks.groupBy("doc_id", "fp", "start", "end").agg((F.max("part") >= remove).alias("removed"))
 
 

@@ -32,28 +32,31 @@ WORD = {"+": "add", "-": "subtract", "*": "multiply by"}
 STEP = "struct<turn:int,step:int,asked:string,kind:string,key:string,tool:string,arguments:string,result:string,op:string,k:int,reference:string>"
 
 
-def planned(ids: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+def planned(ids: DataFrame, plans: Pool, seed: int) -> DataFrame:
     """(trace_id, plan_id, turn, step, asked, kind): a drawn plan (plan_id, turns) of each trace, a row a step."""
-    x = Pool.of(plans, "plan_id").drawn(ids, "plan", draw(seed, "trace_id", F.lit("plan")))
+    x = plans.drawn(ids, "plan", draw(seed, "trace_id", F.lit("plan")))
     x = x.select("trace_id", F.col("plan.plan_id").alias("plan_id"), F.posexplode("plan.turns").alias("turn", "t"))
     return x.select("trace_id", "plan_id", "turn", F.col("t.user").alias("asked"), F.posexplode("t.steps").alias("step", "s")).select("trace_id", "plan_id", "turn", "step", "asked", "s.kind")
 
 
-def bound_steps(steps: DataFrame, facts: DataFrame, memory: DataFrame, now: str, seed: int, sandbox: DataFrame | None = None, described: DataFrame | None = None) -> DataFrame:
-    """``steps`` with all that they may use: from ``facts`` and ``memory`` (key, value) what leads with a
-    quantity, from ``sandbox`` (question, tool, arguments, result) and ``described`` (name, text) any row, and calls
-    that fail with what the tools say to them. A pool that is empty binds nothing."""
-    spark = steps.sparkSession
-    u = lambda what: draw(seed, "trace_id", "turn", "step", F.lit(what))
+def step_pools(facts: DataFrame, memory: DataFrame, now: str, sandbox: DataFrame | None = None, described: DataFrame | None = None) -> dict[str, Pool]:
+    """What steps of each kind may use: of ``facts`` and ``memory`` (key, value) what leads with a
+    quantity, of ``sandbox`` (question, tool, arguments, result) and ``described`` (name, text) any row, and calls
+    that fail with what the tools say to them."""
     quantity = lambda df: Pool.of(df.where(leads_with_quantity(F.col("value"))).select("key", "value"), "key")
-    failing = spark.createDataFrame([(i, *c) for i, c in enumerate(FAILING)], "call_id int, name string, arguments string")
-    numbered = facts.select(F.col("key").alias("ord"), "key", "value")
-    failing = run_calls(failing, memory, numbered, now)
+    failing = facts.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(FAILING)], "call_id int, name string, arguments string")
+    failing = run_calls(failing, memory, facts.select(F.col("key").alias("ord"), "key", "value"), now)
     pools = {"lookup_fact": quantity(facts), "lookup_memory": quantity(memory), "failing_call": Pool.of(failing, "call_id")}
     if sandbox is not None:
         pools["run_code"] = Pool.of(sandbox, "question", "arguments")
     if described is not None:
         pools["inspect_code"] = Pool.of(described, "name")
+    return pools
+
+
+def bound_steps(steps: DataFrame, pools: dict[str, Pool], now: str, seed: int) -> DataFrame:
+    """``steps`` with all that they may use, drawn from the pool of their kind; a pool that is empty binds nothing."""
+    u = lambda what: draw(seed, "trace_id", "turn", "step", F.lit(what))
     x = steps
     for kind, pool in pools.items():
         x = pool.drawn(x, kind, F.when(F.col("kind") == kind, u(kind)))
@@ -203,16 +206,16 @@ def conversations(steps: DataFrame) -> DataFrame:
 
 
 class Scenarios:
-    """Makes traces of given numbers from plans (plan_id, turns) and pools; see ``bound_steps``."""
+    """Makes traces of given numbers from plans (plan_id, turns) and pools; see ``step_pools``."""
 
     def __init__(self, plans: DataFrame, facts: DataFrame, memory: DataFrame, now: str, seed: int = 42, sandbox: DataFrame | None = None, described: DataFrame | None = None, thoughts: DataFrame | None = None):
-        self.plans, self.facts, self.memory, self.now, self.seed = plans, facts, memory, now, seed
-        self.sandbox, self.described = sandbox, described
+        self.plans, self.now, self.seed = Pool.of(plans, "plan_id"), now, seed
+        self.pools = step_pools(facts, memory, now, sandbox, described)
         self.thoughts = None if thoughts is None else options(thoughts, "situation", "text")
 
     def traces(self, ids: DataFrame) -> DataFrame:
         """(trace_id, pattern, trace); the trace is null where nothing could be bound or a call failed."""
-        steps = bound_steps(planned(ids, self.plans, self.seed), self.facts, self.memory, self.now, self.seed, self.sandbox, self.described)
+        steps = bound_steps(planned(ids, self.plans, self.seed), self.pools, self.now, self.seed)
         x = written(conversations(steps))
         rows = x.select("trace_id", F.posexplode("messages").alias("pos", "m")).select("trace_id", "pos", "m.*")
         text = serialised(with_thoughts(rows, self.thoughts, self.seed))
