@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,8 +164,9 @@ def log_factorial(n: Column) -> Column:
 
 
 def disclosing(found: DataFrame, level: float, generalise: float, remove: float) -> DataFrame:
-    """(doc_id, fp, start, end, removed) of the terms that disclose an entity of their document. Only texts that
-    hold an entity which can be disclosed at all send their terms; equal texts send them once."""
+    """(doc_id, fp, marks) of documents with terms that disclose an entity of theirs: where each stands, in order, and
+    whether it is removed. Only texts that hold an entity which can be disclosed at all send their terms; equal
+    texts send them once."""
     held = found.where("tag = 1")
     entities = materialise(held.select("fp", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("fp").alias("texts")))
     terms = materialise(found.where("tag = 2").groupBy("term").agg(F.sum("n").alias("n_term")))
@@ -182,19 +184,34 @@ def disclosing(found: DataFrame, level: float, generalise: float, remove: float)
     x = pairs.withColumn("part", F.log(total * F.col("both") / (n_entity * n_term)) / F.log(total / n_entity)).where(F.col("part") >= generalise)
     ways = log_factorial(texts) - log_factorial(k) - log_factorial(texts - k)
     told = x.where(ways + k * F.log(n_term / total) <= allowed).select("entity", "term", "part")
-    told = materialise(told.join(own.select("fp", "entity"), "entity").groupBy("fp", "term").agg(F.max("part").alias("part")))
-    marks = held.join(told.select("fp").distinct(), "fp", "left_semi").select("doc_id", "fp", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("o"))
-    marks = marks.select("doc_id", "fp", F.col("o.terms").alias("term"), F.col("o.starts").alias("start"), F.col("o.ends").alias("end")).join(told, ["fp", "term"])
-    return marks.groupBy("doc_id", "fp", "start", "end").agg((F.max("part") >= remove).alias("removed"))
+    told = told.join(own.select("fp", "entity"), "entity").groupBy("fp", "term").agg(F.max("part").alias("part"))
+    told = told.groupBy("fp").agg(F.collect_list(F.struct("term", "part")).alias("told"))  # a text's own terms at most
+
+    def run(batches):
+        for b in batches:
+            marks = []
+            for *places, of in zip(*(b.column(c) for c in (*list(LISTS)[1:], "told")), strict=True):
+                terms, starts, ends = (x.values.to_numpy(zero_copy_only=False) for x in places)
+                known, part = (x.to_numpy(zero_copy_only=False) for x in of.values.flatten())
+                order = np.argsort(known)
+                at = order[np.minimum(np.searchsorted(known[order], terms), len(known) - 1)]
+                hit = np.flatnonzero(known[at] == terms)
+                marks.append([{"start": s, "end": e, "removed": r} for s, e, r in zip(starts[hit].tolist(), ends[hit].tolist(), (part[at[hit]] >= remove).tolist(), strict=True)])
+            yield batch_of({"doc_id": b.column("doc_id"), "fp": b.column("fp"), "marks": marks}, MARKS)
+        release()
+
+    return held.select("doc_id", "fp", *list(LISTS)[1:]).join(told, "fp").mapInArrow(run, MARKS_DDL).dropDuplicates(["doc_id", "fp"])
 
 
+MARKS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("marks", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])))])
+MARKS_DDL = "doc_id long, fp long, marks array<struct<start:int,end:int,removed:boolean>>"
 PARAMETERS = {"level": 0.05, "generalise": 0.8, "remove": 0.95}
 
 
 def find_spans(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) of each row of ``docs``."""
     found = gather(docs)
-    more = disclosing(found, level, generalise, remove).groupBy(F.col("doc_id").alias("d2"), F.col("fp").alias("f2")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
+    more = disclosing(found, level, generalise, remove).select(F.col("doc_id").alias("d2"), F.col("fp").alias("f2"), F.col("marks").alias("terms"))
     x = found.where("tag = 0").select("doc_id", "fp", *[f"n_{k}" for k in KINDS], "base")
     x = x.join(more, x["doc_id"].eqNullSafe(more["d2"]) & (x["fp"] == more["f2"]), "left")
     words = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string")))
@@ -206,7 +223,7 @@ def sanitise(docs: DataFrame, level: float = 0.05, generalise: float = 0.8, remo
     """``docs`` with findings replaced by ``[EMAIL]`` and the like, disclosing terms by
     ``[TERM]`` or removed, and n_chars (if there) set to the new length. All rows stay."""
     found = gather(docs)
-    more = disclosing(found, level, generalise, remove).groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("__terms"))
+    more = disclosing(found, level, generalise, remove).select(F.col("doc_id").alias("__d"), F.col("fp").alias("__f"), F.col("marks").alias("__terms"))
     x = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     x = x.withColumn("__fp", F.xxhash64("row.text"))  # a row takes the marks of its own text alone
     x = x.join(more, F.col("row.doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__fp") == F.col("__f")), "left")
