@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 EOT = "\x03"
 #: Tokens with ids of their own, from 256 up in this order.
 SPECIALS = ("<assistant>", "</assistant>", "<user>", "</user>", "<tool name=calc>", "<tool name=now>", "<tool name=search_memory>", "<tool name=web_search>", "<tool name=finish>", "</tool>", '"thought":', '"tool_call":', '"response":', '"name":', '"arguments":', "<system>", "</system>")
-PATTERN = "(?s)" + "|".join([*(f"\\Q{t}\\E" for t in sorted(SPECIALS, key=len, reverse=True)), "."])
-SEGMENT = "(?s)<assistant>.*?</assistant>" + EOT + "?|(?:(?!<assistant>).)+|<assistant>.*"
+#: Every token begins with one of two characters, so all others are taken at once; possessive repeats neither look back nor nest.
+SEGMENT = "(?s)<assistant>.*?</assistant>" + EOT + "?|(?:[^<]++|<(?!assistant>))++|<assistant>.*"
 
 
 def serialise(messages: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", chat: bool = True) -> DataFrame:
@@ -28,9 +28,10 @@ def serialise(messages: DataFrame, key: str = "conv_id", order: str = "turn", ro
 def tokenise(text: Column, max_vocab: int | None = None) -> Column:
     """Token ids: specials longest first, else the code point, 255 at most."""
     known = [(t, 256 + i) for i, t in enumerate(SPECIALS) if max_vocab is None or 256 + i < max_vocab]
-    pattern = "(?s)" + "|".join([*(f"\\Q{t}\\E" for t, _ in sorted(known, key=lambda x: -len(x[0]))), "."])
+    pattern = "(?s)" + "|".join(['[^<"]', *(f"\\Q{t}\\E" for t, _ in sorted(known, key=lambda x: -len(x[0]))), "."])
     ids = F.create_map(*[F.lit(y) for t in known for y in t])
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.coalesce(F.try_element_at(ids, x), F.least(F.ascii(x), F.lit(255))))
+    plain = lambda x: F.least(F.ascii(x), F.lit(255))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.when(F.length(x) == 1, plain(x)).otherwise(F.element_at(ids, x)))
 
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:

@@ -240,20 +240,14 @@ class Composer:
         rows = [(b, list(p.signs), list(p.signs.values()), *[v for c in numbers for v in p.ranges.get(c, (None, None))], *(*p.expressions, None, None, None)[:3]) for b in sorted(set(bodies.values())) for p in [PATTERNS[b]]]
         rules = self.spark.createDataFrame(rows, "body string, signs array<string>, words array<string>, " + ", ".join(f"{c}_low long, {c}_high long" for c in numbers) + ", x1 string, x2 string, x3 string")
         x = x.join(F.broadcast(rules), "body")  # a row a pattern
-        needs = {k: [b for b in set(bodies.values()) if k in PATTERNS[b].needs] for k in self.have}
-        wants = lambda name: F.col("body").isin(*needs[name])
         for name in sorted(self.have - {"call"}):
-            if not needs[name]:
-                continue
             of = name.removeprefix("other_")
-            pool = self.pools[of]
-            at = self.u(of)
+            pool, at = self.pools[of], self.u(of)
             if of != name:  # another row than the first one: some steps further on
                 at = F.pmod(at, F.lit(pool.many)) + 1 + F.pmod(self.u(name), F.lit(pool.many - 1))
-                x = x if of in x.columns else pool.drawn(x, of, F.when(wants(name), self.u(of)))
-            also = F.lit(False) if of == name else wants(name)
-            more = wants(f"other_{name}") if f"other_{name}" in needs and needs[f"other_{name}"] else F.lit(False)
-            x = pool.drawn(x.drop(name), name, F.when(wants(name) | also | more, at))
+            users = [b for b in sorted(set(bodies.values())) if {name, f"other_{name}"} & set(PATTERNS[b].needs)]
+            if users:
+                x = pool.drawn(x, name, F.when(F.col("body").isin(*users), at))
         if "call" in self.have:
             x = with_option(x, self.recorded, F.col("body"), "call", self.u("call"), F.lit(None).cast(self.recorded.schema["call"].dataType))
         sign = (F.pmod(self.u("sign"), F.greatest(F.size("signs"), F.lit(1))) + 1).cast("int")

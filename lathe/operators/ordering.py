@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lathe.sources.scratch import written
 
@@ -48,18 +49,19 @@ def ranked(df: DataFrame, family: str, score: str, name: str = "rank", descendin
     x = counted.repartitionByRange(_ranges(df), *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     x = written(x)
     # only the family that a range begins with can go on from ranges before it
-    of_range = x.groupBy("__p").agg(F.min(F.struct(F.col("__f").isNotNull().alias("known"), F.col("__f").alias("f"))).alias("first"), F.max(F.struct(F.col("__f").isNotNull().alias("known"), F.col("__f").alias("f"))).alias("last"))
-    ends = x.join(of_range, "__p").where(F.col("__f").eqNullSafe(F.col("last.f"))).groupBy("__p").agg(F.any_value("first").alias("first"), F.any_value("last").alias("last"), F.sum("__n").alias("n"))
-    carry, rows, last, total = 0, [], None, 0
+    of_family = x.groupBy("__p", "__f").agg(F.sum("__n").alias("n"))
+    place = [F.col("__f").isNotNull().alias("known"), F.col("__f").alias("f")]
+    ends = of_family.groupBy("__p").agg(F.min(F.struct(*place)).alias("first"), F.max(F.struct(*place, "n")).alias("last"))
+    rows, before, total = [], None, 0
     for r in sorted(ends.collect(), key=lambda r: r["__p"]):  # a row a range
-        carry = total if last is not None and r["first"] == last else 0
-        rows.append((r["__p"], carry))
-        total = r["n"] + (carry if r["first"] == r["last"] else 0)
-        last = r["last"]
-    carried = spark.createDataFrame(rows, "__p int, __carry long")
+        first, last = tuple(r["first"]), tuple(r["last"])
+        carry = total if first == before else 0
+        rows.append((r["__p"], first[1], carry))
+        before, total = last[:2], last[2] + (carry if first == last[:2] else 0)
+    carried = spark.createDataFrame(rows, T.StructType([T.StructField("__p", T.IntegerType()), T.StructField("__first", df.schema[family].dataType), T.StructField("__carry", T.LongType())]))
     within = F.sum("__n").over(Window.partitionBy("__p", "__f").orderBy(direction("__s")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    x = x.join(of_range.select("__p", F.col("first.f").alias("__first")), "__p").join(F.broadcast(carried), "__p")  # a row a range
+    x = x.join(F.broadcast(carried), "__p")
     rank = within + F.when(F.col("__f").eqNullSafe(F.col("__first")), F.col("__carry")).otherwise(0) + 1
-    ranks = x.select("__f", "__s", rank.cast("int").alias("__rank"))
+    ranks = x.select("__f", "__s", rank.alias("__rank"))
     same = F.col(family).eqNullSafe(F.col("__f")) & F.col(score).eqNullSafe(F.col("__s"))
     return df.join(ranks, same).withColumn(name, F.col("__rank")).drop("__f", "__s", "__rank")

@@ -115,7 +115,7 @@ def exact_split(s, d):
 
 @query("rank_family", "select event_id, rank() over (partition by event_type order by value desc)::int as rnk from events")
 def rank_family(s, d):
-    return O.ranked(t(s, d, "events").select("event_id", "event_type", "value"), "event_type", "value", "rnk", descending=True).select("event_id", "rnk")
+    return O.ranked(t(s, d, "events").select("event_id", "event_type", "value"), "event_type", "value", "rnk", descending=True).select("event_id", F.col("rnk").cast("int").alias("rnk"))
 
 
 @query("dense_numbers", "select doc_id, row_number() over (order by source, doc_id)-1 as number from documents")
@@ -402,7 +402,7 @@ def results(s, d):
 
 @query("ranked_results", f"with r as ({RESULTS_SQL}), m as (select *, coalesce(accuracy,best_val_loss,best_loss,final_loss,0) as metric, case when accuracy is not null then 'accuracy' when best_val_loss is not null then 'best_val_loss' when best_loss is not null then 'best_loss' when final_loss is not null then 'final_loss' else 'no metric' end as metric_name from r), f as (select *, first_value(metric_name in ('accuracy','no metric')) over (partition by experiment order by file_name) as up from m) select event_id, metric_name, metric, rank() over (partition by experiment order by case when up then -metric else metric end)::int as rank from f")
 def ranked_results(s, d):
-    return R.ranked_results(results(s, d)).select("event_id", "metric_name", "metric", "rank")
+    return R.ranked_results(results(s, d)).select("event_id", "metric_name", "metric", F.col("rank").cast("int").alias("rank"))
 
 
 @query("leaderboard_lines", f"with r as ({RESULTS_SQL}), m as (select *, coalesce(accuracy,best_val_loss,final_loss,0) as metric, case when accuracy is not null then 'accuracy' when best_val_loss is not null then 'best_val_loss' when final_loss is not null then 'final_loss' else 'no metric' end as metric_name from r), f as (select *, first_value(metric_name in ('accuracy','no metric')) over (partition by experiment order by file_name) as up from m), k as (select f.*, strftime(ts,'%Y-%m-%d') as stamp, rank() over (partition by experiment order by case when up then -metric else metric end) as rk from f join events using (event_id)) select file_name, '| '||stamp||' | '||experiment||' | #'||rk||' | '||metric_name||printf('=%.4f',metric)||' | - | - | '||coalesce(printf('final=%.4f',final_loss), printf('best=%.4f',null::double), printf('val=%.4f',best_val_loss),'-')||' | '||coalesce(printf('overall=%.1f%%',accuracy*100),'-')||' | - | - | ['||file_name||'](results/'||file_name||') |' as line from k")
