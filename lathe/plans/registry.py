@@ -699,10 +699,10 @@ def scenario_traces(s, d):
     return C.filled(s, make.traces, as_many(s, d), max_len=16384)[0]
 
 
-@query("block_grammar", "with b as (select conv_id, turn, text, (conv_id+turn)%3 as k from conversations where role='assistant') select conv_id, turn, k<>0 as valid, case when k=0 then 11 end as bad_at, case when k=0 then 'bad' else 'done' end as state from b")
+@query("block_grammar", "with b as (select conv_id, turn, text, (conv_id+turn)%3 as k from conversations where role='assistant') select conv_id, turn, k<>0 as valid, case when k=0 then 11 else -1 end as bad_at, case when k=0 then 'bad' else 'done' end as state from b")
 def block_grammar(s, d):
     x = chat_bodies(s, d).select("conv_id", "turn", F.concat(F.lit("<assistant>"), "body", F.lit("</assistant>")).alias("block"))
-    return H.block_verdicts(x, "block", ["calc", "now", "search_memory", "web_search", "finish"]).select("conv_id", "turn", "verdict.*")
+    return H.block_verdicts(x, "block", ["calc", "now", "search_memory", "web_search", "finish"]).select("conv_id", "turn", "verdict.valid", F.coalesce("verdict.bad_at", F.lit(-1)).alias("bad_at"), "verdict.state")
 
 
 @query("topic_counts", "with n as (select (length(text)-length(replace(text,'the','')))/3 as a, (length(text)-length(replace(text,'der','')))/3 as b, (length(text)-length(replace(text,'eau','')))/3 as c from documents), t as (select case when a>=b and a>=c then 'english' when b>=c then 'german' else 'french' end as topic from n) select v.topic, count(t.topic) as n from (values ('english'),('german'),('french')) v(topic) left join t using (topic) group by 1")
